@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, simhash, token_count
+from . import bpe, decontaminate, exact_dedup, simhash, token_count
 from .session import table
 
 
@@ -21,6 +21,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
@@ -43,11 +55,51 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op5_token_counts": op5_token_counts,
+    "op7_decontaminate": op7_decontaminate,
     "op8_bpe": op8_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_decontaminate": r"""
+        WITH raw AS (
+            SELECT 'd' AS side, doc_id AS id, text FROM documents
+            UNION ALL
+            SELECT 'i', item_id, text FROM benchmark
+        ),
+        split AS (
+            SELECT side, id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+            FROM raw
+        ),
+        items AS (
+            SELECT id AS item_id, n, array_to_string(w[k : k + n - 1], ' ') AS win
+            FROM (SELECT id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k
+                  FROM split WHERE side = 'i' AND len(w) > 0)
+        ),
+        docs AS (
+            SELECT id AS doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS win
+            FROM (SELECT s.id, s.w, l.n, unnest(range(1, len(s.w) - l.n + 2)) AS k
+                  FROM split s, (SELECT DISTINCT n FROM items) l WHERE s.side = 'd' AND len(s.w) >= l.n)
+        ),
+        found AS (SELECT d.doc_id, d.k, d.n, i.item_id FROM docs d JOIN items i ON d.n = i.n AND d.win = i.win),
+        hit AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit
+            FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT doc_id, k, n FROM found))
+            GROUP BY doc_id
+        ),
+        named AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found)
+            GROUP BY doc_id
+        )
+        SELECT s.id AS doc_id, len(s.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(s.w) AS contaminated
+        FROM split s LEFT JOIN hit ON s.id = hit.doc_id LEFT JOIN named ON s.id = named.doc_id
+        WHERE s.side = 'd'
+    """,
     "op10_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_chars,
