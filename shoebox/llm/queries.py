@@ -8,10 +8,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, simhash, token_count
+from . import bpe, decontaminate, exact_dedup, language_id, quality, simhash, token_count
 from .session import table
 
 
+def _remainder(divisor: int):
+    """crc32 of the id's text, by which rows are held out; null for a null id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(_remainder(4) != 2), public_tokenizers.path("piece_bpe_32k.model"))
+    out = language_id.identify(docs, model)
+    return out.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def quality_network(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Network | None:
+    """Learned from the labelled rows of docs that aren't held out."""
+    return quality.fit(docs.where(_remainder(5) != 0), table(spark, sf_dir, "labels").where(_remainder(5) != 0))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality.scores(docs, quality_network(spark, docs, sf_dir))
+    return out.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -53,7 +76,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op3_simhash": op3_simhash,
+    "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,
     "op7_decontaminate": op7_decontaminate,
     "op8_bpe": op8_bpe,
