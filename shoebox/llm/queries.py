@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, language_id, quality, simhash, token_count
-from .session import table
+from . import bpe, decontaminate, exact_dedup, language_id, quality, sharding, simhash, token_count, url_rules, warc
+from .session import table, work_path
 
 
 def _remainder(divisor: int):
@@ -35,6 +35,20 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
+    name = F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    path = work_path(spark, "warc")
+    warc.write_archive(warc.with_revisits(pages.select("page_id", name.alias("record_id"), F.col("url").alias("target_uri"), "payload"), "page_id"), path)
+    number = lambda col: F.nullif(F.regexp_replace(col, "^urn:page:", ""), F.lit("")).cast("long")
+    # payloads are decoded for the responses alone; a revisit's headers tell what it revisits
+    bodies = warc.read_archive(spark, path).where(F.col("record_type") == "response")
+    again = warc.read_archive(spark, path, payload=False).where(F.col("record_type") == "revisit")
+    responses = bodies.select("record_id", F.octet_length("payload").cast("long").alias("payload_bytes"), warc.base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    revisits = again.select("record_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
+    return responses.unionByName(revisits).select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -44,6 +58,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as read back from a store of eight arrivals after compaction."""
+    docs = sharding.shard_arrivals(table(spark, sf_dir, "documents"), arrivals=8).read()
+    return docs.select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -71,21 +91,53 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+#: The rules that come before the mined ones.
+URL_RULES = [
+    url_rules.Rule("block", "net", "/"),
+    url_rules.Rule("allow", "example.net", "/en/"),
+    url_rules.Rule("block", "example.com", "/de/"),
+    url_rules.Rule("allow", "org", "/fr/"),
+]
+
+
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,
+    "op6_sharding": op6_sharding,
     "op7_decontaminate": op7_decontaminate,
     "op8_bpe": op8_bpe,
+    "op9_url_rules": op9_url_rules,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": r"""
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h,
+                   max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last
+            FROM pages
+        )
+        SELECT page_id, strlen(html) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + CAST((CAST('0x' || substr(h, CAST(1 + 10 * (k // 8) AS BIGINT), 10) AS BIGINT) >> (35 - 5 * (k % 8))) & 31 AS BIGINT), 1)), '') AS payload_digest,
+               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+        FROM p
+    """,
+    "op6_sharding": """
+        SELECT doc_id, lang, source, n_chars, strlen(text) AS n_bytes, sha256(text) AS text_sha256 FROM documents
+    """,
     "op7_decontaminate": r"""
         WITH raw AS (
             SELECT 'd' AS side, doc_id AS id, text FROM documents
