@@ -9,7 +9,9 @@ go through their trees side by side, as rows of arrays.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 from .byte_pairs import PATTERN, Chunks, PairTable, load_ranks
 from .session import bounded_batches
 
-KEPT_CHUNKS = 300_000
+#: Chunks whose ids a worker keeps; beyond that the older ones go, to a share of KEPT_SHARE.
+KEPT_CHUNKS, KEPT_SHARE = 600_000, 0.6
 #: Tree nodes held at once.
 TREE_NODES = 2_000_000
 
@@ -40,6 +43,7 @@ class SegmentTreeBpe:
         self.tokens = [b""] * (1 + max(ranks.values()))
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
 
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
         out: list[list[int]] = [[]] * len(pieces)
@@ -120,7 +124,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         kept = self.kept
         if len(kept) > KEPT_CHUNKS:
-            kept.clear()
+            kept = self.kept = dict(islice(kept.items(), int(len(kept) * (1 - KEPT_SHARE)), None))
         parts = [self.chunks.of(text) if text else [] for text in texts]
         new = list({c for chunks in parts for c in chunks if c not in kept})
         if new:
@@ -128,11 +132,14 @@ class Codec:
             known = list({w for ws in words for w in ws})
             of = dict(zip(known, self.bpe.encode([w.encode() for w in known]), strict=True))
             for c, ws in zip(new, words, strict=True):
-                kept[c] = np.array([i for w in ws for i in of[w]], np.int32).tobytes()
+                kept[c] = array("i", of[ws[0]] if len(ws) == 1 else [i for w in ws for i in of[w]]).tobytes()
         return [np.frombuffer(b"".join(map(kept.__getitem__, chunks)), np.int32) for chunks in parts]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bpe.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The bytes of several texts, whose ids lie one after the other in `ids` from offsets[0] on."""
+        flat = b"".join(map(self.bpe.tokens.__getitem__, ids[offsets[0] : offsets[-1]].tolist()))
+        ends = np.concatenate([[0], np.cumsum(self.bpe.sizes[ids[offsets[0] : offsets[-1]]])])[offsets - offsets[0]]
+        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -159,6 +166,13 @@ def encode_column(vocabulary: str, pattern: str = PATTERN):
     return lambda col: encode(F.col(col).cast("string"))
 
 
+def _flat(batch: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of an array of lists; nulls are empty lists."""
+    if batch.null_count:
+        batch = batch.fill_null([])
+    return batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_numpy()
+
+
 def decode_column(vocabulary: str, pattern: str = PATTERN):
     """Column function: array<int> of ids to the bytes they stand for; null as no ids."""
 
@@ -166,7 +180,7 @@ def decode_column(vocabulary: str, pattern: str = PATTERN):
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(vocabulary, pattern)
         for batch in batches:
-            yield pa.array([own.decode(ids or []) for ids in batch.to_pylist()], pa.binary())
+            yield pa.array(own.decode(*_flat(batch)), pa.binary())
 
     return lambda col: decode(F.col(col))
 
@@ -176,8 +190,14 @@ def ids_digest_column():
 
     @F.arrow_udf("string")
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        text: list[bytes] = []
         for batch in batches:
-            yield pa.array([hashlib.sha256(",".join(map(str, ids or [])).encode()).hexdigest() for ids in batch.to_pylist()], pa.string())
+            ids, offsets = _flat(batch)
+            text += [b"%d," % k for k in range(len(text), 1 + int(ids.max(initial=0)))]
+            out = []
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                out.append(hashlib.sha256(b"".join(map(text.__getitem__, ids[a:b].tolist()))[:-1]).hexdigest())
+            yield pa.array(out, pa.string())
 
     return lambda col: digest(F.col(col))
 
