@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from .byte_pairs import PATTERN, Chunks, PairTable, load_ranks
 from .session import bounded_batches
 
 #: Chunks whose ids a worker keeps; beyond that the older ones go, to a share of KEPT_SHARE.
-KEPT_CHUNKS, KEPT_SHARE = 600_000, 0.6
+KEPT_CHUNKS, KEPT_SHARE = 400_000, 0.6
 #: Tree nodes held at once.
 TREE_NODES = 2_000_000
 
@@ -40,10 +40,6 @@ class SegmentTreeBpe:
                 if a is not None and b is not None:
                     pairs[a, b] = (rank, rank)
         self.pairs = PairTable(pairs)
-        self.tokens = [b""] * (1 + max(ranks.values()))
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
-        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
 
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
         out: list[list[int]] = [[]] * len(pieces)
@@ -135,11 +131,18 @@ class Codec:
                 kept[c] = array("i", of[ws[0]] if len(ws) == 1 else [i for w in ws for i in of[w]]).tobytes()
         return [np.frombuffer(b"".join(map(kept.__getitem__, chunks)), np.int32) for chunks in parts]
 
-    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """The bytes of several texts, whose ids lie one after the other in `ids` from offsets[0] on."""
-        flat = b"".join(map(self.bpe.tokens.__getitem__, ids[offsets[0] : offsets[-1]].tolist()))
-        ends = np.concatenate([[0], np.cumsum(self.bpe.sizes[ids[offsets[0] : offsets[-1]]])])[offsets - offsets[0]]
-        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+class Decoder:
+    """The bytes that ids stand for."""
+
+    def __init__(self, path: str):
+        ranks = load_ranks(path)
+        self.tokens = [b""] * (1 + max(ranks.values()))
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -166,21 +169,22 @@ def encode_column(vocabulary: str, pattern: str = PATTERN):
     return lambda col: encode(F.col(col).cast("string"))
 
 
-def _flat(batch: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, offsets) of an array of lists; nulls are empty lists."""
+def _lists(batch: pa.ListArray) -> Iterator[list[int]]:
+    """Each list in turn, so that only one is held as Python numbers; a null is empty."""
     if batch.null_count:
         batch = batch.fill_null([])
-    return batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_numpy()
+    values, offsets = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_pylist()
+    return (values[a:b].tolist() for a, b in pairwise(offsets))
 
 
-def decode_column(vocabulary: str, pattern: str = PATTERN):
+def decode_column(vocabulary: str):
     """Column function: array<int> of ids to the bytes they stand for; null as no ids."""
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = codec(vocabulary, pattern)
+        own = Decoder(vocabulary)
         for batch in batches:
-            yield pa.array(own.decode(*_flat(batch)), pa.binary())
+            yield pa.array([own.decode(ids) for ids in _lists(batch)], pa.binary())
 
     return lambda col: decode(F.col(col))
 
@@ -192,11 +196,10 @@ def ids_digest_column():
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         text: list[bytes] = []
         for batch in batches:
-            ids, offsets = _flat(batch)
-            text += [b"%d," % k for k in range(len(text), 1 + int(ids.max(initial=0)))]
             out = []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                out.append(hashlib.sha256(b"".join(map(text.__getitem__, ids[a:b].tolist()))[:-1]).hexdigest())
+            for ids in _lists(batch):
+                text += [b"%d," % k for k in range(len(text), 1 + max(ids, default=-1))]
+                out.append(hashlib.sha256(b"".join(map(text.__getitem__, ids))[:-1]).hexdigest())
             yield pa.array(out, pa.string())
 
     return lambda col: digest(F.col(col))
@@ -212,7 +215,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str = PATTERN, i
     return docs.select(F.col(id_col).alias("doc_id"), encode_column(vocabulary, pattern)(text_col).alias("ids"))
 
 
-def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str = PATTERN) -> DataFrame:
+def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """The rows of encode_documents with `decoded`, the bytes of the ids; null ids as none. An unknown id fails."""
     bounded_batches(encoded.sparkSession)
-    return encoded.select("*", decode_column(vocabulary, pattern)("ids").alias("decoded"))
+    return encoded.select("*", decode_column(vocabulary)("ids").alias("decoded"))

@@ -82,7 +82,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    both = bpe.decode_documents(bpe.encode_documents(docs, vocabulary, public_tokenizers.PATTERN), vocabulary, public_tokenizers.PATTERN)
+    both = bpe.decode_documents(bpe.encode_documents(docs, vocabulary, public_tokenizers.PATTERN), vocabulary)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

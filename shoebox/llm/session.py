@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; texts reach about 100 KB, so a batch stays at tens of MB.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -19,6 +19,8 @@ def bounded_batches(spark: SparkSession) -> None:
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_root(spark: SparkSession) -> str:
