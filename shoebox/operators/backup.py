@@ -42,7 +42,7 @@ def decoded(texts: DataFrame, col: str = "json") -> DataFrame:
 def resolved(refs: DataFrame, media: DataFrame) -> DataFrame:
     """(ref, media_id) by name, bytes and time; of several candidates only one with the same path will do. No name matches nothing; unknown times are equal."""
     known = media.select("media_id", F.col("display_name").alias("m_name"), F.col("bytes").alias("m_bytes"), F.col("taken_at").alias("m_taken"), F.col("rel_path").alias("m_path"))
-    pairs = refs.join(known, (F.col("name") == F.col("m_name")) & F.col("bytes").eqNullSafe(F.col("m_bytes")) & F.col("taken").eqNullSafe(F.col("m_taken")))
+    pairs = refs.select("ref", "name", "bytes", "taken", "path").join(known, (F.col("name") == F.col("m_name")) & F.col("bytes").eqNullSafe(F.col("m_bytes")) & F.col("taken").eqNullSafe(F.col("m_taken")))
     per = pairs.groupBy("ref").agg(F.count(F.lit(1)).alias("n"), F.min("media_id").alias("any"), F.count_if(F.col("path").eqNullSafe(F.col("m_path"))).alias("n_path"), F.min(F.when(F.col("path").eqNullSafe(F.col("m_path")), F.col("media_id"))).alias("same"))
     found = F.when(F.col("n") == 1, F.col("any")).when(F.col("n_path") == 1, F.col("same"))
     return per.select("ref", found.alias("media_id")).where("media_id IS NOT NULL")

@@ -116,8 +116,8 @@ def confirmed(feedback: DataFrame, media: DataFrame) -> DataFrame:
 def relevant(ranked: DataFrame, window: float = 0.05, most: int = 60, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, close): how many results are within a window of the best score, at most so many; no row without results."""
     best = ranked.groupBy(*by).agg(F.max("score").alias("best")) if by else ranked.agg(F.max("score").alias("best")).where("best IS NOT NULL")
-    rows = ranked.join(best, list(by)) if by else ranked.join(F.broadcast(best))
-    return rows.groupBy(*by).agg(F.least(F.greatest(F.count_if(F.col("best") - F.col("score") <= window), F.lit(1)), F.lit(most)).cast("int").alias("close"))
+    rows = ranked.join(best, list(by)) if by else ranked.join(F.broadcast(best))  # one row
+    return rows.groupBy(*(by or ("best",))).agg(F.least(F.greatest(F.count_if(F.col("best") - F.col("score") <= window), F.lit(1)), F.lit(most)).cast("int").alias("close")).select(*by, "close")
 
 
 def spaced_scenes(hits: DataFrame, n: int = 3, gap_ms: int = 10000) -> DataFrame:
