@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .filters import is_video, on_this_day, taken_between
+from .runs import with_runs
 
 
 def sessions(media: DataFrame, gap_hours: float, split_km: float = 0.0, by: tuple[str, ...] = (), camera_only: bool = True) -> DataFrame:
@@ -20,13 +21,15 @@ def sessions(media: DataFrame, gap_hours: float, split_km: float = 0.0, by: tupl
     rows = media.where("taken_at IS NOT NULL")
     if camera_only:
         rows = rows.where(F.col("taken_at_source") == "exif")
-    order = W.partitionBy(*by).orderBy("taken_at", "media_id")
-    before = lambda c: F.lag(c).over(order)
-    new = F.col("taken_at") - before("taken_at") > int(gap_hours * 3600)
-    if split_km > 0:
-        way = S.haversine_km(before("gps_lat"), before("gps_lon"), F.col("gps_lat"), F.col("gps_lon"))
-        new = new | F.coalesce(way > split_km, F.lit(False))
-    return rows.withColumn("event_no", F.sum(F.coalesce(new.cast("int"), F.lit(0))).over(order))
+
+    def starts(prior: Column) -> Column:
+        new = F.col("taken_at") - prior["taken_at"] > int(gap_hours * 3600)
+        if split_km > 0:
+            way = S.haversine_km(prior["gps_lat"], prior["gps_lon"], F.col("gps_lat"), F.col("gps_lon"))
+            new = new | F.coalesce(way > split_km, F.lit(False))
+        return new
+
+    return with_runs(rows, starts, "event_no", by, carry=("gps_lat", "gps_lon"))
 
 
 def rollup(items: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .filters import is_video
+from .runs import with_runs
 
 
 def hash_candidates(media: DataFrame) -> DataFrame:
@@ -39,9 +40,7 @@ def burst_groups(media: DataFrame, exact: DataFrame, similarity: float, gap_sec:
     The best is the sharpest, then the first. by: columns that keep libraries apart, e.g. the owner.
     """
     rows = media.where((F.col("taken_at_source") == "exif") & ~is_video() & F.col("taken_at").isNotNull() & F.col("embedding").isNotNull())
-    order = W.partitionBy(*by).orderBy("taken_at", "media_id")
-    gap = F.col("taken_at") - F.lag("taken_at").over(order)
-    rows = rows.withColumn("stretch", F.sum(F.coalesce((gap > gap_sec).cast("int"), F.lit(0))).over(order))
+    rows = with_runs(rows, lambda prior: F.col("taken_at") - prior["taken_at"] > gap_sec, "stretch", by)
     item = F.struct("taken_at", "media_id", F.coalesce("blur_score", F.lit(0.0)).alias("blur"), "embedding")
     stretches = rows.groupBy(*by, "stretch").agg(F.array_sort(F.collect_list(item)).alias("items")).where(F.size("items") > 1)
 

@@ -504,12 +504,12 @@ def rule_tags(spark, d):
     SELECT 'folder' AS kind, bucket AS key, media_kind = 'video' AS video FROM media WHERE is_accessible
     UNION ALL SELECT 'tag', label, media_kind = 'video' FROM media JOIN (SELECT DISTINCT media_id, label FROM tags WHERE label <> 'k0') USING (media_id) WHERE is_accessible
     UNION ALL SELECT 'user', 'favorites', media_kind = 'video' FROM media WHERE is_accessible AND media_id % 31 = 0
-    UNION ALL SELECT 'user', CAST(l_orderkey AS VARCHAR), media_kind = 'video' FROM media JOIN lineitem ON media_id = l_partkey WHERE is_accessible AND l_orderkey <= 40) GROUP BY kind, key
-    UNION ALL SELECT 'user', CAST(o_orderkey AS VARCHAR), 0, 0 FROM orders WHERE o_orderkey <= 40 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem JOIN media ON media_id = l_partkey WHERE is_accessible)""", MEDIA, TAGS)
+    UNION ALL SELECT 'user', CAST(l_orderkey AS VARCHAR), media_kind = 'video' FROM media JOIN lineitem ON media_id = l_partkey WHERE is_accessible) GROUP BY kind, key
+    UNION ALL SELECT 'user', CAST(o_orderkey AS VARCHAR), 0, 0 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem JOIN media ON media_id = l_partkey WHERE is_accessible)""", MEDIA, TAGS)
 def album_list(spark, d):
     m = media(spark, d)
-    orders = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey <= 40").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), F.lit(0).cast("bigint").alias("created_at"))
-    items = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey <= 40").select(F.col("l_orderkey").alias("album_id"), F.col("l_partkey").alias("media_id"))
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), F.lit(0).cast("bigint").alias("created_at"))
+    items = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("album_id"), F.col("l_partkey").alias("media_id"))
     none = m.limit(0).select(F.lit(0).cast("bigint").alias("event_id"), "media_id", F.lit("").alias("title"))
     out = albums.albums(m, tags(spark, d), m.where("media_id % 31 = 0").select("media_id"), orders, items, none, hidden=("k0",))
     return out.select("kind", "key", "n", "videos")
@@ -612,10 +612,10 @@ def not_queued(spark, d):
     return sources.not_queued(p.where("page_id % 3 <> 0"), p.where("page_id % 2 = 0"))
 
 
-@query("SELECT conv_id AS media_id, CASE WHEN turn % 3 = 0 THEN turn * 1000 // 60000 || ':' || lpad(CAST(turn * 1000 // 1000 % 60 AS VARCHAR), 2, '0') ELSE '0:' || lpad(CAST(turn % 60 AS VARCHAR), 2, '0') END AS at FROM conversations WHERE turn < 60")
+@query("SELECT conv_id, turn, turn * 997 // 60 || ':' || lpad(CAST(turn * 997 % 60 AS VARCHAR), 2, '0') AS at FROM conversations WHERE turn * 997 < 3600 UNION ALL SELECT conv_id, turn, turn * 997 // 3600 || ':' || lpad(CAST(turn * 997 // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(turn * 997 % 60 AS VARCHAR), 2, '0') FROM conversations WHERE turn * 997 >= 3600")
 def clock_text(spark, d):
-    c = spark.read.parquet(f"{d}/conversations.parquet").where("turn < 60")
-    return c.select(F.col("conv_id").alias("media_id"), S.clock(F.col("turn") * 1000).alias("at"))
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    return c.select("conv_id", "turn", S.clock(F.col("turn") * 997_000).alias("at"))
 
 
 @query("""SELECT vec_id, round(q / 36 - (s / 36) * (s / 36), 6) AS sharpness FROM (SELECT vec_id, sum(v) AS s, sum(v * v) AS q FROM (

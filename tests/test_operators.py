@@ -425,3 +425,20 @@ def test_vector_blobs_and_plug_ins(spark):
     assert out["a"] == (12, None) and out["b"][0] is None and "ValueError" in out["b"][1]
     enc = sources.encoded_items(files.withColumnRenamed("path", "media_id"), lambda b: [float(int(b))])
     assert {r.media_id: r.embedding for r in enc.collect()} == {"a": [12.0], "b": None}
+
+
+def test_runs_over_slices_are_those_of_one_window(spark):
+    from pyspark.sql import Window as W
+
+    from shoebox.operators.runs import with_runs
+
+    draw = random.Random(2)
+    rows = [(k, draw.choice((None, 1, 1, 2)), draw.choice((draw.randint(0, 2_000_000), 777))) for k in range(600)]
+    df = spark.createDataFrame(rows, "media_id BIGINT, owner INT, taken_at BIGINT")
+    order = W.partitionBy("owner").orderBy("taken_at", "media_id")
+    plain = df.withColumn("r", F.sum(F.coalesce((F.col("taken_at") - F.lag("taken_at").over(order) > 9000).cast("int"), F.lit(0))).over(order))
+    want = {(r.media_id, r.r) for r in plain.collect()}
+    for size in (1000, 86_400, 1 << 40):
+        out = with_runs(df, lambda prior: F.col("taken_at") - prior["taken_at"] > 9000, "r", ("owner",), slice_sec=size)
+        assert {(r.media_id, r.r) for r in out.collect()} == want
+        assert out.columns == [*df.columns, "r"]
