@@ -20,10 +20,21 @@ def same_hash(actual: Column, expected: Column) -> Column:
     return F.coalesce(F.lower(actual) == F.lower(expected), F.lit(False))
 
 
-def model_identity(names: Column, hashes: Column) -> Column:
-    """Six bytes of the digest of the sorted name=hash lines."""
-    lines = F.array_sort(F.zip_with(names, hashes, lambda n, h: F.concat(n, F.lit("="), h)))
-    return F.substr(F.sha2(F.array_join(lines, "\n").cast("binary"), 256), F.lit(1), F.lit(12))
+def model_identity(files: Column, shipped: Column, legacy: Column) -> Column:
+    """Identity of a model's files, a map of name to hash: the legacy one if they are those shipped, else sha@ and six bytes of the digest of the sorted lines name=hash."""
+    lines = F.array_sort(F.transform(F.map_entries(files), lambda e: F.concat(e["key"], F.lit("="), F.lower(e["value"]), F.lit("\n"))))
+    same = F.array_sort(F.map_entries(files)) == F.array_sort(F.map_entries(shipped))
+    return F.when(same, legacy).otherwise(F.concat(F.lit("sha@"), F.substr(F.sha2(F.array_join(lines, "").cast("binary"), 256), F.lit(1), F.lit(12))))
+
+
+def manifest_files(json: Column) -> Column:
+    """File names and lower-case hashes of a manifest; empty where it has none."""
+    files = F.from_json(json, "files MAP<STRING, STRING>")["files"]
+    return F.coalesce(F.transform_values(files, lambda k, v: F.lower(v)), F.create_map().cast("map<string,string>"))
+
+
+def manifest_sizes(json: Column) -> Column:
+    return F.coalesce(F.from_json(json, "sizes MAP<STRING, BIGINT>")["sizes"], F.create_map().cast("map<string,bigint>"))
 
 
 # names

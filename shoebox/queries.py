@@ -625,5 +625,138 @@ def sharpness(spark, d):
     return embeddings(spark, d).select("vec_id", F.round(S.laplacian_variance(F.col("embedding"), 8, 8), 6).alias("sharpness"))
 
 
+# more of sources, state and lists
+
+
+@query("""SELECT 'EXACT:' || least AS key, CASE WHEN n > 1 THEN media_id END AS media_id, coalesce(keep = media_id, is_best) AS is_best FROM (
+    SELECT e.*, least, n, max(CASE WHEN r.media_id = least + 3000 THEN least + 3000 END) OVER (PARTITION BY sha256) AS keep FROM exact e JOIN ranked r USING (media_id))""", MEDIA, EXACT)
+def chosen_best(spark, d):
+    groups = grouping.exact_groups(media(spark, d))
+    choices = groups.select(F.col("key").alias("group_key"), (F.regexp_extract("key", r"\d+", 0).cast("bigint") + 3000).alias("keep_id"), F.lit(False).alias("dismissed")).distinct()
+    return grouping.with_choices(groups, choices).select("key", "media_id", "is_best")
+
+
+@query("""SELECT key, media_id, media_id = coalesce(best, low) AS is_best FROM (
+    SELECT key, media_id, count(*) OVER w AS n, min(media_id) FILTER (is_best) OVER w AS best, min(media_id) OVER w AS low
+    FROM exact JOIN (SELECT media_id FROM media WHERE is_accessible) USING (media_id) WINDOW w AS (PARTITION BY key)) WHERE n > 1""", MEDIA, EXACT)
+def readable_groups(spark, d):
+    m = media(spark, d)
+    return grouping.readable(grouping.exact_groups(m), m.where("is_accessible")).select("key", "media_id", "is_best")
+
+
+@query("""SELECT section, media_id, detail FROM (SELECT 'low quality' AS section, media_id, CAST(bytes AS VARCHAR) AS detail FROM media WHERE brightness < 5 OR brightness > 252 OR (width IS NOT NULL AND greatest(width, height) < 600) ORDER BY bytes DESC, media_id LIMIT 500)
+    UNION ALL SELECT 'copies', media_id, key FROM exact UNION ALL SELECT 'reclaimable', -1, CAST(coalesce(sum(bytes), 0)::BIGINT AS VARCHAR) FROM exact WHERE NOT is_best""", MEDIA, EXACT)
+def cleanup_report(spark, d):
+    from .operators import cleanup
+
+    m = media(spark, d)
+    return cleanup.report(m, grouping.exact_groups(m), 0.0, 5.0, 252.0, 600).withColumn("media_id", F.coalesce("media_id", F.lit(-1)))
+
+
+@query("""SELECT event_id, count(*) AS n, count(*) FILTER (media_kind = 'video') AS videos FROM (SELECT o_orderkey AS event_id, l_partkey AS media_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+    JOIN media USING (media_id) WHERE is_accessible GROUP BY event_id""", MEDIA)
+def event_listing(spark, d):
+    items = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("media_id"))
+    known = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("event_id"))
+    return events.event_counts(items.join(known, "event_id", "left_semi"), media(spark, d))
+
+
+@query("""SELECT owner, event_no::BIGINT AS event_no, strftime(make_timestamp(min(taken_at) * 1000000), '%Y-%m-%d %H:%M') || ' – ' || strftime(make_timestamp(max(taken_at) * 1000000), '%Y-%m-%d %H:%M') AS span
+    FROM sess GROUP BY owner, event_no""", MEDIA, SESSIONS)
+def timeline(spark, d):
+    return events.timeline(events.rollup(events.sessions(media(spark, d), 3.0, 400.0, by=("owner",)), by=("owner",))).select("owner", "event_no", "span")
+
+
+@query("SELECT media_id, coalesce(date_added, taken_at, -1) AS date_added FROM media", MEDIA)
+def filled_dates(spark, d):
+    m = media(spark, d)
+    return state.filled(m, m.select("media_id", F.col("taken_at").alias("value")), "date_added").select("media_id", F.coalesce("date_added", F.lit(-1)).alias("date_added"))
+
+
+@query("SELECT media_id, bucket = 'view' AS is_accessible FROM media", MEDIA)
+def partial_access(spark, d):
+    m = media(spark, d)
+    return state.with_access(m, m.where("bucket = 'view'"), "partial").select("media_id", "is_accessible")
+
+
+@query("SELECT media_id, CASE WHEN bucket = 'click' THEN 0 ELSE state END AS state, CASE WHEN bucket = 'click' THEN NULL ELSE sha256 END AS sha256 FROM media", MEDIA)
+def invalidated(spark, d):
+    m = media(spark, d).withColumn("embedding", F.lit(None).cast("array<float>"))
+    return state.invalidated(m, m.where("bucket = 'click'")).select("media_id", "state", "sha256")
+
+
+@query("SELECT media_id, label, source FROM tags WHERE media_id NOT IN (SELECT media_id FROM media WHERE bucket = 'error')", MEDIA, TAGS)
+def tags_after_deletion(spark, d):
+    return state.without({"tags": tags(spark, d)}, media(spark, d).where("bucket = 'error'"))["tags"]
+
+
+@query("""SELECT media_id, label, source FROM tags WHERE source <> 'rule' OR media_id % 2 = 1
+    UNION ALL SELECT media_id, 'fresh', 'rule' FROM media WHERE media_id % 2 = 0 AND media_kind = 'photo'
+    UNION ALL SELECT media_id, label, source FROM tags WHERE source = 'rule' AND media_id % 10 = 0""", MEDIA, TAGS)
+def replaced_tags(spark, d):
+    m = media(spark, d)
+    new = m.where("media_id % 2 = 0").selectExpr("media_id", "'fresh' AS label", "CAST(NULL AS FLOAT) AS score").where("media_id % 10 <> 0")
+    removed = m.limit(0).selectExpr("media_id", "'' AS label", "0 AS verdict", "0 AS ts")
+    return state.with_tags(tags(spark, d).withColumn("score", F.lit(None).cast("float")), new, "rule", removed).select("media_id", "label", "source")
+
+
+@query("SELECT media_id, CASE WHEN state = 2 AND media_kind = 'video' THEN 1 ELSE state END AS state FROM media", MEDIA)
+def requeued_videos(spark, d):
+    return state.requeued(media(spark, d).withColumn("embedding", F.lit(None).cast("array<float>")), videos_only=True).select("media_id", "state")
+
+
+@query("SELECT media_id, CASE WHEN taken_at_source = 'mtime' THEN 7 ELSE coalesce(taken_at, -1) END AS taken_at, 'exif' AS taken_at_source FROM media", MEDIA)
+def capture_times(spark, d):
+    m = media(spark, d)
+    out = state.with_capture_times(m, m.select("media_id", F.lit(7).cast("bigint").alias("taken_at")))
+    return out.select("media_id", F.coalesce("taken_at", F.lit(-1)).alias("taken_at"), "taken_at_source")
+
+
+@query("""SELECT row_number() OVER (ORDER BY part, a, b, media_id) - 1 AS ref, media_id FROM (SELECT media_id, part, a, b, row_number() OVER (PARTITION BY media_id ORDER BY part, a, b) AS r FROM (
+    SELECT media_id, 0 AS part, 0 AS a, bytes AS b FROM media WHERE bucket = 'purchase' UNION ALL SELECT l_partkey, 1, l_orderkey, l_linenumber FROM lineitem UNION ALL SELECT media_id, 2, 0, bytes FROM media WHERE bucket = 'signup'))
+    JOIN media USING (media_id) WHERE r = 1""", MEDIA)
+def backup_references(spark, d):
+    m = media(spark, d)
+    items = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_orderkey AS album_id", "l_partkey AS media_id", "CAST(l_linenumber AS BIGINT) AS added_at")
+    mark = lambda b: m.where(F.col("bucket") == b).select("media_id", F.col("bytes").alias("ts"))
+    return backup.references(mark("purchase"), items, mark("signup"), m).select("ref", "media_id")
+
+
+@query("""SELECT lang AS category, source AS title, tier, place::INT AS place FROM (SELECT lang, source, min(t) AS tier, row_number() OVER (PARTITION BY lang ORDER BY min(t), source) AS place FROM (
+    SELECT *, CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS t FROM documents WHERE source NOT LIKE '%7%') GROUP BY lang, source) WHERE place <= 5""")
+def evaluation_set(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").selectExpr("lang AS category", "source AS title", "CASE doc_id % 4 WHEN 0 THEN 'CC0' WHEN 1 THEN 'CC BY 4.0' WHEN 2 THEN 'CC BY-SA 3.0' ELSE 'other' END AS licence")
+    return sources.evaluation_set(docs, ("7",), 5)
+
+
+@query("SELECT n_name AS name, 33 + n_nationkey AS lat, 126.5 AS lon, n_regionkey * 10.0 AS radius_km FROM nation WHERE n_nationkey <> 3")
+def parsed_places(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    lines = n.selectExpr("n_nationkey AS line", "CASE WHEN n_nationkey = 3 THEN '# ' ELSE '' END || n_name || '\\ta|b\\t' || CAST(33 + n_nationkey AS STRING) || '\\t126.5\\t' || CAST(n_regionkey * 10 AS STRING) AS value")
+    return sources.parse_places(lines).select("name", "lat", "lon", "radius_km")
+
+
+@query("""SELECT section, count(*) AS n FROM (SELECT CASE WHEN m.media_id IN (SELECT media_id FROM tags WHERE label = 'view') THEN 'close' ELSE 'other' END AS section
+    FROM media m JOIN embeddings e ON m.media_id = e.vec_id WHERE is_accessible AND state >= 1 AND media_kind = 'photo') GROUP BY section""", MEDIA, TAGS)
+def tag_search(spark, d):
+    q = parser.Query(text="바다", tags=["view"], media="image")
+    p = Params(close_limit=1 << 30, other_limit=1 << 30)
+    v = query_vector(spark, d, 5)
+    out = search.search(q, with_vectors(spark, d), tags(spark, d), None, v, tag_vector=v, params=p)
+    return out.groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT label, round(list_sum(list_transform(range(1, 65), lambda i: v[i] * v[i])), 6) AS norm, round(v[1], 6) AS first FROM (
+    SELECT p.label, list_transform(range(1, 65), lambda i: (p.vector[i] + 0.5 * q.vector[i]) / n.s) AS v FROM prompts p, (SELECT vector FROM prompts WHERE label = 0) q,
+    (SELECT a.label, sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.vector[i] + 0.5 * b.vector[i]) * (a.vector[i] + 0.5 * b.vector[i])))) AS s FROM prompts a, (SELECT vector FROM prompts WHERE label = 0) b) n WHERE n.label = p.label)""", PROMPTS)
+def personal_prompts(spark, d):
+    e = embeddings(spark, d)
+    named = prompts(spark, d).select(F.regexp_replace("label", "c", "").cast("int").alias("label"), "vector")
+    mine = e.where("label = 0").select("embedding")
+    liked = named.select("label").join(mine)  # every label is given the pictures of label 0
+    out = vectors.personalised(named, liked, 0.5, 5)
+    return out.select("label", F.round(S.dot(F.col("vector"), F.col("vector")), 6).alias("norm"), F.round(F.col("vector")[0], 6).alias("first"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid_search(spark, sf_dir)

@@ -442,3 +442,59 @@ def test_runs_over_slices_are_those_of_one_window(spark):
         out = with_runs(df, lambda prior: F.col("taken_at") - prior["taken_at"] > 9000, "r", ("owner",), slice_sec=size)
         assert {(r.media_id, r.r) for r in out.collect()} == want
         assert out.columns == [*df.columns, "r"]
+
+
+# encoders' input
+
+
+def test_resampling(spark):
+    from shoebox.sources import encoders
+
+    flat = np.full((40, 60, 3), 77, np.uint8)
+    assert (encoders.resized(flat, 7, 9) == 77).all() and encoders.resized(flat, 7, 9).shape == (9, 7, 3)
+    ramp = np.repeat(np.arange(0, 200, 10, dtype=np.uint8)[None, :, None], 5, 0).repeat(3, 2)
+    assert np.allclose(encoders.resized(ramp, 10, 5)[0, 2:-2, 0], ramp.reshape(5, 10, 2, 3).mean(2)[0, 2:-2, 0], atol=1)
+    assert np.allclose(encoders.triangle_weights(11, 4).sum(1), 1) and (encoders.triangle_weights(5, 5) == np.eye(5)).all()
+    one = encoders.model_input(ramp.repeat(4, 0), 8, [0.0] * 3, [1.0] * 3)
+    assert one.shape == (3, 8, 8) and 0 <= one.min() <= one.max() <= 1
+    images = spark.createDataFrame([(1, 2, 2, bytes(12)), (2, 2, 2, b"x"), (3, None, 2, bytes(12))], "media_id INT, width INT, height INT, rgb BINARY")
+    got = {r.media_id: r["values"] for r in encoders.model_inputs(images, 2, [0.5] * 3, [0.5] * 3).collect()}
+    assert got[1] == [-1.0] * 12 and got[2] is None and got[3] is None
+
+
+def test_ids_for_a_text_encoder(spark):
+    from shoebox.sources import encoders
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    rows = spark.createDataFrame([("A  Photo",), ("a photo",), (None,), ("word " * 200,)], "t STRING")
+    got = [r[0] for r in rows.select(encoders.padded_ids(F.col("t"), public_tokenizers.path("word_bpe_49k.json"))).collect()]
+    assert all(len(x) == 77 and x[0] == 49406 and x[-1] == 49407 for x in got)
+    assert got[0] == got[1] and got[2] == [49406] + [49407] * 76 and got[3].count(49407) == 1
+
+
+def test_prompts_are_kept_by_stamp(spark, tmp_path):
+    from shoebox.sources import encoders
+
+    p = spark.createDataFrame([("category", None, "a", "one"), ("category", None, "a", "two")], "family STRING, parent STRING, label STRING, prompt STRING")
+    mark = encoders.stamp("m", p)
+    assert mark == encoders.stamp("m", p.orderBy(F.desc("prompt"))) != encoders.stamp("n", p)
+    built = []
+
+    def build():
+        built.append(1)
+        return p
+
+    for _ in range(2):
+        assert encoders.kept_by_stamp(spark, f"file://{tmp_path}/p", mark, build).count() == 2
+    assert len(built) == 1
+
+
+def test_cleanup(spark):
+    from shoebox.operators import cleanup
+
+    m = media(spark, {"media_id": 1, "sha256": "a", "bytes": 5, "blur_score": 1.0, "display_name": "x"}, {"media_id": 2, "sha256": "a", "bytes": 7, "brightness": 1.0, "display_name": "x (1)"})
+    g = grouping.exact_groups(m)
+    got = {(r.section, r.media_id, r.detail) for r in cleanup.report(m, g, 2.0, 5.0, 250.0, 1).collect()}
+    assert got == {("blurry", 1, "1.0"), ("low quality", 2, "7"), ("copies", 1, "EXACT:1"), ("copies", 2, "EXACT:1"), ("reclaimable", None, "7")}
+    gone, kept = cleanup.trash(m.select("media_id"), g)
+    assert ids(gone) == [2] and ids(kept) == [1]

@@ -77,8 +77,13 @@ def test_frames(spark):
 def test_vectors_and_models(spark):
     unit = values(spark, [([3.0, 4.0],), ([0.0, 0.0],)], "v ARRAY<FLOAT>", S.unit(F.col("v")))
     assert np.allclose(unit, [[0.6, 0.8], [0, 0]])
-    ids = values(spark, [(["b", "a"], ["2", "1"]), (["a", "b"], ["1", "2"])], "n ARRAY<STRING>, h ARRAY<STRING>", S.model_identity(F.col("n"), F.col("h")))
-    assert ids[0] == ids[1] and len(ids[0]) == 12
+    import hashlib
+
+    want = "sha@" + hashlib.sha256(b"a=1f\nb=2\n").hexdigest()[:12]
+    rows = [({"b": "2", "a": "1F"}, {"a": "x"}, "old"), ({"b": "2", "a": "1"}, {"a": "1", "b": "2"}, "old")]
+    assert values(spark, rows, "f MAP<STRING,STRING>, s MAP<STRING,STRING>, l STRING", S.model_identity(F.col("f"), F.col("s"), F.col("l"))) == [want, "old"]
+    json = spark.createDataFrame([('{"files":{"a":"AB"},"sizes":{"a":7}}',), ("{}",)], "j STRING")
+    assert [(r[0], r[1]) for r in json.select(S.manifest_files(F.col("j")), S.manifest_sizes(F.col("j"))).collect()] == [({"a": "ab"}, {"a": 7}), ({}, {})]
     assert values(spark, [("AB", "ab"), ("a", None)], "a STRING, b STRING", S.same_hash(F.col("a"), F.col("b"))) == [True, False]
 
 
