@@ -177,32 +177,32 @@ def _lists(batch: pa.ListArray) -> Iterator[list[int]]:
     return (values[a:b].tolist() for a, b in pairwise(offsets))
 
 
+_DECODERS: dict[str, Decoder] = {}
+_DECIMALS: list[bytes] = []
+
+
 def decode_column(vocabulary: str):
     """Column function: array<int> of ids to the bytes they stand for; null as no ids."""
 
-    @F.arrow_udf("binary")
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = Decoder(vocabulary)
-        for batch in batches:
-            yield pa.array([own.decode(ids) for ids in _lists(batch)], pa.binary())
+    def decode(batch: pa.Array) -> pa.Array:
+        if vocabulary not in _DECODERS:  # one for each vocabulary and worker process
+            _DECODERS[vocabulary] = Decoder(vocabulary)
+        return pa.array(map(_DECODERS[vocabulary].decode, _lists(batch)), pa.binary())
 
-    return lambda col: decode(F.col(col))
+    return lambda col: F.arrow_udf(decode, "binary")(F.col(col))
 
 
 def ids_digest_column():
     """Column function: array<int> to the lowercase hex SHA-256 of the decimal ids joined by commas."""
 
-    @F.arrow_udf("string")
-    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        text: list[bytes] = []
-        for batch in batches:
-            out = []
-            for ids in _lists(batch):
-                text += [b"%d," % k for k in range(len(text), 1 + max(ids, default=-1))]
-                out.append(hashlib.sha256(b"".join(map(text.__getitem__, ids))[:-1]).hexdigest())
-            yield pa.array(out, pa.string())
+    def digest(batch: pa.Array) -> pa.Array:
+        out = []
+        for ids in _lists(batch):
+            _DECIMALS.extend(b"%d," % k for k in range(len(_DECIMALS), 1 + max(ids, default=-1)))
+            out.append(hashlib.sha256(b"".join(map(_DECIMALS.__getitem__, ids))[:-1]).hexdigest())
+        return pa.array(out, pa.string())
 
-    return lambda col: digest(F.col(col))
+    return lambda col: F.arrow_udf(digest, "string")(F.col(col))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
