@@ -66,10 +66,17 @@ def all_groups(media: DataFrame, similarity: float, gap_sec: int, markers: tuple
     return exact.unionByName(burst_groups(media, exact, similarity, gap_sec, by))
 
 
-def numbered(groups: DataFrame) -> DataFrame:
-    """groups with group_id from 1, exact ones first, by key. The numbers are given to the distinct keys alone."""
-    keys = groups.select("kind", "key").distinct()
-    ids = keys.withColumn("group_id", F.row_number().over(W.orderBy(F.col("kind") != "EXACT", F.length("key"), "key")))
+def numbered(groups: DataFrame, parts: int = 1024) -> DataFrame:
+    """groups with group_id from 1 without gaps, exact ones first.
+
+    Keys are dealt by their hash and numbered inside each part; the parts' counts, at most `parts` for
+    each kind, are summed before them.
+    """
+    keys = groups.select("kind", "key").distinct().withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+    order = W.orderBy(F.col("kind") != "EXACT", "kind", "part")
+    base = keys.groupBy("kind", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.sum("n").over(order) - F.col("n"))
+    inside = F.row_number().over(W.partitionBy("kind", "part").orderBy("key"))
+    ids = keys.withColumn("inside", inside).join(base, ["kind", "part"]).select("kind", "key", (F.col("base") + F.col("inside")).alias("group_id"))
     return groups.join(ids, ["kind", "key"])
 
 

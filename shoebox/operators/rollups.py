@@ -70,20 +70,32 @@ def percentiles(df: DataFrame, col: str, percents: tuple[int, ...] = PERCENTS) -
     return one.select(F.explode(F.arrays_zip(F.array(*map(F.lit, percents)).alias("percent"), F.col("v").alias("value"))).alias("z")).select("z.percent", "z.value")
 
 
-def percentiles_at(df: DataFrame, col: str, percents: tuple[int, ...] = PERCENTS) -> DataFrame:
-    """One row per percentile: the value at the place (n - 1) * p / 100, cut to a whole number.
+def percentiles_at(df: DataFrame, col: str, percents: tuple[int, ...] = PERCENTS, parts: int = 200) -> DataFrame:
+    """One row per percentile: the value at the place (n - 1) * p / 100, cut to a whole number; no row without values.
 
-    Values are counted before they are ranked, and their running totals are found by the range
-    partitions' own sums, so no task sees more than its share of the distinct values.
+    Values fall into parts between approximate quantiles, which are constants once found; the parts'
+    counts tell in which a place lies, and only the distinct values of those parts are ordered, each
+    part for itself.
     """
-    per = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    ranged = per.repartitionByRange("value").withColumn("part", F.spark_partition_id()).persist()
-    sums = ranged.groupBy("part").agg(F.sum("n").alias("s"), F.min("value").alias("low"))
-    base = sums.select("part", (F.sum("s").over(W.orderBy("low")) - F.col("s")).alias("base"), F.sum("s").over(W.partitionBy()).alias("total"))
-    run = ranged.join(F.broadcast(base), "part").withColumn("last", F.col("base") + F.sum("n").over(W.partitionBy("part").orderBy("value")))
-    wanted = run.select("value", "n", "last", "total", F.explode(F.array(*map(F.lit, percents))).alias("percent"))
-    at = F.floor((F.col("total") - 1) * F.col("percent") / 100)
-    return wanted.where((at < F.col("last")) & (at >= F.col("last") - F.col("n"))).select("percent", "value")
+    rows = df.where(F.col(col).isNotNull()).select(F.col(col).alias("value"))
+    found = rows.agg(F.percentile_approx("value", [k / parts for k in range(1, parts)], 10_000).alias("b")).first().b
+    if not found:
+        return rows.limit(0).select(F.lit(0).alias("percent"), "value")
+    bounds = F.array(*map(F.lit, sorted(set(found))))
+    dealt = rows.withColumn("part", F.size(F.filter(bounds, lambda b: b <= F.col("value"))))
+    counts = sorted((r.part, r.n) for r in dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    total, wanted = sum(n for _, n in counts), []
+    for percent in percents:
+        place = (total - 1) * percent // 100
+        for part, n in counts:
+            if place < n:
+                wanted.append((percent, part, place))
+                break
+            place -= n
+    asked = df.sparkSession.createDataFrame(wanted, "percent INT, part INT, place BIGINT")
+    per = dealt.where(F.col("part").isin(sorted({p for _, p, _ in wanted}))).groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
+    run = per.withColumn("last", F.sum("n").over(W.partitionBy("part").orderBy("value")))
+    return run.join(asked, "part").where((F.col("place") < F.col("last")) & (F.col("place") >= F.col("last") - F.col("n"))).select("percent", "value")
 
 
 def mean_vectors(df: DataFrame, key: str, col: str = "embedding") -> DataFrame:

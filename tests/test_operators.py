@@ -389,6 +389,18 @@ def test_percentiles_of_nothing(spark):
     assert rollups.counts(media(spark)).first().progress == 0
 
 
+def test_numbers_and_places(spark):
+    g = spark.createDataFrame([("EXACT" if k % 3 else "BURST", f"k{k}", k) for k in range(50)] * 2, "kind STRING, key STRING, media_id INT")
+    out = {(r.kind, r.key): r.group_id for r in grouping.numbered(g, 4).collect()}
+    assert sorted(out.values()) == list(range(1, 51))
+    assert max(i for (k, _), i in out.items() if k == "EXACT") < min(i for (k, _), i in out.items() if k == "BURST")
+    draw = random.Random(6)
+    xs = sorted(draw.choice((draw.random(), 0.5, 0.25)) for _ in range(999))
+    df = spark.createDataFrame([(x,) for x in xs], "x DOUBLE")
+    for parts in (2, 7, 200):
+        assert {r.percent: r.value for r in rollups.percentiles_at(df, "x", (0, 1, 5, 50, 90, 100), parts).collect()} == {p: xs[998 * p // 100] for p in (0, 1, 5, 50, 90, 100)}
+
+
 def test_metrics(spark):
     p = spark.createDataFrame([(1, "a", ["a", "b"]), (2, "b", ["a"]), (3, "b", []), (4, "a", ["a"])], "item_id BIGINT, truth STRING, predicted ARRAY<STRING>")
     by = {r.label: r for r in evaluate.per_label(p).collect()}
