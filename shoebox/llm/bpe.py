@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_pairs import PATTERN, Chunks, PairTable, load_ranks
+from .byte_pairs import PATTERN, Chunks, PairTable, load_ranks, slices
 from .session import bounded_batches
 
 #: Chunks whose ids a worker keeps; beyond that the older ones go, to a share of KEPT_SHARE.
 KEPT_CHUNKS, KEPT_SHARE = 400_000, 0.6
 #: Tree nodes held at once.
-TREE_NODES = 2_000_000
+TREE_NODES = 500_000
 
 
 class SegmentTreeBpe:
@@ -118,6 +118,9 @@ class Codec:
         self.bpe, self.chunks, self.kept = SegmentTreeBpe(path), Chunks(pattern), {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [ids for some in slices(texts) for ids in self._encode(some)]
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         kept = self.kept
         if len(kept) > KEPT_CHUNKS:
             kept = self.kept = dict(islice(kept.items(), int(len(kept) * (1 - KEPT_SHARE)), None))
@@ -181,28 +184,26 @@ _DECODERS: dict[str, Decoder] = {}
 _DECIMALS: list[bytes] = []
 
 
+def decoder(vocabulary: str) -> Decoder:
+    """One for each vocabulary and worker process."""
+    if vocabulary not in _DECODERS:
+        _DECODERS[vocabulary] = Decoder(vocabulary)
+    return _DECODERS[vocabulary]
+
+
 def decode_column(vocabulary: str):
     """Column function: array<int> of ids to the bytes they stand for; null as no ids."""
 
     def decode(batch: pa.Array) -> pa.Array:
-        if vocabulary not in _DECODERS:  # one for each vocabulary and worker process
-            _DECODERS[vocabulary] = Decoder(vocabulary)
-        return pa.array(map(_DECODERS[vocabulary].decode, _lists(batch)), pa.binary())
+        return pa.array(map(decoder(vocabulary).decode, _lists(batch)), pa.binary())
 
     return lambda col: F.arrow_udf(decode, "binary")(F.col(col))
 
 
-def ids_digest_column():
-    """Column function: array<int> to the lowercase hex SHA-256 of the decimal ids joined by commas."""
-
-    def digest(batch: pa.Array) -> pa.Array:
-        out = []
-        for ids in _lists(batch):
-            _DECIMALS.extend(b"%d," % k for k in range(len(_DECIMALS), 1 + max(ids, default=-1)))
-            out.append(hashlib.sha256(b"".join(map(_DECIMALS.__getitem__, ids))[:-1]).hexdigest())
-        return pa.array(out, pa.string())
-
-    return lambda col: F.arrow_udf(digest, "string")(F.col(col))
+def ids_digest(ids: list[int]) -> str:
+    """Lowercase hex SHA-256 of the decimal ids joined by commas."""
+    _DECIMALS.extend(b"%d," % k for k in range(len(_DECIMALS), 1 + max(ids, default=-1)))
+    return hashlib.sha256(b"".join(map(_DECIMALS.__getitem__, ids))[:-1]).hexdigest()
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,3 +220,26 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """The rows of encode_documents with `decoded`, the bytes of the ids; null ids as none. An unknown id fails."""
     bounded_batches(encoded.sparkSession)
     return encoded.select("*", decode_column(vocabulary)("ids").alias("decoded"))
+
+
+def round_trips(docs: DataFrame, vocabulary: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encodes each text, decodes its ids, and tells of both: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Rows are as those of encode_documents and decode_documents; the ids and bytes stay in the worker
+    that made them and only their digests leave it.
+    """
+    bounded_batches(docs.sparkSession)
+
+    @F.arrow_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
+    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, back = codec(vocabulary, pattern), decoder(vocabulary)
+        for batch in batches:
+            rows = []
+            for some in slices([x or "" for x in batch.to_pylist()]):
+                for found in encoder.encode(some):
+                    ids = found.tolist()
+                    rows.append((len(ids), ids_digest(ids), hashlib.sha256(back.decode(ids)).hexdigest()))
+            columns = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col(id_col).alias("doc_id"), told(F.col(text_col).cast("string")).alias("t")).select("doc_id", "t.*")

@@ -41,6 +41,23 @@ def load_merges(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]],
     return vocabulary, [(raw(a), raw(b)) for a, b in pairs], added
 
 
+#: Letters of the texts that are cut into chunks at once.
+SLICE = 1 << 20
+
+
+def slices(texts: list[str], limit: int = SLICE) -> list[list[str]]:
+    """texts in order, some at a time: about `limit` letters together, or one longer text."""
+    out: list[list[str]] = []
+    held = 0
+    for text in texts:
+        if not out or held + len(text) > limit:
+            out.append([])
+            held = 0
+        out[-1].append(text)
+        held += len(text)
+    return out
+
+
 class PairTable:
     """Maps pairs of ids to a number by binary search in one sorted array."""
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .byte_pairs import slices
 from .session import bounded_batches
 
 #: Expected bytes of labelled text that are learned from, for each language.
@@ -207,6 +208,14 @@ class Scorer:
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """(language, its share of the probability); und and 0 where there is no letter or no model."""
+        names, shares = [], []
+        for some in slices(texts):
+            a, b = self._predict(some)
+            names += a
+            shares += b
+        return names, shares
+
+    def _predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         kept = self.kept
         if len(kept) > KEPT_CHUNKS:
             kept.clear()

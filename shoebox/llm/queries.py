@@ -81,14 +81,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
-    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    both = bpe.decode_documents(bpe.encode_documents(docs, vocabulary, public_tokenizers.PATTERN), vocabulary)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        bpe.ids_digest_column()("ids").alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return bpe.round_trips(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 #: The rules that come before the mined ones.

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_pairs import Chunks, PairTable, load_merges
+from .byte_pairs import Chunks, PairTable, load_merges, slices
 from .session import bounded_batches
 
 #: Chunks whose counts a worker keeps; then it starts anew, so memory stays bounded.
@@ -82,6 +82,9 @@ class TokenCounter:
         self.merger, self.chunks, self.kept = RankMerger(path), Chunks(), {}
 
     def count(self, texts: list[str]) -> list[int]:
+        return [n for some in slices(texts) for n in self._count(some)]
+
+    def _count(self, texts: list[str]) -> list[int]:
         kept, parts, out = self.kept, [], []
         if len(kept) > KEPT_CHUNKS:
             kept.clear()

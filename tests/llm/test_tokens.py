@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from shoebox.llm import bpe, queries, token_count
+from shoebox.llm import bpe, byte_pairs, queries, token_count
 
 from .data import TEXTS, edges, empty
 
@@ -72,6 +72,22 @@ def test_small_caches_change_nothing(library, monkeypatch):
         assert own.encode([text, text])[1].tolist() == library.encode_ordinary(text)
 
 
+def test_slices_keep_all_texts_in_order():
+    texts = ["a" * n for n in (0, 5, 3, 20, 0, 1, 9, 10)]
+    for limit in (1, 8, 10, 100):
+        assert [t for some in byte_pairs.slices(texts, limit) for t in some] == texts
+        assert all(len(some) == 1 or sum(map(len, some)) <= limit for some in byte_pairs.slices(texts, limit))
+    assert byte_pairs.slices([]) == []
+
+
+def test_ids_and_bytes_as_columns(spark, library):
+    docs = edges(spark)
+    encoded = bpe.decode_documents(bpe.encode_documents(docs, RANKS), RANKS).collect()
+    assert sorted((str(r.doc_id), list(r.ids), bytes(r.decoded)) for r in encoded) == sorted((str(i), library.encode_ordinary(t or ""), (t or "").encode()) for i, t in TEXTS)
+    none = spark.createDataFrame([(None,), ([],)], "ids ARRAY<INT>")
+    assert [bytes(r.decoded) for r in bpe.decode_documents(none, RANKS).collect()] == [b"", b""]
+
+
 def test_a_table_of_counts(spark):
     out = token_count.token_counts(edges(spark), MERGES).collect()
     library = Tokenizer.from_file(MERGES)
