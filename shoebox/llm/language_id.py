@@ -32,6 +32,8 @@ SMOOTHING = 0.05
 LONGEST = 120
 #: Raises each letter's share of a probability, so long words don't underflow.
 LIFT = 16.0
+#: Words of which a sum over segmentations falls below this are summed in logs instead.
+TINY = 1e-250
 #: Chunks whose scores a worker keeps.
 KEPT_CHUNKS = 400_000
 #: Letters of distinct words that go through the forward pass together.
@@ -117,9 +119,15 @@ class Model:
     def word_scores(self, distinct: list[str]) -> np.ndarray:
         """log probability of each word in each language, over all segmentations."""
         out = np.zeros((len(distinct), len(self.languages)))
+        if not self.languages:
+            return out
+        chances = np.vstack([self.chances, np.zeros(len(self.languages))])
         for part, codes in grouped(distinct):
-            forward = _forward(self.table, codes, np.vstack([self.chances, np.zeros(len(self.languages))]))
-            out[part] = np.log(forward[:, -1]) - codes.shape[1] * np.log(LIFT)
+            forward = _forward(self.table, codes, chances)
+            low = forward.min((1, 2)) < TINY
+            out[part[~low]] = np.log(forward[~low, -1]) - codes.shape[1] * np.log(LIFT)
+            if low.any():
+                out[part[low]] = _log_forward(self.table, codes[low], _logs(chances))[:, -1]
         return out
 
 
@@ -136,6 +144,41 @@ def _forward(table: PieceTable, codes: np.ndarray, chances: np.ndarray) -> np.nd
     return forward
 
 
+def _logs(chances: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(chances)
+
+
+def _log_forward(table: PieceTable, codes: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """The logarithm of _forward without LIFT, which no run of rare letters brings to zero; logs are those of its chances."""
+    count, n = codes.shape
+    at = [p for _, p in table.inside(codes)]
+    forward = np.full((count, n + 1, logs.shape[1]), -np.inf)
+    forward[:, 0] = 0.0
+    for end in range(1, n + 1):
+        for size in range(1, min(len(at), end) + 1):
+            forward[:, end] = np.logaddexp(forward[:, end], forward[:, end - size] + logs[at[size - 1][:, end - size]])
+    return forward
+
+
+def _expected_in_logs(table: PieceTable, codes: np.ndarray, weight: np.ndarray, column: np.ndarray, total: np.ndarray) -> None:
+    """_expected for words whose sums are too small for plain numbers."""
+    logs = _logs(column)
+    forward = _log_forward(table, codes, logs[:, None])[:, :, 0]
+    count, n = codes.shape
+    at = [p for _, p in table.inside(codes)]
+    backward = np.full((count, n + 1), -np.inf)
+    backward[:, n] = 0.0
+    for start in range(n - 1, -1, -1):
+        for size in range(1, min(len(at), n - start) + 1):
+            backward[:, start] = np.logaddexp(backward[:, start], logs[at[size - 1][:, start]] + backward[:, start + size])
+    for size in range(1, len(at) + 1):
+        piece = at[size - 1]
+        share = np.exp(forward[:, : n - size + 1] + logs[piece] + backward[:, size:] - forward[:, n:]) * weight[:, None]
+        known = piece >= 0
+        total += np.bincount(piece[known], share[known], len(total))
+
+
 def _expected(table: PieceTable, codes: np.ndarray, weight: np.ndarray, chances: np.ndarray, total: np.ndarray) -> None:
     """Adds the expected number of each piece in weighted words to total (one language)."""
     column = np.append(chances, 0.0)
@@ -147,7 +190,10 @@ def _expected(table: PieceTable, codes: np.ndarray, weight: np.ndarray, chances:
     for start in range(n - 1, -1, -1):
         for size in range(1, min(len(at), n - start) + 1):
             backward[:, start] += column[at[size - 1][:, start]] * LIFT**size * backward[:, start + size]
-    scale = weight / forward[:, n]
+    low = np.minimum(forward.min(1), backward.min(1)) < TINY
+    if low.any():
+        _expected_in_logs(table, codes[low], weight[low], column, total)
+    scale = np.where(low, 0.0, weight / np.where(low, 1.0, forward[:, n]))
     for size in range(1, len(at) + 1):
         piece = at[size - 1]
         share = forward[:, : n - size + 1] * column[piece] * LIFT**size * backward[:, size:] * scale[:, None]

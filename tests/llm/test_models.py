@@ -54,6 +54,31 @@ def test_training_raises_the_likelihood():
     assert abs(learned.sum() - 1) < 1e-9
 
 
+def test_long_runs_of_unseen_letters_lose_nothing(model):
+    chance = {p: model.chances[k + 1] for k, p in enumerate(model.vocabulary)}
+    runs = ["字" * 60, "한" * 90, "の" * 119, "字" * 60 + "the" * 19]
+    for word in ["▁" + r for r in runs]:
+        logs = [np.zeros(len(model.languages))]
+        for end in range(1, len(word) + 1):
+            ways = [(k, chance.get(word[k:end], model.chances[0] if end - k == 1 else None)) for k in range(max(0, end - model.table.longest), end)]
+            logs.append(np.logaddexp.reduce([logs[k] + np.log(c) for k, c in ways if c is not None]))
+        assert np.allclose(model.word_scores([word])[0], logs[-1], rtol=1e-9)
+    scorer = language_id.Scorer(model)
+    told = {"en": "the house of the people and the water with their", "de": "der Mann und die Frau gehen nicht mit dem Kind", "fr": "les enfants sont dans la maison avec leur"}
+    for name, text in told.items():
+        for run in runs:
+            (lang,), (score,) = scorer.predict([f"{text} {run} " + " ".join([text] * 20)])
+            assert lang == name and 0 < score <= 1
+
+
+def test_training_bears_long_runs_of_rare_letters():
+    letters = [chr(0x4E00 + k) for k in range(30_000)]
+    table_ = language_id.PieceTable(letters)
+    learned = language_id._learn(table_, {"▁" + "".join(letters[:119]): 2, letters[0]: 1})
+    assert np.isfinite(learned).all() and abs(learned.sum() - 1) < 1e-9
+    assert learned[1] > learned[2] > learned[200]
+
+
 def test_long_words_are_read_whole(model):
     scorer = language_id.Scorer(model)
     (lang, score) = (x[0] for x in scorer.predict(["thening" * 3000]))
