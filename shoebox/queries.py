@@ -599,6 +599,20 @@ def backup_links(spark, d):
     return backup.resolved(refs, m)
 
 
+@query("""SELECT ref, CASE WHEN n = 1 THEN any_id WHEN np = 1 THEN same END AS media_id FROM (
+    SELECT r.media_id AS ref, count(*) AS n, min(m.media_id) AS any_id, count(*) FILTER (r.rel_path = m.rel_path) AS np, min(m.media_id) FILTER (r.rel_path = m.rel_path) AS same
+    FROM media r JOIN media m ON r.display_name = m.display_name AND r.bytes = m.bytes AND r.taken_at IS NOT DISTINCT FROM m.taken_at GROUP BY r.media_id) WHERE n = 1 OR np = 1
+    UNION ALL SELECT -1 - ref, CASE WHEN n = 1 THEN any_id WHEN np = 1 THEN same END FROM (
+    SELECT r.media_id AS ref, count(*) AS n, min(m.media_id) AS any_id, count(*) FILTER (r.rel_path = m.rel_path) AS np, min(m.media_id) FILTER (r.rel_path = m.rel_path) AS same
+    FROM media r JOIN media m ON r.display_name = m.display_name AND r.bucket = m.bucket GROUP BY r.media_id) WHERE n = 1 OR np = 1""", MEDIA)
+def backup_links_of_all(spark, d):
+    """References to every row of media: by name, bytes and time, and as -1 - ref by name and bucket, which several share."""
+    m = media(spark, d)
+    alike = m.withColumn("bytes", F.crc32(F.col("bucket").cast("binary"))).withColumn("taken_at", F.lit(None).cast("bigint"))
+    refs = lambda rows: rows.select(F.col("media_id").alias("ref"), F.col("display_name").alias("name"), "bytes", F.col("taken_at").alias("taken"), F.col("rel_path").alias("path"))
+    return backup.resolved(refs(m), m).unionByName(backup.resolved(refs(alike), alike).withColumn("ref", -1 - F.col("ref")))
+
+
 @query("SELECT source AS name, lang, n_chars AS bytes, sha256(text) AS sha256 FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents GROUP BY 1 HAVING count(*) > 1)")
 def shared_content(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("source").alias("name"), "lang", F.col("n_chars").alias("bytes"), S.content_hash(F.col("text")).alias("sha256"))
