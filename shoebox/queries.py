@@ -760,6 +760,40 @@ def tag_search(spark, d):
     return out.groupBy("section").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT section, media_id, (row_number() OVER (PARTITION BY section ORDER BY raw DESC, media_id) - 1)::INT AS pos, round(raw, 6) AS score FROM (
+    SELECT CASE WHEN m.media_id IN (SELECT media_id FROM tags WHERE label = 'view') THEN 'close' ELSE 'other' END AS section, m.media_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS raw
+    FROM media m JOIN embeddings e ON m.media_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 5) q WHERE is_accessible AND state >= 1 AND media_kind = 'photo')""", MEDIA, TAGS)
+def tag_ranking(spark, d):
+    """What tag_search counts, row by row."""
+    asked = parser.Query(text="바다", tags=["view"], media="image")
+    p = Params(close_limit=1 << 30, other_limit=1 << 30)
+    v = query_vector(spark, d, 5)
+    out = search.search(asked, with_vectors(spark, d), tags(spark, d), None, v, tag_vector=v, params=p)
+    return out.select("section", "media_id", "pos", F.round("score", 6).alias("score"))
+
+
+#: Eight frames of each video, four seconds apart, and their scores; r is a frame's place in its video.
+HITS = """hits AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY raw DESC, time_ms) AS r FROM (
+    SELECT f.vec_id // 8 * 5 AS media_id, f.vec_id % 8 * 4000 AS time_ms, list_dot_product(CAST(f.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS raw FROM embeddings f, (SELECT embedding FROM embeddings WHERE vec_id = 5) q))"""
+FIRST = "one AS (SELECT media_id, time_ms AS t1, raw FROM hits WHERE r = 1)"
+SECOND = "two AS (SELECT media_id, arg_min(time_ms, r) AS t2 FROM hits JOIN one USING (media_id) WHERE abs(time_ms - t1) >= 10000 GROUP BY media_id)"
+THIRD = "three AS (SELECT media_id, arg_min(time_ms, r) AS t3 FROM hits JOIN one USING (media_id) JOIN two USING (media_id) WHERE abs(time_ms - t1) >= 10000 AND abs(time_ms - t2) >= 10000 GROUP BY media_id)"
+
+
+@query("""SELECT CASE WHEN pos < least(greatest(near, 1), 60) THEN 'close' ELSE 'other' END AS section, media_id, pos::INT AS pos, round(raw, 6) AS score, scenes FROM (
+    SELECT *, count(*) FILTER (best - raw <= 0.05) OVER () AS near FROM (SELECT *, max(raw) OVER () AS best, row_number() OVER (ORDER BY raw DESC, media_id) - 1 AS pos FROM (
+    SELECT m.media_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS raw, '' AS scenes
+    FROM media m JOIN embeddings e ON m.media_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 5) q WHERE is_accessible AND state >= 1 AND media_kind = 'photo'
+    UNION ALL SELECT media_id, raw, concat_ws(',', t1, t2, t3) FROM one LEFT JOIN two USING (media_id) LEFT JOIN three USING (media_id)
+    WHERE media_id IN (SELECT media_id FROM media JOIN embeddings ON media_id = vec_id WHERE is_accessible AND state >= 1 AND media_kind = 'video'))))""", MEDIA, HITS, FIRST, SECOND, THIRD)
+def video_search(spark, d):
+    """Photos and videos in one ranking: a video by its best frame, with its scenes."""
+    frames = embeddings(spark, d).selectExpr("vec_id DIV 8 * 5 AS media_id", "vec_id % 8 * 4000 AS time_ms", "embedding")
+    out = search.search(parser.Query(text="바다"), with_vectors(spark, d), tags(spark, d), frames, query_vector(spark, d, 5), params=Params(close_limit=1 << 30))
+    scenes = F.coalesce(F.array_join(F.transform("scenes", lambda x: x["time_ms"].cast("string")), ","), F.lit(""))
+    return out.select("section", "media_id", "pos", F.round("score", 6).alias("score"), scenes.alias("scenes"))
+
+
 @query("""SELECT label, round(list_sum(list_transform(range(1, 65), lambda i: v[i] * v[i])), 6) AS norm, round(v[1], 6) AS first FROM (
     SELECT p.label, list_transform(range(1, 65), lambda i: (p.vector[i] + 0.5 * q.vector[i]) / n.s) AS v FROM prompts p, (SELECT vector FROM prompts WHERE label = 0) q,
     (SELECT a.label, sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.vector[i] + 0.5 * b.vector[i]) * (a.vector[i] + 0.5 * b.vector[i])))) AS s FROM prompts a, (SELECT vector FROM prompts WHERE label = 0) b) n WHERE n.label = p.label)""", PROMPTS)
