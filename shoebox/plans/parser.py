@@ -1,22 +1,40 @@
-"""Search texts in Korean to a filter and what is left for the encoder. Runs on the driver: a text has a few words."""
+"""Search texts in Korean to a filter and what is left for the encoder. Runs on the driver: a text has a few words.
+
+Parsing has two passes. The first lists what each word may mean, by itself and by the names known, and
+takes the first meaning. The second folds the meanings whose chips are on into one filter; only there do
+months and seasons, which name no year, get one.
+"""
 
 from __future__ import annotations
 
-import calendar
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, date, datetime, timedelta, tzinfo
 
 # The words that the parser knows.
 PLACE_TAILS = ("에서는", "에서의", "에서", "으로", "까지", "부터", "근처", "쪽", "에", "의", "로")
 PARTICLES = ("에서는", "에서", "으로", "이랑", "까지", "부터", "에게", "에", "의", "을", "를", "은", "는", "이", "가", "도", "만")
-VIDEO_WORDS, PHOTO_WORDS = ("영상", "동영상", "비디오"), ("사진",)
+MEDIA = {"video": ("동영상", ("영상", "동영상", "비디오")), "image": ("사진", ("사진",))}
 FILLER = ("나오는", "나온", "찍은", "찍힌", "있는", "보이는", "담긴", "촬영한", "중", "중에")
-SEASONS = {"봄": (3, 5), "여름": (6, 8), "가을": (9, 11), "겨울": (12, 2)}
-THIS_YEAR, LAST_YEAR, YEAR_BEFORE = ("올해", "금년"), ("작년", "지난해"), ("재작년",)
-THIS_MONTH, LAST_MONTH, TODAY, YESTERDAY = ("이번달", "이달"), ("지난달",), ("오늘",), ("어제",)
-NIGHT, NOON = ("밤", "야간", "새벽"), ("낮", "오후")
-NIGHT_HOURS, NOON_HOURS = (20, 29), (9, 18)
+#: Label, words, unit, and how many of it ago.
+RELATIVE = (
+    ("올해", ("올해", "금년"), "year", 0),
+    ("작년", ("작년", "지난해"), "year", 1),
+    ("재작년", ("재작년",), "year", 2),
+    ("이번 달", ("이번달", "이달"), "month", 0),
+    ("지난 달", ("지난달",), "month", 1),
+    ("오늘", ("오늘",), "day", 0),
+    ("어제", ("어제",), "day", 1),
+)
+#: Label, words, first and last hour; 24 and more are after midnight.
+HOURS = (("밤", ("밤", "야간", "새벽"), (20, 29)), ("낮", ("낮", "오후"), (9, 18)))
+#: First month and number of months.
+SEASONS = {"봄": (3, 3), "여름": (6, 3), "가을": (9, 3), "겨울": (12, 3)}
+YEARS = range(1900, 2201)
+
+_PARTICLE = re.compile(f"(.+?)(?:{'|'.join(PARTICLES)})")
+_DATED = re.compile("(?P<month>[0-9]{1,2})월|(?P<year>[0-9]{4})년|(?P<season>봄$|여름|가을|겨울)")
 
 
 @dataclass
@@ -34,74 +52,78 @@ class Query:
 
 
 @dataclass(frozen=True)
-class _Time:
-    label: str
+class Time:
+    """A time that a word names: whole months or days from a start up to a stop, hours of the day, or months of any year."""
+
+    year: int | None = None
     days: tuple[date, date] | None = None
+    months: tuple[int, int] | None = None
     hours: tuple[int, int] | None = None
 
+    def within(self, today: date, year: int | None) -> tuple[date, date] | None:
+        """Start and stop; months of any year are those of `year`, else the latest that have begun."""
+        if not self.months:
+            return self.days
+        start, count = 12 * (today.year if year is None else year) + self.months[0] - 1, self.months[1]
+        if year is None and _months(start, count)[0] > today:
+            start -= 12
+        return _months(start, count)
 
-def _month(year: int, month: int) -> tuple[date, date]:
-    return date(year, month, 1), date(year, month, calendar.monthrange(year, month)[1])
 
+@dataclass(frozen=True)
+class Meaning:
+    """kind: tag, place, media, time or filler."""
 
-def _year(year: int) -> tuple[date, date]:
-    return date(year, 1, 1), date(year, 12, 31)
+    kind: str
+    value: object = None
+    label: str = ""
 
+    #: Kinds that are shown, and whether a word whose chip is off is text again.
+    SHOWN = {"tag": ("태그", True), "place": ("장소", True), "media": ("종류", False), "time": ("시간", False)}
 
-def _named_year(word: str) -> int | None:
-    found = re.match(r"(\d{4})년", word)
-    return int(found[1]) if found and 1900 <= int(found[1]) <= 2200 else None
+    @property
+    def chip(self) -> str | None:
+        return f"{self.SHOWN[self.kind][0]}: {self.label}" if self.kind in self.SHOWN else None
 
 
-def _year_hint(word: str, now: date) -> int | None:
-    for names, back in ((YEAR_BEFORE, 2), (LAST_YEAR, 1), (THIS_YEAR, 0)):
-        if word.startswith(names):
-            return now.year - back
-    return _named_year(word)
-
-
-def _span(year: int, first: int, last: int) -> tuple[date, date]:
-    """From the first month to the last, which is in the next year if it comes earlier."""
-    return date(year, first, 1), _month(year + (last < first), last)[1]
-
-
-def _time(word: str, now: date, hint: int | None) -> _Time | None:
-    before = _month(now.year, now.month)[0] - timedelta(1)
-    yesterday = now - timedelta(1)
-    fixed = [
-        (THIS_YEAR, _Time("올해", _year(now.year))),
-        (LAST_YEAR, _Time("작년", _year(now.year - 1))),
-        (YEAR_BEFORE, _Time("재작년", _year(now.year - 2))),
-        (THIS_MONTH, _Time("이번 달", _month(now.year, now.month))),
-        (LAST_MONTH, _Time("지난 달", _month(before.year, before.month))),
-        (TODAY, _Time("오늘", (now, now))),
-        (YESTERDAY, _Time("어제", (yesterday, yesterday))),
-        (NIGHT, _Time("밤", hours=NIGHT_HOURS)),
-        (NOON, _Time("낮", hours=NOON_HOURS)),
-    ]
-    for names, time in fixed:
-        if word.startswith(names):
-            return time
+def _months(start: int, count: int) -> tuple[date, date]:
+    """From a month up to another, both counted from the year 0."""
+    first, stop = (date(m // 12, m % 12 + 1, 1) for m in (start, start + count))
+    return first, stop
 
-    def latest(first: int, last: int) -> tuple[date, date]:
-        """Of the hinted year, else the latest that has begun."""
-        year = hint if hint is not None else now.year - (date(now.year, first, 1) > now)
-        return _span(year, first, last)
 
-    found = re.match(r"(\d{1,2})월", word)
-    if found and 1 <= int(found[1]) <= 12:
-        month = int(found[1])
-        return _Time(f"{month}월", latest(month, month))
-    year = _named_year(word)
-    if year is not None:
-        return _Time(f"{year}년", _year(year))
-    season = SEASONS.get(word[:2])
-    return _Time(word[:2], latest(*season)) if season else None
-
-
-def _bare(word: str) -> str:
-    """The word without the first particle that it ends in, of which something is left."""
-    return next((word[: -len(p)] for p in PARTICLES if len(word) > len(p) and word.endswith(p)), word)
+def times(word: str, today: date) -> Iterator[Meaning]:
+    """What time the beginning of a word names."""
+    this_month = 12 * today.year + today.month - 1
+    for label, names, unit, ago in RELATIVE:
+        if word.startswith(names):
+            year = today.year - ago
+            day = today - timedelta(ago)
+            found = {"year": Time(year, _months(12 * year, 12)), "month": Time(days=_months(this_month - ago, 1)), "day": Time(days=(day, day + timedelta(1)))}
+            yield Meaning("time", found[unit], label)
+    for label, names, hours in HOURS:
+        if word.startswith(names):
+            yield Meaning("time", Time(hours=hours), label)
+    dated = _DATED.match(word)
+    if dated and dated["season"]:
+        yield Meaning("time", Time(months=SEASONS[dated["season"]]), dated["season"])
+    elif dated and dated["month"] and 1 <= int(dated["month"]) <= 12:
+        yield Meaning("time", Time(months=(int(dated["month"]), 1)), f"{int(dated['month'])}월")
+    elif dated and dated["year"] and int(dated["year"]) in YEARS:
+        yield Meaning("time", Time(int(dated["year"]), _months(12 * int(dated["year"]), 12)), f"{int(dated['year'])}년")
+
+
+def meanings(word: str, today: date, tags: list[str], places: list[str]) -> Iterator[Meaning]:
+    """All that a word may mean, the one that counts first."""
+    cut = _PARTICLE.fullmatch(word)
+    forms = (word, cut[1]) if cut else (word,)
+    yield from (Meaning("tag", t, t) for t in tags if t in forms)
+    called = [p for p in places if word.startswith(p) and word[len(p) :] in ("", *PLACE_TAILS)]
+    yield from (Meaning("place", p, p) for p in sorted(called, key=len, reverse=True))
+    yield from (Meaning("media", kind, label) for kind, (label, names) in MEDIA.items() if forms[-1] in names)
+    yield from times(word, today)
+    if not set(forms).isdisjoint(FILLER):
+        yield Meaning("filler")
 
 
 def parse(text: str, now: date, tags: list[str] | None = None, places: list[str] | None = None, disabled: set[str] | None = None, zone: tzinfo = UTC) -> Query:
@@ -110,53 +132,25 @@ def parse(text: str, now: date, tags: list[str] | None = None, places: list[str]
     Every reading is a chip. A disabled chip has no effect: words of tags and places go back into the
     text, those of kinds and times vanish, and a disabled year is no hint to a month or season.
     """
-    words, off, out = text.split(), disabled or set(), Query()
-    hint = None
-    for word in words:
-        year = _year_hint(word, now)
-        time = _time(word, now, None)
-        if year is not None and not (time and f"시간: {time.label}" in off):
-            hint = year
-            break
-    left: list[str] = []
-    first: date | None = None
-    last: date | None = None
-    for word in words:
-        bare = _bare(word)
-        tag = next((t for t in tags or [] if t in (word, bare)), None)
-        place = max((p for p in places or [] if word == p or word in {p + t for t in PLACE_TAILS}), key=len, default=None)
-        named = (("태그", tag, out.tags) if tag is not None else ("장소", place, out.places) if place is not None else None)
-        if named:
-            chip = f"{named[0]}: {named[1]}"
-            out.chips.append(chip)
-            if chip in off:
-                left.append(word)
-            elif named[1] not in named[2]:
-                named[2].append(named[1])
-            continue
-        kind = ("video", "종류: 동영상") if bare in VIDEO_WORDS else ("image", "종류: 사진") if bare in PHOTO_WORDS else None
-        if kind:
-            out.chips.append(kind[1])
-            if kind[1] not in off:
-                out.media = kind[0]
-            continue
-        time = _time(word, now, hint)
-        if time:
-            chip = f"시간: {time.label}"
-            out.chips.append(chip)
-            if chip not in off:
-                if time.days:
-                    first = max(filter(None, (first, time.days[0])))
-                    last = min(filter(None, (last, time.days[1])))
-                out.hours = time.hours or out.hours
-            continue
-        if word not in FILLER and bare not in FILLER:
-            left.append(word)
-    midnight = lambda d: int(datetime(d.year, d.month, d.day, tzinfo=zone).timestamp())
-    out.text = " ".join(left)
-    out.start = midnight(first) if first else None
-    out.end = midnight(last + timedelta(1)) - 1 if last else None
-    return out
+    off, words = disabled or set(), text.split()
+    read = [(word, next(meanings(word, now, tags or [], places or []), None)) for word in words]
+    # any word that names a year dates months and seasons, whatever else it is
+    named = (m for word in words for m in times(word, now) if m.value.year is not None and m.chip not in off)
+    year = next((m.value.year for m in named), None)
+    on = [m for _, m in read if m and m.chip not in off]
+    values = lambda kind: list(dict.fromkeys(m.value for m in on if m.kind == kind))
+    spans = [span for m in on if m.kind == "time" and (span := m.value.within(now, year))]
+    second = lambda d: int(datetime(d.year, d.month, d.day, tzinfo=zone).timestamp())
+    return Query(
+        text=" ".join(word for word, m in read if m is None or (m.chip in off and m.SHOWN[m.kind][1])),
+        start=max((second(a) for a, _ in spans), default=None),
+        end=min((second(b) - 1 for _, b in spans), default=None),
+        hours=next((m.value.hours for m in reversed(on) if m.kind == "time" and m.value.hours), None),
+        tags=values("tag"),
+        places=values("place"),
+        chips=[m.chip for _, m in read if m and m.chip],
+        media=next((m.value for m in reversed(on) if m.kind == "media"), None),
+    )
 
 
 def translate(text: str, words: dict[str, str]) -> tuple[str, bool]:
