@@ -24,9 +24,14 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, one machine that is driver and executors gets a folder of its own; a cluster is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -55,8 +60,20 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each with as many underscores before it as it takes to be none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def with_row_key(docs: DataFrame, names: tuple[str, str]) -> DataFrame:
-    """docs with two more columns that name each physical row: its file and its position there.
+    """docs with two more columns, of names it hasn't, that name each physical row: its file and its position there.
 
     Both stay the same however often the rows are read, so decisions made in one scan find their
     rows in the next, even where ids repeat or are null. Rows that come from no file are written

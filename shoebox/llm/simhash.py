@@ -1,23 +1,23 @@
 """Near-duplicates by SimHash, with links found by pivot distance tables.
 
-A fingerprint's distances to fixed reference fingerprints bound its distance to any other: two
-fingerprints within 2 bits differ by at most 2 in every one of these coordinates. Sixty-four of the
-references have one bit each; they fall into five families of neighbouring bits. A pair within 2
-bits leaves the distances to at least three whole families unchanged (apart from the shift that all
-coordinates share), so those of any three families together make a key, ten keys in all, and every
-pair that links meets under one of them. Thirty-two further references, drawn from a hash, discard
-pairs by the largest difference of a coordinate. What survives is compared bit by bit.
-
-Keys that many fingerprints share are not paired. Their fingerprints meet at the fingerprints within
-one bit of each: whatever meets at such a point is within 2 bits of one another, and any two within
-2 bits meet at one, so linking each to the least at the point gives the same components.
+The table has each distinct fingerprint's Hamming distances to reference fingerprints: to none set, to
+each with one bit set, and to PIVOTS drawn from a hash. Relative to the distance to none set, those to
+the one-bit references are coordinates of which two fingerprints within 2 bits differ in at most 2. The
+coordinates are cut into five families, of which such a pair shares at least three whole, so the
+coordinates of any three families together make a key, ten keys in all, and every pair that links meets
+under one of them. Of what meets, the drawn references discard pairs by the largest difference of a
+coordinate, and what survives is compared bit by bit.
+
+A key that many fingerprints share is split by the coordinates that it leaves open, in the same way:
+five families of them, keys of three. After three such steps at most MAX_OPEN coordinates are open, so
+no more than 2 ** MAX_OPEN fingerprints can meet, and no group is ever larger than that or CROWD.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import combinations, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,24 +26,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .session import bounded_batches, with_row_key, work_path, written
+from .session import bounded_batches, free_names, with_row_key, work_path, written
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
-#: Bits of the five families of one-bit references.
-FAMILIES = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
-#: References beyond those of one bit.
+#: References beyond those of one bit and none.
 PIVOTS = 32
-#: Fingerprints of one key that are compared pairwise; more go by common neighbours.
-PAIRED = 64
+#: Fingerprints of one key from which on it is split by further coordinates.
+CROWD = 64
+#: Keys of three families of five, and how often a key can be split.
+KEYS, STEPS = tuple(combinations(range(5), 3)), 3
+#: Coordinates that the last keys leave open.
+MAX_OPEN = 5
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-#: Keys: the bits of three families each.
-KEYS = tuple(_signed(sum(((1 << hi) - (1 << lo)) for lo, hi in three)) for three in combinations(FAMILIES, 3))
-REFERENCES = tuple(_signed(int.from_bytes(hashlib.sha256(b"pivot %d" % k).digest()[:8], "big")) for k in range(PIVOTS))
+ONE_BIT = tuple(_signed(1 << k) for k in range(64))
+DRAWN = tuple(_signed(int.from_bytes(hashlib.sha256(b"pivot %d" % k).digest()[:8], "big")) for k in range(PIVOTS))
 
 
 def fingerprint(text: bytes) -> int:
@@ -74,31 +75,65 @@ def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(prints: DataFrame, paired: int = PAIRED) -> DataFrame:
-    """(u, v) of distinct fingerprints (column fp), enough of those within 2 bits to give the same components as all of them."""
+def distance_table(prints: DataFrame) -> DataFrame:
+    """fp and `near`: its distances to the one-bit references, relative to that to none set."""
+    fp, to = F.col("fp"), lambda r: _distance(F.col("fp"), F.lit(r)).cast("tinyint")
+    return prints.select(fp, F.transform(F.array(*map(to, ONE_BIT)), lambda d: (d - to(0)).cast("tinyint")).alias("near"))
+
+
+def _keys(key: Column, coordinates: Column, most: int) -> list[tuple[Column, Column]]:
+    """(key, the coordinates that it leaves open) for each three of the five families of at most `most` coordinates; each extends `key`."""
+    cut = [round(most * k / 5) for k in range(6)]
+    family = [F.slice(coordinates, lo + 1, hi - lo) for lo, hi in pairwise(cut)]
+    return [(F.xxhash64(F.lit(no), key, *(family[k] for k in three)), F.concat(*(family[k] for k in range(5) if k not in three))) for no, three in enumerate(KEYS)]
+
+
+def _open_after(most: int) -> int:
+    cut = [round(most * k / 5) for k in range(6)]
+    return sum(sorted(hi - lo for lo, hi in pairwise(cut))[-2:])
+
+
+def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(u, v) of distinct fingerprints (column fp): all pairs within 2 bits, u below v."""
     spark = prints.sparkSession
-    fp = F.col("fp")
-    keyed = prints.select("fp", F.explode(F.array(*(F.struct(F.lit(k).cast("tinyint").alias("no"), fp.bitwiseAND(F.lit(mask)).alias("key")) for k, mask in enumerate(KEYS)))).alias("k")).select("fp", "k.no", "k.key")
-    sizes = written(keyed.groupBy("no", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), work_path(spark, "sizes"))
-    met = written(keyed.join(sizes, ["no", "key"]), work_path(spark, "met"))
-
-    table = [_distance(F.col("fp"), F.lit(r)).cast("tinyint").alias(f"d{k}") for k, r in enumerate(REFERENCES)]
-    member = F.struct("fp", *table)
-    small = met.where(F.col("n") <= paired).select("no", "key", member.alias("x")).groupBy("no", "key").agg(F.collect_list("x").alias("xs"))
-    pairs = small.select(F.explode("xs").alias("a"), "xs").select("a", F.explode("xs").alias("b")).where("a.fp < b.fp")
+    table = written(distance_table(prints), work_path(spark, "distances"))
+    found: list[DataFrame] = []
+    most, start = 64, F.lit(0).cast("long")
+    # the first keys are many, so what they leave open isn't stored but looked up for keys that are split
+    first = [F.struct(F.lit(k).cast("tinyint").alias("no"), key.alias("key")) for k, (key, _) in enumerate(_keys(start, F.col("near"), most))]
+    rows = table.select("fp", F.explode(F.array(*first)).alias("k")).select("fp", "k.no", "k.key")
+    for step in range(1, STEPS + 1):
+        sizes = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), work_path(spark, "sizes"))
+        met = written(rows.join(sizes, "key"), work_path(spark, "met"))
+        last = step == STEPS
+        found.append(_close_pairs(met if last else met.where(F.col("n") <= crowd)))
+        crowded = met.where(F.col("n") > crowd)
+        if last or crowded.isEmpty():
+            break
+        if step == 1:
+            left_open = F.array(*(rest for _, rest in _keys(start, F.col("near"), most)))
+            crowded = crowded.join(table.select("fp", "near"), "fp").select("fp", "key", left_open[F.col("no")].alias("open"))
+        most = _open_after(most)
+        more = [F.struct(key.alias("key"), rest.alias("open")) for key, rest in _keys(F.col("key"), F.col("open"), most)]
+        rows = written(crowded.select("fp", F.explode(F.array(*more)).alias("k")).select("fp", "k.key", "k.open"), work_path(spark, "split"))
+    every = found[0]
+    for more_found in found[1:]:
+        every = every.unionByName(more_found)
+    return every.distinct()
+
+
+def _close_pairs(met: DataFrame) -> DataFrame:
+    """Pairs of one key within 2 bits; no key has more than CROWD fingerprints, or more than the last coordinates allow."""
+    # the distances to the drawn references are wanted only for what meets another
+    table = [_distance(F.col("fp"), F.lit(r)).cast("tinyint").alias(f"d{k}") for k, r in enumerate(DRAWN)]
+    groups = met.select("key", F.struct("fp", *table).alias("x")).groupBy("key").agg(F.collect_list("x").alias("xs"))
+    pairs = groups.select(F.explode("xs").alias("a"), "xs").select("a", F.explode("xs").alias("b")).where("a.fp < b.fp")
     largest = F.greatest(*(F.abs(F.col(f"a.d{k}") - F.col(f"b.d{k}")) for k in range(PIVOTS)))
     near = pairs.where(largest <= MAX_BITS).where(_distance(F.col("a.fp"), F.col("b.fp")) <= MAX_BITS)
-    found = near.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-
-    many = met.where(F.col("n") > paired).select("fp").distinct()
-    around = F.array(fp, *(fp.bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64)))
-    points = many.select("fp", F.explode(around).alias("at"))
-    least = written(points.groupBy("at").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("at", "least"), work_path(spark, "points"))
-    hubs = points.join(least, "at").where("fp != least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
-    return found.unionByName(hubs).distinct()
+    return near.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), paired: int = PAIRED) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), crowd: int = CROWD) -> DataFrame:
     """One row per row of docs: doc_id, fp (signed long), component_id (smallest doc_id reachable), root (least fingerprint reachable), and the columns in `carry`.
 
     A null text has no words; texts without words have fingerprint zero and link like any other.
@@ -110,7 +145,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(text_col).alias("fp"), *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
     seen = written(seen, work_path(spark, "prints"))
     nodes = written(seen.groupBy("fp").agg(F.min("doc_id").alias("least_id")), work_path(spark, "nodes"))
-    roots = components(links(nodes.select("fp"), paired))
+    roots = components(links(nodes.select("fp"), crowd))
     labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     labelled = written(labelled, work_path(spark, "labelled"))
     ids = written(labelled.groupBy("root").agg(F.min("least_id").alias("component_id")), work_path(spark, "ids"))
@@ -121,7 +156,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest doc_id, the first of them where ids repeat (null is largest)."""
-    spark, keys = docs.sparkSession, ("__row_file", "__row_index")
+    spark, keys = docs.sparkSession, free_names(docs, "__row_file", "__row_index")
     keyed = with_row_key(docs, keys)
     told = written(near_duplicates(keyed, carry=keys), work_path(spark, "told"))
     # of most components only the row with the component's own id can stay

@@ -5,9 +5,11 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from shoebox.llm import exact_dedup, queries, simhash
+from shoebox.llm import exact_dedup, queries, session, simhash
 from shoebox.llm.components import components
 
 from .data import TEXTS, edges, empty
@@ -47,6 +49,34 @@ def test_an_index_takes_batches(spark, tmp_path):
     assert reopened.rows().count() == 3
 
 
+def test_a_batch_added_again_keeps_the_same_rows(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index")
+    made = [(k % 5 if k % 3 else None, ["a b", "ab", " ab", "c", None, ""][k % 6], f"source {k % 4}") for k in range(40)]
+    rows = spark.createDataFrame(made, "doc_id BIGINT, text STRING, source STRING")
+    told = lambda df: sorted(str((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256)) for r in df.collect())
+    first = told(index.add(rows, "one"))
+    assert sum("True" in x for x in first) == 3
+    for other in (rows.repartition(3), rows.orderBy(F.desc("source"), "text"), rows.coalesce(1).orderBy(F.rand(3))):
+        assert told(index.add(other, "one")) == first
+    assert not any(r.kept for r in index.add(rows, "two").collect()) and index.rows().count() == 3
+
+
+def test_no_index_is_left_behind(spark):
+    before = spark.catalog.listTables()
+    exact_dedup.exact_dedup(edges(spark)).count()
+    exact_dedup.drop_exact_copies(edges(spark)).count()
+    assert spark.catalog.listTables() == before
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Elsewhere:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(ValueError):
+        session.shared_root(Elsewhere())
+
+
 def test_the_index_is_read_without_a_shuffle(spark, tmp_path):
     index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index")
     index.add(spark.createDataFrame([(1, "a")], "doc_id BIGINT, text STRING"), "one")
@@ -128,9 +158,9 @@ def crowded(seed, n=400):
     return out | {draw.getrandbits(64) for _ in range(n // 5)}
 
 
-def roots(spark, prints, paired):
+def roots(spark, prints, crowd):
     frame = spark.createDataFrame([(simhash._signed(f),) for f in prints], "fp BIGINT")
-    found = {r.node & (1 << 64) - 1: r.root & (1 << 64) - 1 for r in components(simhash.links(frame, paired)).collect()}
+    found = {r.node & (1 << 64) - 1: r.root & (1 << 64) - 1 for r in components(simhash.links(frame, crowd)).collect()}
     groups = defaultdict(set)
     for f in prints:
         groups[found.get(f, f)].add(f)
@@ -143,8 +173,17 @@ def test_links_lose_nothing_at_any_limit(spark):
     for f, r in brute_components(prints).items():
         groups[r].add(f)
     want = sorted(map(sorted, groups.values()))
-    for paired in (1, 4, 64):
-        assert roots(spark, prints, paired) == want
+    for crowd in (1, 4, 64):
+        assert roots(spark, prints, crowd) == want
+
+
+def test_split_keys_lose_no_pair(spark):
+    prints = sorted(simhash._signed(f) for f in crowded(8, 250))
+    frame = spark.createDataFrame([(f,) for f in prints], "fp BIGINT")
+    want = {(a, b) for k, b in enumerate(prints) for a in prints[:k] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+    for crowd in (1, 3, 64):
+        assert {(r.u, r.v) for r in simhash.links(frame, crowd).collect()} == want
+    assert simhash._open_after(simhash._open_after(simhash._open_after(64))) <= simhash.MAX_OPEN
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
