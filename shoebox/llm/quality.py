@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import bounded_batches
+from .session import bounded_batches, free_names, work_path, written
 
 WIDTH, FILTERS, HIDDEN, CHUNK = 6, 16, 16, 512
-#: Labelled rows that are learned from, for each label (expected number).
-SAMPLE_ROWS = 2000
+#: Labelled rows that are learned from, for each label, and bytes of text of them all (expected numbers). A text of over a tenth of the bytes isn't learned from.
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 64_000_000
 EPOCHS, BATCH, RATE = 12, 32, 0.01
-#: Share of training texts that stand in an epoch as a passage, and the passages' bytes: short texts are to be learned too.
-PASSAGES, SHORTEST, LONGEST = 0.5, 20, 600
+#: In each epoch every training text is learned whole, and once more as a passage of so many bytes: short texts are to be learned too.
+SHORTEST, LONGEST = 20, 600
 #: Chunks that pass through the filters at once.
 AT_ONCE = 16
 PAD = 256
@@ -94,12 +94,13 @@ def train(texts: list[bytes], labels: list[int], weights: tuple[float, float] =
     second = {k: np.zeros_like(getattr(net, k), np.float64) for k in names}
     step = 0
     for epoch in range(EPOCHS):
-        order = draw.permutation(len(texts))
-        seen = [_passage(t, draw) if draw.random() < PASSAGES else t for t in texts]
+        seen = [*texts, *(_passage(t, draw) for t in texts)]
+        order = draw.permutation(len(seen))
         rate = RATE * (1 - epoch / EPOCHS)
         for start in range(0, len(order), BATCH):
             step += 1
-            grads = _gradients(net, [seen[k] for k in order[start : start + BATCH]], np.array([labels[k] for k in order[start : start + BATCH]]), weights)
+            own = order[start : start + BATCH]
+            grads = _gradients(net, [seen[k] for k in own], np.array([labels[k % len(texts)] for k in own]), weights)
             for k in names:
                 g = grads[k]
                 first[k] += 0.1 * (g - first[k])
@@ -143,18 +144,29 @@ def _gradients(net: Network, texts: list[bytes], labels: np.ndarray, weights: tu
     return grads | {"filters": filters, "bias": bias}
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network | None:
-    """Learns from about `rows` labelled documents of each label, picked by the hash of the id; None where a label has no document.
+def _share(col: str, share: Column) -> Column:
+    """Whether a row is among the share that the hash of its id picks."""
+    return F.pmod(F.xxhash64(F.col(col).cast("string")), F.lit(1 << 20)) / (1 << 20) < share
 
-    Rows without label, id or text are not learned from; of several labels for an id the least counts.
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_bytes: int = SAMPLE_BYTES) -> Network | None:
+    """Learns from about `rows` labelled documents of each label and about sample_bytes of text, picked by the hash of the id; None where a label has no document.
+
+    Rows without label, id or text are not learned from, nor are texts of over a tenth of
+    sample_bytes; of several labels for an id the least counts.
     """
+    spark = docs.sparkSession
     given = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
     sizes = {r.y: r.n for r in given.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return None
-    share = F.when(F.col("y") == 1, min(1.0, rows / sizes[1])).otherwise(min(1.0, rows / sizes[0]))
-    picked = given.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) / (1 << 20) < share)
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL").join(F.broadcast(picked), "id")
+    part = {y: min(1.0, rows / sizes[y]) for y in (0, 1)}
+    picked = given.where(_share("id", F.when(F.col("y") == 1, part[1]).otherwise(part[0])))
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL").where(F.octet_length("t") <= sample_bytes // 10).join(F.broadcast(picked), "id")
+    found = written(found, work_path(spark, "labelled"))
+    total_bytes = found.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    less = min(1.0, sample_bytes / max(1, total_bytes))
+    found = found.where(_share("id", F.when(F.col("y") == 1, part[1] * less).otherwise(part[0] * less)))
     got = sorted((r.id, r.t.encode(), r.y) for r in found.collect())
     seen = [sum(y == k for *_, y in got) for k in (0, 1)]
     if not all(seen):
@@ -193,4 +205,5 @@ def scores(docs: DataFrame, net: Network | None, threshold: float = GOOD, id_col
 def drop_poor(docs: DataFrame, net: Network | None, threshold: float = GOOD) -> DataFrame:
     """The rows of docs that score at least the threshold, with all their columns."""
     bounded_batches(docs.sparkSession)
-    return docs.withColumn("__score", score_column(net, F.col("text"))).where(F.col("__score") >= threshold).drop("__score")
+    (name,) = free_names(docs, "__score")
+    return docs.withColumn(name, score_column(net, F.col("text"))).where(F.col(name) >= threshold).drop(name)
