@@ -3,16 +3,19 @@
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability is
 the sum over all its segmentations into pieces, by a forward pass over its letters; a text's is the
 product over its words. Pieces don't cross words, so the sum over all segmentations of a text is
-exactly that product, and each distinct word is scored once.
+exactly that product, and each distinct word is scored once. The forward values are scaled as they go,
+each language's on its own, so words of any length and rarity have a sum.
 
 The piece probabilities come from expectation maximisation over the words of a sample of labelled
-texts, whose expected size SAMPLE_BYTES bounds for each language.
+texts, whose expected size SAMPLE_BYTES bounds for each language; each language is learned in a task
+of its own.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,35 +24,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_pairs import slices
-from .session import bounded_batches
+from .session import bounded_batches, work_path, written
 
 #: Expected bytes of labelled text that are learned from, for each language.
 SAMPLE_BYTES = 4_000_000
 ROUNDS = 3
+#: Letters of the longest word that is learned from.
+LEARNED_LETTERS = 10_000
 #: Added to each piece's expected count.
 SMOOTHING = 0.05
-#: Letters that a forward pass takes at once; longer words are cut there.
-LONGEST = 120
-#: Raises each letter's share of a probability, so long words don't underflow.
-LIFT = 16.0
-#: Words of which a sum over segmentations falls below this are summed in logs instead.
-TINY = 1e-250
-#: Chunks whose scores a worker keeps.
-KEPT_CHUNKS = 400_000
+#: Forward values below this are scaled up, and are looked at every so many letters.
+TINY, LOOK = 1e-100, 4
+#: Letters of a word whose pieces are held at once.
+BLOCK = 2048
+#: Chunks whose scores a worker keeps, and the letters of the longest one that is kept.
+KEPT_CHUNKS, KEPT_LETTERS = 200_000, 64
 #: Letters of distinct words that go through the forward pass together.
-PASS_LETTERS = 200_000
+PASS_LETTERS = 100_000
 UNKNOWN = "und"
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> list[str]:
-    """Runs of letters in lower case, each after a word mark, cut at LONGEST."""
-    out = []
-    for word in _WORDS.findall(text.lower()):
-        out.append("▁" + word[:LONGEST])
-        out += [word[k : k + LONGEST] for k in range(LONGEST, len(word), LONGEST)]
-    return out
+    """Runs of letters in lower case, each after a word mark."""
+    return ["▁" + word for word in _WORDS.findall(text.lower())]
 
 
 def pieces(path: str) -> list[str]:
@@ -97,14 +96,21 @@ class PieceTable:
             yield n, np.where(found, numbers[slot], 0 if n == 1 else -1)
 
 
-def grouped(distinct: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(numbers of the words, their letters as rows) for words of one length, some at a time."""
-    lengths = np.array([len(w) for w in distinct])
-    for n in np.unique(lengths):
-        of = np.flatnonzero(lengths == n)
-        for part in np.array_split(of, -(-len(of) * n // PASS_LETTERS)):
-            codes = np.frombuffer("".join(distinct[k] for k in part).encode("utf-32-le"), np.uint32)
-            yield part, codes.reshape(len(part), n).astype(np.uint64)
+def grouped(distinct: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(numbers of the words, their letters as rows, their lengths) for words of like length, some at a time; the rows are padded with a letter that is in no piece."""
+    lengths = np.array([len(w) for w in distinct], np.int64)
+    order = np.argsort(lengths, kind="stable")
+    start = 0
+    while start < len(order):
+        # short words of one length, longer ones of up to a quarter more
+        longest = int(lengths[order[start]] * (1.25 if lengths[order[start]] >= 16 else 1))
+        stop = int(np.searchsorted(lengths[order], longest, "right"))
+        stop = min(stop, start + max(1, PASS_LETTERS // longest))
+        part = order[start:stop]
+        n = int(lengths[part].max())
+        codes = np.frombuffer("".join(distinct[k].ljust(n, "\0") for k in part).encode("utf-32-le"), np.uint32)
+        yield part, codes.reshape(len(part), n).astype(np.uint64), lengths[part]
+        start = stop
 
 
 @dataclass
@@ -122,93 +128,82 @@ class Model:
         if not self.languages:
             return out
         chances = np.vstack([self.chances, np.zeros(len(self.languages))])
-        for part, codes in grouped(distinct):
-            forward = _forward(self.table, codes, chances)
-            low = forward.min((1, 2)) < TINY
-            out[part[~low]] = np.log(forward[~low, -1]) - codes.shape[1] * np.log(LIFT)
-            if low.any():
-                out[part[low]] = _log_forward(self.table, codes[low], _logs(chances))[:, -1]
+        for part, codes, lengths in grouped(distinct):
+            for end, value, shift in _forward(self.table, codes, chances):
+                done = lengths == end
+                if done.any():
+                    out[part[done]] = np.log(value[done]) - shift[done]
         return out
 
 
-def _forward(table: PieceTable, codes: np.ndarray, chances: np.ndarray) -> np.ndarray:
-    """forward[w, i]: sum over segmentations of the first i letters. The last row of chances is for no piece (-1)."""
-    count, n = codes.shape
-    at = [p for _, p in table.inside(codes)]
-    forward = np.zeros((count, n + 1, chances.shape[1]))
-    forward[:, 0] = 1.0
-    for end in range(1, n + 1):
-        for size in range(1, min(len(at), end) + 1):
-            piece = at[size - 1][:, end - size]
-            forward[:, end] += forward[:, end - size] * (chances[piece] * LIFT**size)
-    return forward
-
+def _forward(table: PieceTable, codes: np.ndarray, chances: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each number of letters, the sum over the segmentations of so many letters of each word in each language: (letters, value, shift), where exp(-shift) * value is the sum.
 
-def _logs(chances: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        return np.log(chances)
+    The last row of chances is for no piece (-1). Memory doesn't grow with the words' length.
+    """
+    count, n = codes.shape
+    steps = ((begin, max(0, begin - table.longest)) for begin in range(0, n, BLOCK))
+    parts = ((low, begin, [p for _, p in table.inside(codes[:, low : begin + BLOCK])]) for begin, low in steps)
+    where = ((end, [p[:, end - size - low] for size, p in enumerate(at, 1) if size <= end]) for low, begin, at in parts for end in range(begin + 1, min(n, begin + BLOCK) + 1))
+    yield from _sums(where, count, chances, table.longest)
 
 
-def _log_forward(table: PieceTable, codes: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """The logarithm of _forward without LIFT, which no run of rare letters brings to zero; logs are those of its chances."""
+def _backward(table: PieceTable, codes: np.ndarray, chances: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """As _forward, for the letters from each place to the end, the last place first."""
     count, n = codes.shape
     at = [p for _, p in table.inside(codes)]
-    forward = np.full((count, n + 1, logs.shape[1]), -np.inf)
-    forward[:, 0] = 0.0
-    for end in range(1, n + 1):
-        for size in range(1, min(len(at), end) + 1):
-            forward[:, end] = np.logaddexp(forward[:, end], forward[:, end - size] + logs[at[size - 1][:, end - size]])
-    return forward
-
-
-def _expected_in_logs(table: PieceTable, codes: np.ndarray, weight: np.ndarray, column: np.ndarray, total: np.ndarray) -> None:
-    """_expected for words whose sums are too small for plain numbers."""
-    logs = _logs(column)
-    forward = _log_forward(table, codes, logs[:, None])[:, :, 0]
-    count, n = codes.shape
-    at = [p for _, p in table.inside(codes)]
-    backward = np.full((count, n + 1), -np.inf)
-    backward[:, n] = 0.0
-    for start in range(n - 1, -1, -1):
-        for size in range(1, min(len(at), n - start) + 1):
-            backward[:, start] = np.logaddexp(backward[:, start], logs[at[size - 1][:, start]] + backward[:, start + size])
-    for size in range(1, len(at) + 1):
-        piece = at[size - 1]
-        share = np.exp(forward[:, : n - size + 1] + logs[piece] + backward[:, size:] - forward[:, n:]) * weight[:, None]
-        known = piece >= 0
-        total += np.bincount(piece[known], share[known], len(total))
+    where = ((start, [p[:, start] for p in at[: n - start]]) for start in range(n - 1, -1, -1))
+    yield from _sums(where, count, chances, table.longest)
+
+
+def _sums(where: Iterable[tuple[int, list[np.ndarray]]], count: int, chances: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """where: at each place, for each size, the piece of that size that leads to the place `size` steps before."""
+    past = deque([np.ones((count, chances.shape[1]))], longest)  # past[-size]: the value `size` steps before
+    shift = np.zeros((count, chances.shape[1]))
+    for step, (place, piece_of) in enumerate(where):
+        value = past[-1] * chances[piece_of[0]]
+        for size, piece in enumerate(piece_of[1:], 2):
+            some = np.flatnonzero(piece >= 0)
+            if 2 * len(some) > count:
+                value += past[-size] * chances[piece]
+            elif len(some):
+                value[some] += past[-size][some] * chances[piece[some]]
+        past.append(value)
+        if step % LOOK == LOOK - 1 and (small := value < TINY).any():
+            factor = np.where(small, 1 / value, 1.0)
+            past = deque((p * factor for p in past), longest)
+            shift = shift + np.log(factor)
+        yield place, past[-1], shift
 
 
 def _expected(table: PieceTable, codes: np.ndarray, weight: np.ndarray, chances: np.ndarray, total: np.ndarray) -> None:
-    """Adds the expected number of each piece in weighted words to total (one language)."""
-    column = np.append(chances, 0.0)
-    forward = _forward(table, codes, column[:, None])[:, :, 0]
+    """Adds the expected number of each piece in weighted words of one length to total (one language)."""
+    column = np.append(chances, 0.0)[:, None]
     count, n = codes.shape
-    at = [p for _, p in table.inside(codes)]
-    backward = np.zeros((count, n + 1))
-    backward[:, n] = 1.0
-    for start in range(n - 1, -1, -1):
-        for size in range(1, min(len(at), n - start) + 1):
-            backward[:, start] += column[at[size - 1][:, start]] * LIFT**size * backward[:, start + size]
-    low = np.minimum(forward.min(1), backward.min(1)) < TINY
-    if low.any():
-        _expected_in_logs(table, codes[low], weight[low], column, total)
-    scale = np.where(low, 0.0, weight / np.where(low, 1.0, forward[:, n]))
-    for size in range(1, len(at) + 1):
-        piece = at[size - 1]
-        share = forward[:, : n - size + 1] * column[piece] * LIFT**size * backward[:, size:] * scale[:, None]
+    before, after = np.ones((n + 1, count)), np.ones((n + 1, count))
+    shift_before, shift_after = np.zeros((n + 1, count)), np.zeros((n + 1, count))
+    for place, value, shift in _forward(table, codes, column):
+        before[place], shift_before[place] = value[:, 0], shift[:, 0]
+    for place, value, shift in _backward(table, codes, column):
+        after[place], shift_after[place] = value[:, 0], shift[:, 0]
+    scale = weight / before[n]
+    for size, piece in table.inside(codes):
+        inside = before[: n + 1 - size] * after[size:] * np.exp(shift_before[n] - shift_before[: n + 1 - size] - shift_after[size:])
+        share = inside.T * column[piece, 0] * scale[:, None]
         known = piece >= 0
         total += np.bincount(piece[known], share[known], len(total))
 
 
 def _learn(table: PieceTable, counts: dict[str, int]) -> np.ndarray:
-    distinct = list(counts)
+    distinct = [w for w in counts if len(w) <= LEARNED_LETTERS]
     weights = np.array([counts[w] for w in distinct], float)
     chances = np.full(table.size, 1.0 / table.size)
     for _ in range(ROUNDS):
         total = np.full(table.size, SMOOTHING)
-        for part, codes in grouped(distinct):
-            _expected(table, codes, weights[part], chances, total)
+        for part, codes, lengths in grouped(distinct):
+            for n in np.unique(lengths):
+                own = lengths == n
+                _expected(table, codes[own, :n], weights[part[own]], chances, total)
         chances = total / total.sum()
     return chances
 
@@ -216,15 +211,14 @@ def _learn(table: PieceTable, counts: dict[str, int]) -> np.ndarray:
 def fit(labelled: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Learns from rows with a text and a language; of a language with more text, from a share picked by the hash of the id.
 
-    No labelled row gives a model without languages, which finds none.
+    Words of over LEARNED_LETTERS letters aren't learned from. No labelled row gives a model without
+    languages, which finds none. The model holds one number for each piece and language.
     """
+    spark = labelled.sparkSession
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    names = sorted(sizes)
-    share = F.lit(0.0)
-    for name in names:
-        share = F.when(F.col("lang") == name, min(1.0, sample_bytes / max(1, sizes[name]))).otherwise(share)
-    picked = rows.where((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) < share)
+    sizes = written(rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")), work_path(spark, "sizes"))
+    shares = sizes.select("lang", F.least(F.lit(1.0), sample_bytes / F.greatest(F.lit(1), "n")).alias("share"))
+    picked = rows.join(shares, "lang").where((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str], int] = {}
@@ -235,22 +229,27 @@ def fit(labelled: DataFrame, vocabulary: str, lang_col: str = "lang", text_col:
         keys = list(counts)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
 
-    parts = picked.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[str, int]] = {name: {} for name in names}
-    for r in parts.toLocalIterator():
-        counts[r.lang][r.word] = r.n
+    def learn(of: pa.Table) -> pa.Table:
+        chances = _learn(PieceTable(pieces(vocabulary)), dict(sorted(zip(of["word"].to_pylist(), of["n"].to_pylist(), strict=True))))
+        return pa.table({"lang": of["lang"].slice(0, 1), "chances": pa.array([chances.tolist()], pa.list_(pa.float64()))})
+
+    counted = picked.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # a language's words are those of sample_bytes of text, so one task can hold them
+    learned = counted.groupBy("lang").applyInArrow(learn, "lang string, chances array<double>")
+    chances = {r.lang: np.array(r.chances) for r in learned.toLocalIterator()}
     known = pieces(vocabulary)
-    table = PieceTable(known)
-    chances = np.stack([_learn(table, dict(sorted(counts[name].items()))) for name in names], 1) if names else np.ones((table.size, 0))
-    return Model(names, known, chances)
+    table_size = len(known) + 1
+    for r in sizes.select("lang").toLocalIterator():  # texts without a word teach nothing
+        chances.setdefault(r.lang, np.full(table_size, 1.0 / table_size))
+    names = sorted(chances)
+    return Model(names, known, np.stack([chances[name] for name in names], 1) if names else np.ones((table_size, 0)))
 
 
 class Scorer:
-    """Predicts whole texts; keeps the scores of chunks between white space that it has met."""
+    """Predicts whole texts; keeps the scores of short chunks between white space that it has met."""
 
     def __init__(self, model: Model):
         self.model, self.kept = model, {}
-        self.scores = np.zeros((0, len(model.languages)))
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """(language, its share of the probability); und and 0 where there is no letter or no model."""
@@ -262,31 +261,40 @@ class Scorer:
         return names, shares
 
     def _predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        kept = self.kept
-        if len(kept) > KEPT_CHUNKS:
-            kept.clear()
-            self.scores = self.scores[:0]
+        """Slots of chunks that are kept come first, then those of this call alone."""
+        if len(self.kept) > KEPT_CHUNKS:
+            self.kept.clear()
+        if not self.kept:
+            self.scores, self.used = np.zeros((1 << 10, len(self.model.languages))), 0
+        kept, own = self.kept, {}
         parts = [t.split() for t in texts]
-        new = list(dict.fromkeys(c for p in parts for c in p if c not in kept))
-        if new:
+        for p in parts:
+            own.update((c, 0) for c in p if c not in kept)
+        if own:
+            new = sorted(own, key=len)
             inside = [words(c) for c in new]
             distinct = list({w for ws in inside for w in ws})
             number = {w: k for k, w in enumerate(distinct)}
             of = self.model.word_scores(distinct)
             owner = np.repeat(np.arange(len(new)), [len(ws) for ws in inside])
             flat = np.array([number[w] for ws in inside for w in ws], np.int64)
-            more = np.zeros((len(new), of.shape[1]))
+            need = self.used + len(new)
+            if need > len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros((max(need, 2 * len(self.scores)) - len(self.scores), of.shape[1]))])
             for j in range(of.shape[1]):
-                more[:, j] = np.bincount(owner, of[flat, j], len(new))
-            kept.update((c, k) for k, c in enumerate(new, len(kept)))
-            self.scores = np.vstack([self.scores, more])
+                self.scores[self.used : need, j] = np.bincount(owner, of[flat, j], len(new))
+            own = {c: k for k, c in enumerate(new, self.used)}
+            for c, k in own.items():
+                if len(c) <= KEPT_LETTERS:
+                    kept[c] = k
+                    self.used = k + 1
         names, shares = [], []
         for text, chunks in zip(texts, parts, strict=True):
             if not self.model.languages or not any(map(str.isalpha, text)):
                 names.append(UNKNOWN)
                 shares.append(0.0)
                 continue
-            score = self.scores[np.fromiter(map(kept.__getitem__, chunks), np.int64, len(chunks))].sum(0)
+            score = self.scores[np.fromiter((kept[c] if c in kept else own[c] for c in chunks), np.int64, len(chunks))].sum(0)
             best = int(score.argmax())
             names.append(self.model.languages[best])
             shares.append(float(1.0 / np.exp(score - score[best]).sum()))

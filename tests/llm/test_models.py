@@ -55,14 +55,9 @@ def test_training_raises_the_likelihood():
 
 
 def test_long_runs_of_unseen_letters_lose_nothing(model):
-    chance = {p: model.chances[k + 1] for k, p in enumerate(model.vocabulary)}
     runs = ["字" * 60, "한" * 90, "の" * 119, "字" * 60 + "the" * 19]
     for word in ["▁" + r for r in runs]:
-        logs = [np.zeros(len(model.languages))]
-        for end in range(1, len(word) + 1):
-            ways = [(k, chance.get(word[k:end], model.chances[0] if end - k == 1 else None)) for k in range(max(0, end - model.table.longest), end)]
-            logs.append(np.logaddexp.reduce([logs[k] + np.log(c) for k, c in ways if c is not None]))
-        assert np.allclose(model.word_scores([word])[0], logs[-1], rtol=1e-9)
+        assert np.allclose(model.word_scores([word])[0], log_forward(model, word), rtol=1e-9)
     scorer = language_id.Scorer(model)
     told = {"en": "the house of the people and the water with their", "de": "der Mann und die Frau gehen nicht mit dem Kind", "fr": "les enfants sont dans la maison avec leur"}
     for name, text in told.items():
@@ -79,10 +74,40 @@ def test_training_bears_long_runs_of_rare_letters():
     assert learned[1] > learned[2] > learned[200]
 
 
-def test_long_words_are_read_whole(model):
-    scorer = language_id.Scorer(model)
-    (lang, score) = (x[0] for x in scorer.predict(["thening" * 3000]))
-    assert lang == "en" and 0 <= score <= 1
+def log_forward(model, word):
+    """The sum over all segmentations, letter by letter in logs."""
+    chance = {p: model.chances[k + 1] for k, p in enumerate(model.vocabulary)}
+    logs = [np.zeros(len(model.languages))]
+    for end in range(1, len(word) + 1):
+        ways = [(k, chance.get(word[k:end], model.chances[0] if end - k == 1 else None)) for k in range(max(0, end - model.table.longest), end)]
+        logs.append(np.logaddexp.reduce([logs[k] + np.log(c) for k, c in ways if c is not None]))
+    return logs[-1]
+
+
+def test_whole_documents_against_brute_force(spark, small, model):
+    texts = [r.text for r in table(spark, small, "documents").orderBy("doc_id").limit(12).collect() if r.text]
+    texts += ["字" * 3000, "の" * 120 + " the end", "한" * 100 + "ก" * 100, "qzxj" * 29, "thening" * 500, "a" * 16 + " " + "ab" * 9 + " " + "abc" * 7]
+    known = {}
+    names, shares = language_id.Scorer(model).predict(texts)
+    for text, name, share in zip(texts, names, shares, strict=True):
+        score = sum(known[w] if w in known else known.setdefault(w, log_forward(model, w)) for w in language_id.words(text))
+        assert name == model.languages[int(np.argmax(score))]
+        assert abs(share - 1 / np.exp(score - score.max()).sum()) < 1e-6
+
+
+def test_small_caches_change_no_score(model, monkeypatch):
+    texts = ["the house of them", "der Mann und " + "x" * 100, "the house und der Hund", "les enfants " + "x" * 100] * 3
+    want = language_id.Scorer(model).predict(texts)
+    monkeypatch.setattr(language_id, "KEPT_CHUNKS", 3)
+    own = language_id.Scorer(model)
+    got = [own.predict([t]) for t in texts]
+    assert ([n for (n,), _ in got], [round(s, 9) for _, (s,) in got]) == (want[0], [round(s, 9) for s in want[1]])
+    assert max(map(len, own.kept)) <= language_id.KEPT_LETTERS
+
+
+def test_words_of_any_length_have_scores(model):
+    names, shares = language_id.Scorer(model).predict(["thening" * 3000, *(c * 10_000 for c in "字ひ한กω\U00010480"), "x" * 10_000])
+    assert names[0] == "en" and all(0 <= s <= 1 for s in shares) and set(names) <= set(model.languages)
 
 
 def test_languages_at_the_edges(spark, model):
