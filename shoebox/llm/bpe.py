@@ -3,28 +3,29 @@
 A tree over the byte positions of a pre-token keeps the leftmost minimum of the pair ranks. Its
 root names the next merge; the merge sets the merged position, the one that it swallows and the
 live neighbour before, and each of these point updates climbs to the root. Pre-tokens of like size
-go through their trees side by side, as rows of arrays.
+go through their trees side by side, as rows of arrays; a few long ones one by one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import sys
 from array import array
 from collections.abc import Iterator
-from itertools import islice, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_pairs import PATTERN, Chunks, PairTable, load_ranks, slices
+from .byte_pairs import PATTERN, Chunks, Kept, PairTable, load_ranks, slices
 from .session import bounded_batches
 
-#: Chunks whose ids a worker keeps; beyond that the older ones go, to a share of KEPT_SHARE.
-KEPT_CHUNKS, KEPT_SHARE = 400_000, 0.6
-#: Tree nodes held at once.
+#: Tree nodes of pre-tokens that go side by side.
 TREE_NODES = 500_000
+#: Pre-tokens of like size up to which each goes through its tree alone.
+ALONE = 3
 
 
 class SegmentTreeBpe:
@@ -41,16 +42,21 @@ class SegmentTreeBpe:
                     pairs[a, b] = (rank, rank)
         self.pairs = PairTable(pairs)
 
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(pieces)
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each, as the bytes of 32-bit numbers."""
+        out = [b""] * len(pieces)
         by_size: dict[int, list[int]] = {}
         for k, piece in enumerate(pieces):
             whole = self.ranks.get(piece)
             if whole is not None:
-                out[k] = [whole]
+                out[k] = whole.to_bytes(4, sys.byteorder)
             elif piece:
                 by_size.setdefault(1 << (len(piece) - 1).bit_length(), []).append(k)
         for size, those in by_size.items():
+            if len(those) <= ALONE:
+                for k in those:
+                    out[k] = self._merge_one(pieces[k], size)
+                continue
             step = max(1, TREE_NODES // (2 * size))
             for start in range(0, len(those), step):
                 part = those[start : start + step]
@@ -58,81 +64,140 @@ class SegmentTreeBpe:
                     out[k] = ids
         return out
 
-    def _merge(self, pieces: list[bytes], size: int) -> list[list[int]]:
+    def _merge_one(self, piece: bytes, size: int) -> bytes:
+        """As _merge, node by node; arrays of numbers, so a long pre-token costs some dozen bytes a byte."""
+        n, none, rank_of = len(piece), np.iinfo(np.int64).max, self.ranks.get
+        parts: list[bytes | None] = [bytes((b,)) for b in piece]  # the bytes of the symbol at each live place
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        leaves = np.full(size, none)
+        ids = self.first[np.frombuffer(piece, np.uint8)]
+        ranks = self.pairs.find(ids[:-1], ids[1:])[0]
+        leaves[: n - 1] = np.where(ranks < self.pairs.none, ranks * size + np.arange(n - 1), none)
+        levels = [leaves]
+        while len(levels[-1]) > 1:
+            levels.append(levels[-1].reshape(-1, 2).min(1))
+        tree = array("q", np.concatenate([[none], *reversed(levels)]).tobytes())
+
+        def update(at: int, value: int) -> None:
+            node = at + size
+            tree[node] = value
+            while node > 1:
+                other = tree[node ^ 1]
+                value = min(value, other)
+                node >>= 1
+                if tree[node] == value:
+                    return
+                tree[node] = value
+
+        while size > 1 and tree[1] < none:
+            at = tree[1] % size
+            gone = after[at]
+            parts[at] = own = parts[at] + parts[gone]
+            parts[gone] = None
+            after[at] = follow = after[gone]
+            value = none
+            if follow < n:
+                before[follow] = at
+                rank = rank_of(own + parts[follow])
+                value = none if rank is None else rank * size + at
+            update(gone, none)
+            update(at, value)
+            prior = before[at]
+            if prior >= 0:
+                rank = rank_of(parts[prior] + own)
+                update(prior, none if rank is None else rank * size + prior)
+        return array("i", [self.ranks[x] for x in parts if x is not None]).tobytes()
+
+    def _merge(self, pieces: list[bytes], size: int) -> list[bytes]:
         n, none = len(pieces), np.iinfo(np.int64).max
         lengths = np.array([len(p) for p in pieces], np.int64)
         flat = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), np.uint8)
-        ids = self.first[flat].reshape(n, size)
-        place = np.arange(size)
-        live = place < lengths[:, None]
-        after = np.where(place + 1 < lengths[:, None], place + 1, size)  # size: no neighbour
-        before = np.broadcast_to(place - 1, (n, size)).copy()
+        # places of all pre-tokens in one row: pre-token r has those from r * size on, and tree nodes from 2 * r * size on
+        ids = self.first[flat]
+        place = np.arange(n * size)
+        column = place % size
+        end = np.repeat(np.arange(n) * size + lengths, size)
+        live = place < end
+        after = np.where(place + 1 < end, place + 1, -1)
+        before = np.where(column > 0, place - 1, -1)
         tree = np.full((n, 2 * size), none)
 
         def key(rank: np.ndarray, at: np.ndarray) -> np.ndarray:
-            return np.where(rank < self.pairs.none, rank * size + at, none)
+            return np.where(rank < self.pairs.none, rank * size + at % size, none)
 
-        rows, cols = np.nonzero(after < size)
-        tree[rows, size + cols] = key(self.pairs.find(ids[rows, cols], ids[rows, cols + 1])[0], cols)
+        at = np.flatnonzero(live & (after >= 0))
+        leaves = np.full(n * size, none)
+        leaves[at] = key(self.pairs.find(ids[at], ids[at + 1])[0], at)
+        tree[:, size:] = leaves.reshape(n, size)
         width = size
         while width > 1:  # each level from the one below
             half = width // 2
             tree[:, half:width] = tree[:, width : 2 * width].reshape(n, half, 2).min(2)
             width = half
+        nodes = tree.reshape(-1)
+        roots = tree[:, 1]
 
-        def update(rows: np.ndarray, cols: np.ndarray, value: np.ndarray | int) -> None:
-            node = cols + size
-            tree[rows, node] = value
-            while size > 1 and node[0] > 1:
+        def update(at: np.ndarray, value: np.ndarray | int) -> None:
+            row, node = at // size * (2 * size), at % size + size
+            nodes[row + node] = value
+            for _ in range(size.bit_length() - 1):
                 node = node >> 1
-                tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
+                child = row + 2 * node
+                nodes[row + node] = np.minimum(nodes[child], nodes[child + 1])
 
-        while True:
-            rows = np.flatnonzero(tree[:, 1] < none) if size > 1 else np.empty(0, np.int64)
+        rows = np.arange(n)
+        while size > 1:
+            rows = rows[roots[rows] < none]
             if not len(rows):
                 break
-            rank, at = np.divmod(tree[rows, 1], size)
-            gone = after[rows, at]
-            ids[rows, at] = rank
-            live[rows, gone] = False
-            follow = after[rows, gone]
-            after[rows, at] = follow
-            has = follow < size
-            before[rows[has], follow[has]] = at[has]
+            rank, at = np.divmod(roots[rows], size)
+            at += rows * size
+            gone = after[at]
+            ids[at] = rank
+            live[gone] = False
+            follow = after[gone]
+            after[at] = follow
             value = np.full(len(rows), none)
-            value[has] = key(self.pairs.find(rank[has], ids[rows[has], follow[has]])[0], at[has])
-            update(rows, gone, none)
-            update(rows, at, value)
-            prior = before[rows, at]
-            has = prior >= 0
-            if has.any():
-                r, p = rows[has], prior[has]
-                update(r, p, key(self.pairs.find(ids[r, p], rank[has])[0], p))
-        return [row[on].tolist() for row, on in zip(ids, live, strict=True)]
+            has = np.flatnonzero(follow >= 0)
+            if len(has):
+                before[follow[has]] = at[has]
+                value[has] = key(self.pairs.find(rank[has], ids[follow[has]])[0], at[has])
+            update(gone, none)
+            update(at, value)
+            prior = before[at]
+            has = np.flatnonzero(prior >= 0)
+            if len(has):
+                p = prior[has]
+                update(p, key(self.pairs.find(ids[p], rank[has])[0], p))
+        kept = ids[live].astype(np.int32).tobytes()
+        return [kept[4 * a : 4 * b] for a, b in pairwise(np.cumsum([0, *live.reshape(n, size).sum(1)]).tolist())]
 
 
 class Codec:
     """Whole texts to ids and back; keeps the ids of chunks it has met."""
 
     def __init__(self, path: str, pattern: str = PATTERN):
-        self.bpe, self.chunks, self.kept = SegmentTreeBpe(path), Chunks(pattern), {}
+        self.bpe, self.chunks, self.kept = SegmentTreeBpe(path), Chunks(pattern), Kept()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [ids for some in slices(texts) for ids in self._encode(some)]
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        kept = self.kept
-        if len(kept) > KEPT_CHUNKS:
-            kept = self.kept = dict(islice(kept.items(), int(len(kept) * (1 - KEPT_SHARE)), None))
+        self.kept.make_room()
+        known = self.kept.of
         parts = [self.chunks.of(text) if text else [] for text in texts]
-        new = list({c for chunks in parts for c in chunks if c not in kept})
+        new = {c for chunks in parts for c in chunks if c not in known}
+        own: dict[str, bytes] = {}
         if new:
-            words = [self.chunks.split(c) for c in new]
-            known = list({w for ws in words for w in ws})
-            of = dict(zip(known, self.bpe.encode([w.encode() for w in known]), strict=True))
-            for c, ws in zip(new, words, strict=True):
-                kept[c] = array("i", of[ws[0]] if len(ws) == 1 else [i for w in ws for i in of[w]]).tobytes()
-        return [np.frombuffer(b"".join(map(kept.__getitem__, chunks)), np.int32) for chunks in parts]
+            words = {c: self.chunks.split(c) for c in new}
+            distinct = {w for ws in words.values() for w in ws}
+            of = {w: known[w] for w in distinct if w in known}  # a chunk of its own elsewhere
+            distinct = [w for w in distinct if w not in of]
+            of.update(zip(distinct, self.bpe.encode([w.encode() for w in distinct]), strict=True))
+            found = {c: of[ws[0]] if len(ws) == 1 else b"".join(map(of.__getitem__, ws)) for c, ws in words.items()}
+            own = self.kept.add(found, 4)
+        get = known.__getitem__ if not own else lambda c: own[c] if c in own else known[c]
+        return [np.frombuffer(b"".join(map(get, chunks)), np.int32) for chunks in parts]
 
 
 class Decoder:

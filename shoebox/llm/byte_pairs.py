@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+from itertools import batched, islice
 
 import numpy as np
 import regex
@@ -12,8 +13,10 @@ import regex
 #: Fixed value: the usual pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: A space between white space, or between white space and the end: only there a run of white space spans two chunks.
-_RUN = re.compile(r"\s (?:\s|\Z)")
+#: A space that more white space or the end follows: cutting before it would cut a run of white space.
+_RUN = re.compile(r" (?:\s|\Z)")
+#: Where a space begins what follows it.
+_CUT = re.compile(r"(?= \S)")
 
 
 def printable_bytes() -> dict[str, int]:
@@ -41,6 +44,8 @@ def load_merges(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]],
     return vocabulary, [(raw(a), raw(b)) for a, b in pairs], added
 
 
+#: Bytes that a worker keeps of chunks it has met, letters of the longest such chunk, and bytes of an entry beside its letters.
+KEPT_BYTES, KEPT_LETTERS, ENTRY_BYTES = 96 << 20, 64, 150
 #: Letters of the texts that are cut into chunks at once.
 SLICE = 1 << 20
 
@@ -82,16 +87,45 @@ class PairTable:
 class Chunks:
     """Cuts texts at spaces into chunks that pre-tokenize alike wherever they stand, so what is known of a chunk is kept.
 
-    A chunk is a space and what follows up to the next space. No pre-token crosses a chunk's end
-    but a run of white space; texts with such a run are one chunk each.
+    A chunk begins with a space that no white space follows. By PATTERN a pre-token ends before each
+    such space: what precedes it is no white space, or a run of it that gives its last one away. Other
+    patterns may not end there, so they are refused.
     """
 
     def __init__(self, pattern: str = PATTERN):
+        if pattern != PATTERN:
+            raise ValueError("texts are cut by the rule of one pattern, which this isn't")
         self.split = regex.compile(pattern).findall
 
     def of(self, text: str) -> list[str]:
         if _RUN.search(text):
-            return [text]
+            return [x for x in _CUT.split(text) if x]
         first, *rest = text.split(" ")
         chunks = [" " + x for x in rest]
         return [first, *chunks] if first else chunks
+
+
+class Kept:
+    """What a worker knows of chunks, in at most KEPT_BYTES: long chunks are never kept, and the older half goes when there are too many."""
+
+    def __init__(self):
+        self.of, self.held = {}, 0
+
+    def add(self, found: dict, per_letter: int) -> dict:
+        """Keeps what was found of chunks, about per_letter bytes for each letter; gives back what it doesn't keep: long chunks, and all once there is no room until make_room()."""
+        own = {}
+        for some in batched(found.items(), 1000):
+            short = {c: x for c, x in some if len(c) <= KEPT_LETTERS}
+            if self.held > KEPT_BYTES:
+                own.update(some)
+                continue
+            self.of.update(short)
+            self.held += ENTRY_BYTES * len(short) + (4 + per_letter) * sum(map(len, short))
+            if len(short) < len(some):
+                own.update((c, x) for c, x in some if len(c) > KEPT_LETTERS)
+        return own
+
+    def make_room(self) -> None:
+        if self.held > KEPT_BYTES:
+            self.of = dict(islice(self.of.items(), len(self.of) // 2, None))
+            self.held //= 2

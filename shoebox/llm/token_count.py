@@ -14,11 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_pairs import Chunks, PairTable, load_merges, slices
+from .byte_pairs import Chunks, Kept, PairTable, load_merges, slices
 from .session import bounded_batches
 
-#: Chunks whose counts a worker keeps; then it starts anew, so memory stays bounded.
-KEPT_CHUNKS = 400_000
 #: Bytes of pre-tokens merged at once.
 MERGED_BYTES = 4_000_000
 
@@ -51,11 +49,9 @@ class RankMerger:
 
     def _merge(self, symbols: np.ndarray, owner: np.ndarray, out: np.ndarray) -> None:
         none = self.pairs.none
+        ranks, merged = np.full(len(symbols), none), np.zeros(len(symbols), np.int64)
+        at = np.flatnonzero(owner[:-1] == owner[1:])  # places whose pair with the next symbol isn't known yet
         while len(symbols):
-            ranks = np.full(len(symbols), none)
-            merged = np.zeros(len(symbols), np.int64)
-            inside = owner[:-1] == owner[1:]
-            at = np.flatnonzero(inside)
             ranks[at], merged[at] = self.pairs.find(symbols[at], symbols[at + 1])
             heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             sizes = np.diff(np.append(heads, len(owner)))
@@ -70,44 +66,47 @@ class RankMerger:
             run_start = chosen[np.maximum.accumulate(np.where(new_run, np.arange(len(chosen)), 0))]
             chosen = chosen[(chosen - run_start) % 2 == 0]
             symbols[chosen] = merged[chosen]
-            keep = ~np.repeat(done, sizes)
+            keep = ~np.repeat(done, sizes) if done.any() else np.ones(len(symbols), bool)
             keep[chosen + 1] = False
-            symbols, owner = symbols[keep], owner[keep]
+            place = (np.cumsum(keep) - 1)[chosen]  # where the merged symbols are now
+            symbols, owner, ranks, merged = symbols[keep], owner[keep], ranks[keep], merged[keep]
+            ranks[place] = none
+            changed = np.zeros(len(symbols) + 1, bool)
+            changed[place] = changed[place - 1] = True
+            at = np.flatnonzero(changed[: max(0, len(symbols) - 1)])
+            at = at[owner[at] == owner[at + 1]]
 
 
 class TokenCounter:
     """Counts whole texts; keeps the counts of chunks it has met."""
 
     def __init__(self, path: str):
-        self.merger, self.chunks, self.kept = RankMerger(path), Chunks(), {}
+        self.merger, self.chunks, self.kept = RankMerger(path), Chunks(), Kept()
 
     def count(self, texts: list[str]) -> list[int]:
         return [n for some in slices(texts) for n in self._count(some)]
 
     def _count(self, texts: list[str]) -> list[int]:
-        kept, parts, out = self.kept, [], []
-        if len(kept) > KEPT_CHUNKS:
-            kept.clear()
-        extra = []
+        self.kept.make_room()
+        known, parts, extra = self.kept.of, [], []
         for text in texts:
             pieces = [text]
             for token in self.merger.added:  # its text stands for one token wherever it occurs
                 pieces = [x for piece in pieces for x in piece.split(token)]
             extra.append(len(pieces) - 1)
-            parts.append([c for piece in pieces for c in self.chunks.of(piece)] if piece_count(pieces) else [])
-        new = list({c for chunks in parts for c in chunks if c not in kept})
+            parts.append([c for piece in pieces if piece for c in self.chunks.of(piece)])
+        new = {c for chunks in parts for c in chunks if c not in known}
+        own: dict[str, int] = {}
         if new:
-            words = [self.chunks.split(c) for c in new]
-            known = list({w for ws in words for w in ws})
-            of = dict(zip(known, self.merger.counts([w.encode() for w in known]).tolist(), strict=True))
-            kept.update((c, sum(of[w] for w in ws)) for c, ws in zip(new, words, strict=True))
-        for more, chunks in zip(extra, parts, strict=True):
-            out.append(more + sum(map(kept.__getitem__, chunks)))
-        return out
-
-
-def piece_count(pieces: list[str]) -> int:
-    return sum(map(bool, pieces))
+            words = {c: self.chunks.split(c) for c in new}
+            distinct = {w for ws in words.values() for w in ws}
+            of = {w: known[w] for w in distinct if w in known}  # a chunk of its own elsewhere
+            distinct = [w for w in distinct if w not in of]
+            of.update(zip(distinct, self.merger.counts([w.encode() for w in distinct]).tolist(), strict=True))
+            found = {c: of[ws[0]] if len(ws) == 1 else sum(map(of.__getitem__, ws)) for c, ws in words.items()}
+            own = self.kept.add(found, 0)
+        get = known.__getitem__ if not own else lambda c: own[c] if c in own else known[c]
+        return [more + sum(map(get, chunks)) for more, chunks in zip(extra, parts, strict=True)]
 
 
 _COUNTERS: dict[str, TokenCounter] = {}

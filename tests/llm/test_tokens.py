@@ -3,6 +3,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import time
+from itertools import batched
 
 import public_tokenizers as P
 import pytest
@@ -66,10 +68,41 @@ def test_long_pieces(codec, counter, library):
 
 
 def test_small_caches_change_nothing(library, monkeypatch):
-    monkeypatch.setattr(bpe, "KEPT_CHUNKS", 5)
-    own = bpe.Codec(RANKS)
-    for text in ("one two three four five six seven", "one two nine ten", "six seven"):
+    monkeypatch.setattr(byte_pairs, "KEPT_BYTES", 800)
+    monkeypatch.setattr(byte_pairs, "batched", lambda items, n: batched(items, 1))
+    own, counts = bpe.Codec(RANKS), token_count.TokenCounter(MERGES)
+    for text in ("one two three four five six seven", "one two nine ten", "six seven", "x" * 99 + " one", "seven eight"):
         assert own.encode([text, text])[1].tolist() == library.encode_ordinary(text)
+        assert counts.count([text, text])[1] == len(Tokenizer.from_file(MERGES).encode(text, add_special_tokens=False).ids)
+    assert own.kept.held < 1600 and counts.kept.held < 1600
+
+
+def test_texts_with_runs_of_blanks_are_cut_and_never_kept_whole(library):
+    random.seed(5)
+    lines = [" " * random.randint(0, 12) + f"x{k} = f(y{k % 7},  {k})\t# {'z' * random.randint(0, 80)}" for k in range(4000)]
+    texts = ["\n".join(random.sample(lines, 400)) + "   " for _ in range(40)]
+    own = bpe.Codec(RANKS)
+    assert [x.tolist() for x in own.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+    assert max(map(len, own.kept.of)) <= byte_pairs.KEPT_LETTERS and max(map(len, own.chunks.of(texts[0]))) < 200
+    counts = token_count.TokenCounter(MERGES)
+    assert counts.count(texts) == [len(e.ids) for e in Tokenizer.from_file(MERGES).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_other_patterns_are_refused():
+    with pytest.raises(ValueError):
+        byte_pairs.Chunks(r"\S+|\s+")
+
+
+def test_one_long_piece_costs_seconds(codec, counter, library):
+    random.seed(6)
+    text = "".join(random.choice("abcdefghijklmnopqrstuvwxyzéäö") for _ in range(100_000))
+    began = time.time()
+    ids = codec.encode([text])[0].tolist()
+    assert time.time() - began < 20
+    assert codec.encode(["x" * 4097, text[:3000], text[5:3333]])[1].tolist() == library.encode_ordinary(text[:3000])
+    assert b"".join(codec.bpe.encode([text[:700].encode(), text[1:702].encode(), text[2:650].encode(), text[3:720].encode()])[:1]) == codec.bpe._merge_one(text[:700].encode(), 1024)
+    assert bpe.Decoder(RANKS).decode(ids) == text.encode() and ids[:200] == library.encode_ordinary(text[:3000])[:200]
+    assert counter.count([text[:20_000]]) == [len(Tokenizer.from_file(MERGES).encode(text[:20_000], add_special_tokens=False).ids)]
 
 
 def test_slices_keep_all_texts_in_order():
