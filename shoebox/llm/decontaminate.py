@@ -2,32 +2,31 @@
 
 A window is WINDOW consecutive words of an item; an item of fewer words is one window. Of each run of
 hashes of k words, winnowing keeps the least in every stretch of w, where k + w - 1 is the window's
-length: so a window that stands in a document shares at least one kept hash with it. Documents are
-winnowed alike, kept hashes that the benchmark also has are looked up, and each hit is extended to
-the windows around it, which are compared word by word.
+length: so a window that stands in a document shares a kept hash with it, its least one. Documents are
+winnowed alike. A kept hash that the benchmark may have too is a hit, which is extended to each window
+that it is the least of; kept hash and window are joined with the benchmark's.
 
-The benchmark's tables go to the workers. A block of items has at most BLOCK_BYTES of text; a larger
-benchmark is used block by block, each against all documents, and what the blocks find is united.
+Nothing of the benchmark goes through the driver but one table of bits, of FILTER_BITS, that tells of
+most hashes that the benchmark hasn't kept them: the join alone decides. So only what is probably the
+benchmark's is shuffled, and documents are scanned once, however large the benchmark is.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import bounded_batches, with_row_key, work_path, written
+from .session import bounded_batches, free_names, with_row_key, work_path, written
 
 WINDOW = 13
-#: Text of the items whose tables are sent to the workers at once.
-BLOCK_BYTES = 16 << 20
-#: Bytes of documents taken at once.
-SLICE_BYTES = 2 << 20
+#: Bits of the filter that is sent to the workers, 8 MB; 64 of them are a row on their way there.
+FILTER_BITS = 1 << 26
+#: Bytes of texts taken at once; a longer text is taken by itself.
+SLICE_BYTES = 1 << 20
 #: A document is contaminated if at least one word in so many is hit.
 ONE_IN = 20
 
@@ -36,10 +35,6 @@ _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def words(text: bytes) -> list[bytes]:
-    return text.translate(_WORD_BYTES).split()
-
-
 def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit hash of each number."""
     x = x.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
@@ -48,251 +43,230 @@ def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _grams(values: np.ndarray, k: int) -> np.ndarray:
+_LETTERS = _mixed(np.arange(256, dtype=np.uint64), 1)
+#: An odd multiplier and its inverse modulo 2 ** 64.
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base to the powers 0 to n, modulo 2 ** 64; those of short texts are kept."""
+    if base not in _POWERS or len(_POWERS[base]) <= n:
+        powers = np.full(max(n, 2 * SLICE_BYTES) + 1, base, np.uint64)
+        powers[0] = 1
+        np.multiply.accumulate(powers, out=powers)
+        if n > 2 * SLICE_BYTES:
+            return powers
+        _POWERS[base] = powers
+    return _POWERS[base]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(a hash of each word of all texts, number of words of each text). A word's hash is a polynomial in its letters, by differences of running sums."""
+    data = np.frombuffer(b" ".join(texts).translate(_WORD_BYTES), np.uint8)
+    inside = data != 32
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTERS[data] * _powers(_STEP, len(data))[: len(data)], out=sums[1:])
+    hashes = (sums[ends] - sums[starts]) * _powers(_BACK, len(data))[starts]
+    hashes = _mixed(hashes ^ ((ends - starts).astype(np.uint64) << np.uint64(56)), 2)
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return hashes, np.diff(np.searchsorted(starts, begins))
+
+
+def _grams(values: np.ndarray, k: int, seed: int) -> np.ndarray:
     """A hash of each k consecutive values."""
     out = np.zeros(max(0, len(values) - k + 1), np.uint64)
     for j in range(k):
-        out = out * np.uint64(0x100000001B3) + values[j : j + len(out)]
-    return _mixed(out, 7) >> np.uint64(1)
+        out = out * np.uint64(0xD6E8FEB86659FD93) + values[j : j + len(out)]
+    return _mixed(out, seed)
 
 
-def _sliding(values: np.ndarray, w: int, best: np.ufunc) -> np.ndarray:
-    """best over each w consecutive values, by doubling."""
+def _least(values: np.ndarray, w: int) -> np.ndarray:
+    """The least of each w consecutive values, by doubling."""
     span = 1
     while span < w:
         step = min(span, w - span)
-        values = best(values[:-step], values[step:])
+        values = np.minimum(values[:-step], values[step:])
         span += step
     return values
 
 
-def _kept(hashes: np.ndarray, w: int) -> np.ndarray:
-    """Whether each hash is the least of some stretch of w."""
-    if len(hashes) < w:
-        return np.zeros(len(hashes), bool)
-    least = _sliding(hashes, w, np.minimum)
-    edge = np.zeros(w - 1, np.uint64)
-    return (_sliding(np.concatenate([edge, least, edge]), w, np.maximum) == hashes) & (hashes != _NONE)
-
-
-class Windows:
-    """The windows of one length, their kept hashes, and the items that each is from."""
-
-    def __init__(self, length: int, of: dict[tuple[int, ...], set[int]], seed: int):
-        self.length, self.k = length, (length + 1) // 2
-        self.w = length - self.k + 1
-        self.words = np.array(sorted(of), np.int64).reshape(len(of), length)
-        values = _mixed(self.words, seed)
-        hashes = np.array([_grams(v, length)[0] for v in values], np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.words = hashes[order], self.words[order]
-        if len(np.unique(self.hashes)) < len(self.hashes):
-            raise ValueError("two windows have one hash")
-        owners = [sorted(of[tuple(row)]) for row in self.words.tolist()]
-        self.first = np.cumsum([0, *map(len, owners)])
-        self.items = np.array([i for o in owners for i in o], np.int64)
-        kept = [np.min(_grams(v, self.k)) for v in values]
-        self.prints = np.unique(np.array(kept, np.uint64))
-
-
-class Benchmark:
-    """Finds the windows of a block of items in documents."""
-
-    def __init__(self, items: Iterable[tuple[object, bytes]]):
-        self.ids: list[str | None] = []
-        self.vocabulary: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
-        number: dict[str | None, int] = {}
-        for item, text in items:
-            name = None if item is None else str(item)
-            if name not in number:
-                number[name] = len(self.ids)
-                self.ids.append(name)
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            if ids:
-                length = min(WINDOW, len(ids))
-                for k in range(len(ids) - length + 1):
-                    by_length[length][tuple(ids[k : k + length])].add(number[name])
-        for self.seed in range(99):  # until no two windows of a length share a hash
-            try:
-                self.windows = [Windows(n, of, self.seed) for n, of in sorted(by_length.items())]
-                break
-            except ValueError:
-                continue
-        self.values = _mixed(np.arange(len(self.vocabulary) + 1), self.seed)
-
-    def find(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
-        """(number of words, spans of hit words as [start, end), sorted ids of the items) of each text."""
-        out, start = [], 0
-        while start < len(texts):
-            stop, size = start, 0
-            while stop < len(texts) and (stop == start or size + len(texts[stop]) <= SLICE_BYTES):
-                size += len(texts[stop])
-                stop += 1
-            out += self._find(texts[start:stop])
-            start = stop
-        return out
-
-    def _find(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
-        get, parts, sizes = self.vocabulary.get, [], []
-        for text in texts:
-            own = words(text)
-            sizes.append(len(own))
-            parts.append(np.fromiter(map(get, own, repeat(0)), np.int64, len(own)))
-            parts.append(np.zeros(1, np.int64))  # no window crosses from one document to the next
-        ids = np.concatenate(parts)
-        begins = np.cumsum([0, *(n + 1 for n in sizes)])
-        values = self.values[ids]
-        unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-        change = np.zeros(len(ids) + 1, np.int64)
-        hits: list[np.ndarray] = []
-        for win in self.windows:
-            starts, which = self._windows(win, ids, values, unknown)
-            np.add.at(change, starts, 1)
-            np.add.at(change, starts + win.length, -1)
-            doc = np.searchsorted(begins, starts, "right") - 1
-            pairs = np.unique(np.stack([doc, which], 1), axis=0) if len(doc) else np.empty((0, 2), np.int64)
-            count = win.first[pairs[:, 1] + 1] - win.first[pairs[:, 1]]
-            at = np.repeat(win.first[pairs[:, 1]] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(pairs) else np.empty(0, np.int64)
-            hits.append(np.stack([np.repeat(pairs[:, 0], count), win.items[at]], 1))
-        found: list[set[int]] = [set() for _ in texts]
-        for doc, item in np.concatenate(hits).tolist() if hits else []:
-            found[doc].add(item)
-        hit = np.cumsum(change)[:-1] > 0
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).reshape(-1, 2)
-        owner = np.searchsorted(begins, edges[:, 0], "right") - 1
-        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-        for doc, (a, b) in zip(owner.tolist(), edges.tolist(), strict=True):
-            spans[doc].append((a - int(begins[doc]), b - int(begins[doc])))
-        return [(n, s, sorted(self.ids[i] for i in f if self.ids[i] is not None)) for n, s, f in zip(sizes, spans, found, strict=True)]
-
-    def _windows(self, win: Windows, ids: np.ndarray, values: np.ndarray, unknown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where windows stand, and which: kept hashes that are the benchmark's too, extended and compared."""
-        none = np.empty(0, np.int64), np.empty(0, np.int64)
-        n = len(ids) - win.k + 1
-        if n < 1:
-            return none
-        whole = unknown[win.k :] == unknown[: n]
-        if not whole.any():
-            return none
-        hashes = np.where(whole, _grams(values, win.k), _NONE)
-        at = np.flatnonzero(_kept(hashes, win.w))
-        slot = np.minimum(np.searchsorted(win.prints, hashes[at]), len(win.prints) - 1)
-        at = at[win.prints[slot] == hashes[at]]
-        if not len(at):
-            return none
-        starts = np.unique(at[:, None] - np.arange(win.w))
-        starts = starts[(starts >= 0) & (starts + win.length <= len(ids))]
-        starts = starts[unknown[starts + win.length] == unknown[starts]]
-        if not len(starts):
-            return none
-        rows = starts[:, None] + np.arange(win.length)
-        full = np.zeros(len(starts), np.uint64)
-        for j in range(win.length):
-            full = full * np.uint64(0x100000001B3) + values[rows[:, j]]
-        full = _mixed(full, 7) >> np.uint64(1)
-        slot = np.minimum(np.searchsorted(win.hashes, full), len(win.hashes) - 1)
-        same = (win.hashes[slot] == full) & (win.words[slot] == ids[rows]).all(1)
-        return starts[same], slot[same]
-
-
-TOLD = "struct<n_words:long,spans:array<struct<start:int,end:int>>,items:array<string>>"
-
-
-def _finder(spark, bench: Benchmark):
-    sent = spark.sparkContext.broadcast(bench)
+def gram_size(length: int) -> int:
+    """k for windows of so many words; winnowing looks at length - k + 1 hashes."""
+    return (length + 1) // 2
+
+
+def windows(values: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(kept hash of each window, whether it lies within one text) of the words of several texts one after another."""
+    k = gram_size(length)
+    kept = _least(_grams(values, k, 7), length - k + 1) if len(values) >= length else np.empty(0, np.uint64)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    return kept, text[: len(kept)] == text[length - 1 :][: len(kept)]
+
+
+def _whole(values: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each window that begins at starts, independent of the kept one."""
+    out = np.zeros(len(starts), np.uint64)
+    for j in range(length):
+        out = out * np.uint64(0xA0761D6478BD642F) + _mixed(values[starts + j], 3)
+    return _mixed(out, 5)
+
+
+def _slices(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """texts in order, some at a time."""
+    start = 0
+    while start < len(texts):
+        stop, size = start + 1, len(texts[start])
+        while stop < len(texts) and size + len(texts[stop]) <= SLICE_BYTES:
+            size += len(texts[stop])
+            stop += 1
+        yield texts[start:stop]
+        start = stop
+
+
+class Hits:
+    """Finds windows of which the filter has the kept hash."""
+
+    def __init__(self, lengths: list[int], words: np.ndarray):
+        self.lengths, self.filter = lengths, words
+
+    def find(self, texts: list[bytes]) -> list[tuple[int, np.ndarray]]:
+        """(number of words, rows of length, first word, kept hash and hash of the window) of each text."""
+        return [x for some in _slices(texts) for x in self._find(some)]
+
+    def _find(self, texts: list[bytes]) -> list[tuple[int, np.ndarray]]:
+        values, sizes = word_hashes(texts)
+        begins = np.cumsum([0, *sizes])
+        found: list[np.ndarray] = []
+        for length in self.lengths:
+            kept, within = windows(values, sizes, length)
+            # neighbours mostly share their least hash, which is looked up once
+            first = np.flatnonzero(np.diff(kept, prepend=~kept[:1]) != 0)
+            slot = (kept[first] >> np.uint64(20)) & np.uint64(64 * len(self.filter) - 1)
+            there = (self.filter[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
+            known = np.repeat(there.astype(bool), np.diff(np.append(first, len(kept))))
+            at = np.flatnonzero(known & within)
+            found.append(np.stack([np.full(len(at), length), at, kept[at].view(np.int64), _whole(values, at, length).view(np.int64)], 1))
+        rows = np.concatenate(found) if found else np.empty((0, 4), np.int64)
+        owner = np.searchsorted(begins, rows[:, 1], "right") - 1
+        order = np.argsort(owner, kind="stable")
+        rows, owner = rows[order], owner[order]
+        rows[:, 1] -= begins[owner]
+        return [(int(n), part) for n, part in zip(sizes, np.split(rows, np.searchsorted(owner, np.arange(1, len(texts)))), strict=True)]
+
+
+# the benchmark's side
+
+
+def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(n, kept, whole, item) for each window of each item: its words, its kept hash, its own, and the item's id as text."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch["item"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
+                values, sizes = word_hashes([text or b""])
+                length = min(WINDOW, len(values))
+                if not length:
+                    continue
+                kept, _ = windows(values, sizes, length)
+                whole = _whole(values, np.arange(len(kept)), length)
+                n = len(kept)
+                yield pa.RecordBatch.from_arrays([pa.array([length] * n, pa.int32()), pa.array(kept.view(np.int64)), pa.array(whole.view(np.int64)), pa.array([item] * n, pa.string())], names=["n", "kept", "whole", "item"])
+
+    bounded_batches(benchmark.sparkSession)
+    rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(cut, "n int, kept long, whole long, item string").distinct()
+
+
+def bit_filter(kept: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits as words of 64, those of the kept hashes set. At most FILTER_BITS / 64 rows come to the driver."""
+    bits = kept.selectExpr(f"shiftrightunsigned(kept, 20) & {FILTER_BITS - 1} AS slot").selectExpr("shiftrightunsigned(slot, 6) AS word", "shiftleft(1L, CAST(slot & 63 AS INT)) AS bit")
+    rows = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+HITS = "struct<n_words:long,hits:array<struct<n:int,start:int,kept:long,whole:long>>>"
+
+
+def _finder(spark, lengths: list[int], words: np.ndarray):
+    sent = spark.sparkContext.broadcast(Hits(lengths, words))
 
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = sent.value
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             found = own.find([x or b"" for x in batch.cast(pa.binary()).to_pylist()])
-            spans = [[{"start": a, "end": b} for a, b in s] for _, s, _ in found]
-            yield pa.StructArray.from_arrays(
-                [pa.array([n for n, _, _ in found], pa.int64()), pa.array(spans, kind), pa.array([i for *_, i in found], pa.list_(pa.string()))],
-                names=["n_words", "spans", "items"],
-            )
-
-    return F.arrow_udf(find, TOLD)
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[Benchmark]:
-    """The items in blocks of about block_bytes at most; an item larger than that is a block of its own."""
-    rows = benchmark.select(F.col(id_col).alias("i"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("t")).where("t IS NOT NULL")
-    size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    parts: list[tuple[object, bytes]] = []
-    held = 0
-    for item, text in (rows.collect() if size <= block_bytes else rows.toLocalIterator()):
-        if parts and held + len(text) > block_bytes:
-            yield Benchmark(parts)
-            parts, held = [], 0
-        parts.append((item, bytes(text)))
-        held += len(text)
-    yield Benchmark(parts)
+            rows = np.concatenate([r for _, r in found]) if found else np.empty((0, 4), np.int64)
+            offsets = pa.array(np.cumsum([0, *(len(r) for _, r in found)]), pa.int32())
+            columns = [pa.array(rows[:, 0], pa.int32()), pa.array(rows[:, 1], pa.int32()), pa.array(rows[:, 2]), pa.array(rows[:, 3])]
+            hits = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, names=["n", "start", "kept", "whole"]))
+            yield pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.int64()), hits], names=["n_words", "hits"])
 
-
-def _hit(spans: str):
-    return F.aggregate(spans, F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return F.arrow_udf(find, HITS)
 
 
-def _verdict(told: DataFrame) -> DataFrame:
-    n_hit = _hit("spans")
-    return told.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words")))
+# verdicts
 
 
-def _united(spark, found: list[DataFrame], keys: list[str]) -> DataFrame:
-    """One row per key of what several blocks found: spans merged, items together."""
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    rows = every.groupBy(*keys).agg(F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("all"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+def _spans(starts: str):
+    """Sorted structs of (start, end) merged where they meet or overlap."""
     kind = "array<struct<start:int,end:int>>"
-    merged = F.expr(f"""aggregate(all, cast(array() as {kind}), (done, s) ->
-        if(size(done) > 0 and element_at(done, -1).end >= s.start,
-           concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start, 'end', greatest(element_at(done, -1).end, s.end)))),
-           concat(done, array(s))))""")
-    return rows.withColumn("spans", merged).drop("all")
+    return F.expr(f"""aggregate({starts}, named_struct('done', cast(array() as {kind}), 'start', -1, 'end', -1), (a, s) ->
+        if(a.start < 0, named_struct('done', a.done, 'start', s.start, 'end', s.end),
+        if(s.start <= a.end, named_struct('done', a.done, 'start', a.start, 'end', greatest(a.end, s.end)),
+           named_struct('done', concat(a.done, array(named_struct('start', a.start, 'end', a.end))), 'start', s.start, 'end', s.end))),
+        a -> if(a.start < 0, a.done, concat(a.done, array(named_struct('start', a.start, 'end', a.end)))))""")
+
+
+def _found(spark, docs: DataFrame, benchmark: DataFrame, text_col: str, keep: list, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(the columns `keep` and n_words, file, row for each row of docs; file, row, spans, items for those that have a window)."""
+    bounded_batches(spark)
+    every = written(benchmark_windows(benchmark, item_col, item_text_col), work_path(spark, "windows"))
+    lengths = sorted(r.n for r in every.select("n").distinct().collect())  # at most WINDOW
+    find = _finder(spark, lengths, bit_filter(every))
+    told = written(docs.select(*keep, find(F.col(text_col).cast("string")).alias("told")).select(*(c for c in docs.select(*keep).columns), "told.*"), work_path(spark, "told"))
+    told = with_row_key(told, ("file", "row"))
+    hits = told.where(F.size("hits") > 0).select("file", "row", F.explode("hits").alias("h")).select("file", "row", "h.*")
+    # both sides of each join are scans, so a window that many documents or items have is split over tasks
+    unique = written(every.select("n", "kept", "whole").distinct(), work_path(spark, "unique"))
+    same = written(hits.join(unique, ["n", "kept", "whole"]), work_path(spark, "same"))
+    spans = same.groupBy("file", "row").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("all"))
+    spans = spans.select("file", "row", _spans("all").alias("spans"))
+    of = same.join(every.where("item IS NOT NULL"), ["n", "kept", "whole"]).select("file", "row", "item").distinct()
+    items = of.groupBy("file", "row").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    found = spans.join(items, ["file", "row"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return told.drop("hits"), written(found, work_path(spark, "found"))
+
+
+def _hit(spans: str):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, n_words, spans of hit words, sorted ids of the items found, n_hit, contaminated, and the columns in `carry`.
 
     Null and empty texts, of documents or items, have no words. Repeated items count once; the words
     of an item with a null id are looked for, but it isn't listed. Repeated documents are rows of
-    their own; other columns aren't read. An empty benchmark hits nothing.
+    their own; other columns aren't read. An empty benchmark hits nothing. Windows are compared by
+    two independent hashes of 64 bits.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
-    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
-    first = next(blocks)
-    second = next(blocks, None)
     names = [f"carried_{k}" for k in range(len(carry))]
-    text = F.col(text_col).cast("string")
-    if second is None:
-        told = docs.select(F.col(id_col).alias("doc_id"), *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)), _finder(spark, first)(text).alias("told"))
-        told = told.select("doc_id", *names, "told.*")
-    else:
-        keys = ["__row_file", "__row_index"]
-        keyed = with_row_key(docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True))), tuple(keys))
-        found: list[DataFrame] = []
-        for block in (b for several in ([first, second], blocks) for b in several):
-            part = keyed.select(*keys, _finder(spark, block)("text").alias("told")).select(*keys, "told.*")
-            found.append(written(part if not found else part.where(F.size("spans") > 0), work_path(spark, "hits")))
-        told = keyed.drop("text").join(_united(spark, found, keys), keys).drop(*keys)
-    return _verdict(told).select("doc_id", "n_words", "spans", "items", "n_hit", "contaminated", *(F.col(n).alias(c) for c, n in zip(carry, names, strict=True)))
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    keep = [F.col(id_col).alias("doc_id"), *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True))]
+    told, found = _found(spark, docs, benchmark, text_col, keep, item_col, item_text_col)
+    out = told.join(found, ["file", "row"], "left")
+    out = out.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    out = out.withColumn("n_hit", _hit("spans")).withColumn("contaminated", (F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words")))
+    return out.select("doc_id", "n_words", "spans", "items", "n_hit", "contaminated", *(F.col(n).alias(c) for c, n in zip(carry, names, strict=True)))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    blocks = _blocks(benchmark, "item_id", "text", block_bytes)
-    first = next(blocks)
-    if next(blocks, None) is None:
-        told = docs.withColumn("__told", _finder(spark, first)(F.col("text").cast("string")))
-        n_hit = _hit("__told.spans")
-        return told.where(~((n_hit > 0) & (ONE_IN * n_hit >= F.col("__told.n_words")))).drop("__told")
-    keys = ("__row_file", "__row_index")
+    spark, keys = docs.sparkSession, free_names(docs, "__row_file", "__row_index")
     keyed = with_row_key(docs, keys)
-    bad = decontaminate(keyed, benchmark, carry=keys, block_bytes=block_bytes).where("contaminated")
+    bad = decontaminate(keyed, benchmark, carry=keys).where("contaminated")
     return keyed.join(written(bad.select(*keys), work_path(spark, "bad")), list(keys), "left_anti").drop(*keys)

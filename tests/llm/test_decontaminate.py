@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+
 from shoebox.llm import decontaminate
 
 from .data import TEXTS, edges, empty
@@ -61,15 +63,37 @@ def test_every_window_is_found(spark):
         assert {c for *_, c in want} == {True, False}
 
 
-def test_blocks_find_the_same(spark):
+def test_dropping(spark):
     docs, items = made(5)
-    want = brute(docs, items)
-    assert shown(decontaminate.decontaminate(*frames(spark, docs, items), block_bytes=60)) == want
     d, b = frames(spark, docs, items)
-    kept = {str(i) for i, *_, bad in want if not bad}
-    for size in (60, 1 << 20):
-        out = decontaminate.drop_contaminated(d, b, block_bytes=size)
-        assert {str(r.doc_id) for r in out.collect()} == kept and out.columns == d.columns
+    out = decontaminate.drop_contaminated(d, b)
+    assert {str(r.doc_id) for r in out.collect()} == {str(i) for i, *_, bad in brute(docs, items) if not bad} and out.columns == d.columns
+
+
+def test_a_full_filter_finds_the_same(spark, monkeypatch):
+    docs, items = made(5)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 64)  # every bit is set: the join alone decides
+    assert shown(decontaminate.decontaminate(*frames(spark, docs, items))) == brute(docs, items)
+
+
+def test_the_benchmark_is_joined_not_sent(spark, monkeypatch):
+    """The driver sees bits alone, however many items there are."""
+    docs, items = made(5)
+    seen = []
+    plain = decontaminate._finder
+    monkeypatch.setattr(decontaminate, "_finder", lambda spark, lengths, words: seen.append((lengths, words.nbytes)) or plain(spark, lengths, words))
+    d, b = frames(spark, docs, items + [(1000 + k, f"w{k} " * 3 + f"v{k} " * 20) for k in range(2000)])
+    assert shown(decontaminate.decontaminate(d, b)) == brute(docs, items)
+    (lengths, size), = seen
+    assert max(lengths) == decontaminate.WINDOW and size == decontaminate.FILTER_BITS // 8
+
+
+def test_words_hash_alike_wherever_they_stand():
+    texts = ["Ab c-ab  x", "", "...", "ab", "é1 É a\x00b " + "z" * 3000 + " ab"]
+    hashes, sizes = decontaminate.word_hashes([t.encode() for t in texts])
+    all_words = [w for t in texts for w in words(t)]
+    assert sizes.tolist() == [len(words(t)) for t in texts]
+    assert len(set(zip(all_words, hashes.tolist(), strict=True))) == len(set(all_words)) == len(set(hashes.tolist()))
 
 
 def test_edges(spark):
@@ -83,10 +107,13 @@ def test_edges(spark):
     assert decontaminate.drop_contaminated(edges(spark), b).columns == edges(spark).columns
 
 
-def test_slices_change_nothing(monkeypatch):
+def test_slices_change_nothing(spark, monkeypatch):
     docs, items = made(9)
-    bench = decontaminate.Benchmark((i, (t or "").encode()) for i, t in items)
-    texts = [(t or "").encode() for _, t in docs]
-    whole = bench.find(texts)
     monkeypatch.setattr(decontaminate, "SLICE_BYTES", 10)
-    assert bench.find(texts) == whole
+    found = decontaminate.Hits([1, 7, 13], np.full(decontaminate.FILTER_BITS // 64, decontaminate._NONE))
+    texts = [(t or "").encode() for _, t in docs]
+    some = found.find(texts)
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 1 << 20)
+    assert [(n, r.tolist()) for n, r in some] == [(n, r.tolist()) for n, r in found.find(texts)]
+    assert [n for n, _ in some] == [len(words(t)) for _, t in docs]
+    assert all(len(r) == sum(max(0, n - k + 1) for k in (1, 7, 13)) for n, r in some)
