@@ -1,8 +1,9 @@
 from __future__ import annotations
 
 import re
+import time
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, product
 
 import pytest
 
@@ -111,20 +112,72 @@ def brute_mined(baskets, support, confidence):
     return {k: v for k, v in found.items() if not any((tuple(t for t in k[0] if t != x), k[1]) in found and found[tuple(t for t in k[0] if t != x), k[1]][0] >= v[0] for x in k[0])}
 
 
-def test_mined_rules_and_their_match(spark):
-    baskets = [(["a", "b", "c"], "block"), (["a", "b"], "block"), (["a"], "allow"), (["b", "d"], "allow"), (["c", "d"], "block"), (["a", "b", "d"], "block"), (["d"], "allow"), (["e"], "allow")] * 2
+def expanded(rules):
+    """Each rule with each choice of the tokens that stand for one another."""
+    out = {}
+    for r in rules.collect():
+        assert [w[0] for w in r.ways] == list(r.tokens)
+        for some in product(*r.ways):
+            out[tuple(sorted(some)), r.verdict] = (round(r.confidence, 9), round(r.support, 9))
+    return out
+
+
+BASKETS = [
+    [(["a", "b", "c"], "block"), (["a", "b"], "block"), (["a"], "allow"), (["b", "d"], "allow"), (["c", "d"], "block"), (["a", "b", "d"], "block"), (["d"], "allow"), (["e"], "allow")] * 2,
+    [(["a", "a2", "b"], "block"), (["a", "a2", "c", "c2", "c3"], "block"), (["b", "c", "c2", "c3", "s", "s2"], "block"), (["b", "s", "s2"], "block"), (["a", "a2"], "allow"), (["c", "c2", "c3"], "allow"), ([], "allow"), (["b"], "else")] * 3,
+]
+
+
+@pytest.mark.parametrize("baskets", BASKETS)
+def test_mined_rules_and_their_match(spark, baskets):
     df = spark.createDataFrame(baskets, "tokens ARRAY<STRING>, label STRING")
     mined = url_rules.mine(df, 0.1, 0.6)
-    got = {(tuple(r.tokens), r.verdict): (round(r.confidence, 9), round(r.support, 9)) for r in mined.collect()}
     want = brute_mined(baskets, 0.1, 0.6)
-    assert got == {k: (round(c, 9), round(s, 9)) for k, (c, s) in want.items()}
-    sets = [("1", ["a", "b"]), ("2", ["d"]), ("3", ["z"]), ("4", []), ("5", ["a", "b", "c", "d", "e"])]
+    assert expanded(mined) == {k: (round(c, 9), round(s, 9)) for k, (c, s) in want.items()}
+    sets = [("1", ["a", "b"]), ("2", ["d"]), ("3", ["z"]), ("4", []), ("5", ["a", "b", "c", "d", "e"]), ("6", ["a2", "b", "c3"]), ("7", ["c2", "a"]), ("8", ["s2"]), ("9", ["b"])]
     out = {r.key: r.verdict for r in url_rules.match(spark.createDataFrame(sets, "key STRING, tokens ARRAY<STRING>"), mined).collect()}
     for key, tokens in sets:
         fits = [(c, s, len(t), v == "allow", "\x01".join(t), v) for (t, v), (c, s) in want.items() if set(t) <= set(tokens)]
         assert out[key] == (max(fits)[-1] if fits else "allow")
 
 
+def test_many_shared_parameters_are_one(spark):
+    """Thirty parameters that come together would be 2 ** 30 sets."""
+    query = "?" + "&".join(f"p{k}={k}" for k in range(30))
+    urls = [f"http://site{k}.net/shop/{k}{query if k % 2 else ''}" for k in range(100)] + [f"http://site{k}.org/fr/{k}{query if k % 2 else ''}" for k in range(100)]
+    urls += [f"http://other.com/shop/1{query}", f"http://other.com/fr/2{query}", f"http://other.com/none{query}"]
+    began = time.time()
+    out = {r.page_id: r for r in url_rules.judge(frame(spark, urls), queries.URL_RULES).collect()}
+    assert [out[k].verdict for k in (200, 201, 202)] == ["block", "allow", "allow"]
+    assert time.time() - began < 60
+
+
+def test_verdicts_of_a_table_against_brute_force(spark, small):
+    """Fixed rules, tokens, mining by counting and matching, all in plain Python."""
+    pages = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url").collect()
+
+    def tokens(url):
+        url = url or ""
+        host, path, _ = brute_rule(url)
+        scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*)://", url)
+        query = re.match(r"[^?#]*\?([^#]*)", url)
+        out = {f"scheme:{scheme[1]}"} if scheme else set()
+        out |= {f"host:{x}" for x in host.split(".") if x}
+        out |= {f"path{min(k, 3)}:{x}" for k, x in enumerate(path.split("/")) if x}
+        out |= {f"query:{n}" for x in (query[1].split("&") if query else []) if (n := x.split("=")[0])}
+        return out | ({"fragment"} if "#" in url else set())
+
+    told = {p.page_id: (tokens(p.url), brute_rule(p.url)[2]) for p in pages}
+    baskets = [(t, best[1]) for t, best in told.values() if best]
+    often = Counter(x for t, _ in baskets for x in t)
+    baskets = [({x for x in t if often[x] >= url_rules.SUPPORT * len(baskets)}, label) for t, label in baskets]
+    rules = brute_mined(baskets, url_rules.SUPPORT, url_rules.CONFIDENCE)
+    for r in url_rules.judge(spark.read.parquet(f"{small}/pages.parquet"), queries.URL_RULES).collect():
+        t, best = told[r.page_id]
+        fits = [(c, s, len(k), v == "allow", "\x01".join(k), v) for (k, v), (c, s) in rules.items() if set(k) <= t]
+        assert r.verdict == (best[1] if best else max(fits)[-1] if fits else "allow")
+
+
 def test_the_method_judges_what_no_rule_fits(spark):
     urls = [f"http://site{k}.net/shop/{k}" for k in range(30)] + [f"http://site{k}.org/fr/{k}" for k in range(30)] + ["http://other.com/shop/1", "http://other.com/fr/2", "http://other.com/none"]
     out = {r.page_id: r for r in url_rules.judge(frame(spark, urls), queries.URL_RULES).collect()}
