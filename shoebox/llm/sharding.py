@@ -17,7 +17,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import filesystem, work_path
+from .session import filesystem, free_names, work_path
 
 TARGET_BYTES = 128 << 20
 #: Runs of similar size that are merged once there are so many.
@@ -75,6 +75,8 @@ class ShardStore:
 
     def _files(self, run: str) -> list[list]:
         fs, folder = filesystem(self.spark, f"{self.path}/runs/{run}")
+        if not fs.exists(folder):
+            return []
         found = [(s.getPath().getName(), s.getLen()) for s in fs.listStatus(folder)]
         return [[n, size] for n, size in sorted(found) if n.startswith("part-")]
 
@@ -86,14 +88,29 @@ class ShardStore:
     def append(self, rows: DataFrame) -> int:
         """Adds an arrival as a run of its own, one small shard per task; returns the version. An arrival without rows is a run without rows."""
         old = self.manifest()
+        schema = self._schema(rows, old)
+        name = f"arrival-{old['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
+        rows.write.parquet(f"{self.path}/runs/{name}")
+        return self._commit(old, [*old["runs"], {"name": name, "tier": 0, "files": self._files(name)}], schema)
+
+    def append_each(self, rows: DataFrame, arrival_col: str, arrivals: int) -> int:
+        """Adds the rows whose arrival_col is 0, those where it is 1, and so on up to `arrivals`, each as a run and a version of its own, from one read of them all; the column isn't stored."""
+        schema = self._schema(rows.drop(arrival_col), self.manifest())
+        name = f"arrivals-{uuid.uuid4().hex[:8]}"
+        rows.write.partitionBy(arrival_col).parquet(f"{self.path}/runs/{name}")
+        for k in range(arrivals):
+            old, run = self.manifest(), f"{name}/{arrival_col}={k}"
+            self._commit(old, [*old["runs"], {"name": run, "tier": 0, "files": self._files(run)}], schema)
+        return self.version()
+
+    @staticmethod
+    def _schema(rows: DataFrame, old: dict) -> dict:
         schema = json.loads(rows.schema.json())
         for field in schema["fields"]:
             field["nullable"] = True
         if old["schema"] and old["schema"] != schema:
             raise ValueError("the arrival's columns differ from the store's")
-        name = f"arrival-{old['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
-        rows.write.parquet(f"{self.path}/runs/{name}")
-        return self._commit(old, [*old["runs"], {"name": name, "tier": 0, "files": self._files(name)}], schema)
+        return schema
 
     def tiers(self, runs: list[dict]) -> list[list[dict]]:
         """Runs of similar size together, the smaller first; runs that are files of the target size already take no part."""
@@ -136,10 +153,16 @@ class ShardStore:
         """Deletes the runs that the current version doesn't name; returns their names. Not while a writer is at work."""
         fs, folder = filesystem(self.spark, f"{self.path}/runs")
         current = {r["name"] for r in self.manifest()["runs"]}
-        gone = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName() not in current]
-        for p in gone:
-            fs.delete(p, True)
-        return sorted(p.getName() for p in gone)
+        gone = {}
+        for top in fs.listStatus(folder):
+            name = top.getPath().getName()
+            inside = [s.getPath() for s in fs.listStatus(top.getPath()) if s.isDirectory()]
+            runs = {f"{name}/{p.getName()}": p for p in inside} or {name: top.getPath()}
+            unused = {n: p for n, p in runs.items() if n not in current}
+            gone |= unused if len(unused) < len(runs) or not inside else unused | {name: top.getPath()}
+        for name in sorted(gone):
+            fs.delete(gone[name], True)
+        return sorted(gone)
 
     def _read(self, session: SparkSession, runs: list[dict], schema: dict) -> DataFrame:
         from pyspark.sql.types import StructType
@@ -169,8 +192,8 @@ def shard_arrivals(docs: DataFrame, arrivals: int, id_col: str = "doc_id", targe
     spark = docs.sparkSession
     store = ShardStore(spark, work_path(spark, "shards"), target_bytes)
     arrival = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(arrivals)), F.lit(0))
-    for k in range(arrivals):
-        store.append(docs.where(arrival == k))
+    (name,) = free_names(docs, "arrival")
+    store.append_each(docs.withColumn(name, arrival), name, arrivals)
     store.compact()
     store.remove_unused()
     return store
