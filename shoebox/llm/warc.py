@@ -32,6 +32,8 @@ from .session import bounded_batches, work_path, written
 
 #: An archive file is closed once it has so many bytes; files are read in partitions of about as many.
 FILE_BYTES = 64 << 20
+#: Bytes of one request of a reader, of a piece that is unpacked at once, and of unpacked data in which headers are looked for.
+READ_BYTES, PIECE, HEAD = 256 << 10, 64 << 10, 4 << 10
 #: Bytes of payloads in one batch that is handed to Spark.
 BATCH_BYTES = 8 << 20
 HEADERS = "record_type string, record_id string, refers_to string, target_uri string, date string, payload_digest string, payload_length long"
@@ -127,19 +129,31 @@ def payload_of(headers: dict[str, str], body: bytes) -> bytes:
     return body
 
 
+class Tape:
+    """A file read forward through one buffer: records that lie in it cost no request, and what is skipped beyond it isn't read."""
+
+    def __init__(self, file, size: int, block: int = READ_BYTES):
+        self.file, self.size, self.block, self.begin, self.data = file, size, block, 0, b""
+
+    def take(self, at: int, n: int) -> bytes:
+        """n bytes from `at` on, fewer at the end."""
+        n = min(n, self.size - at)
+        if at < self.begin or at + n > self.begin + len(self.data):
+            kept = self.data[at - self.begin :] if self.begin <= at < self.begin + len(self.data) else b""
+            self.file.seek(at + len(kept))
+            self.data, self.begin = kept + self.file.read(min(max(n - len(kept), self.block), self.size - at - len(kept))), at
+        return self.data[at - self.begin : at - self.begin + n]
+
+
 def scan(file, size: int, wanted, payloads: bool) -> Iterator[tuple[dict[str, object], bytes | None]]:
     """The records of an open file that `wanted` takes by their headers; payloads only where asked for."""
-    at = 0
+    tape, at = Tape(file, size), 0
     while at < size:
-        file.seek(at)
-        start = file.read(64 << 10)
+        start = tape.take(at, PIECE)
         if start[:2] == b"\x1f\x8b":
-            at, found = _packed(file, at, start, wanted, payloads)
+            at, found = _packed(tape, at, wanted, payloads)
         elif start[:5] == b"WARC/":
-            at, found = _plain(file, at, start, wanted, payloads)
-        elif not start.strip(b"\r\n"):
-            at += len(start)
-            continue
+            at, found = _plain(tape, at, wanted, payloads)
         else:
             skip = len(start) - len(start.lstrip(b"\r\n"))
             if not skip:
@@ -150,42 +164,53 @@ def scan(file, size: int, wanted, payloads: bool) -> Iterator[tuple[dict[str, ob
             yield found
 
 
-def _plain(file, at: int, data: bytes, wanted, payloads: bool):
-    while (end := data.find(b"\r\n\r\n")) < 0:
-        more = file.read(64 << 10)
-        if not more:
+def _plain(tape: Tape, at: int, wanted, payloads: bool):
+    n = PIECE
+    while (end := (data := tape.take(at, n)).find(b"\r\n\r\n")) < 0:
+        if len(data) < n:
             raise ValueError(f"a record's headers end too soon at byte {at}")
-        data += more
+        n *= 2
     headers = headers_of(data[:end])
     length = int(headers.get("content-length", "0"))
-    after = at + end + 4 + length
+    body = at + end + 4
     row = row_of(headers)
     if not wanted(row):
-        return after, None
-    if not payloads:
-        return after, (row, None)
-    file.seek(at + end + 4)
-    return after, (row, payload_of(headers, file.read(length)))
-
-
-def _packed(file, at: int, data: bytes, wanted, payloads: bool):
-    size = None
-    if data[3] & 4:
-        extra = data[12 : 12 + struct.unpack_from("<H", data, 10)[0]]
-        while len(extra) >= 4:
-            n = struct.unpack_from("<H", extra, 2)[0]
-            if extra[:2] == b"sl" and n == 8:
-                size = struct.unpack_from("<I", extra, 4)[0]
-            extra = extra[4 + n :]
+        return body + length, None
+    return body + length, (row, payload_of(headers, tape.take(body, length)) if payloads else None)
+
+
+def _own_size(head: bytes) -> int | None:
+    """A gzip member's length, if the extra field `sl` tells it."""
+    if not head[3] & 4:
+        return None
+    extra = head[12 : 12 + struct.unpack_from("<H", head, 10)[0]]
+    while len(extra) >= 4:
+        n = struct.unpack_from("<H", extra, 2)[0]
+        if extra[:2] == b"sl" and n == 8:
+            return struct.unpack_from("<I", extra, 4)[0] or None
+        extra = extra[4 + n :]
+    return None
+
+
+def _packed(tape: Tape, at: int, wanted, payloads: bool):
+    size = _own_size(tape.take(at, PIECE))
     unpack = zlib.decompressobj(31)
-    read = len(data)
-    head = unpack.decompress(data, 16 << 10)
+    read, fresh, head = at, b"", b""
+
+    def more(limit: int, wrong: str) -> bytes:
+        nonlocal read, fresh
+        fresh = unpack.unconsumed_tail
+        if not fresh:
+            fresh = tape.take(read, PIECE if size is None else min(PIECE, at + size - read))
+            read += len(fresh)
+            if not fresh or unpack.eof:
+                raise ValueError(wrong)
+        return unpack.decompress(fresh, limit)
+
     while (end := head.find(b"\r\n\r\n")) < 0:
-        rest = unpack.unconsumed_tail or file.read(64 << 10)
-        if not rest or unpack.eof:
+        if unpack.eof:
             raise ValueError(f"a record's headers end too soon at byte {at}")
-        read += 0 if unpack.unconsumed_tail else len(rest)
-        head += unpack.decompress(rest, 16 << 10)
+        head += more(HEAD, f"a record's headers end too soon at byte {at}")
     headers = headers_of(head[:end])
     row = row_of(headers)
     keep = wanted(row)
@@ -193,16 +218,10 @@ def _packed(file, at: int, data: bytes, wanted, payloads: bool):
         return at + size, ((row, None) if keep else None)
     parts = [head[end + 4 :]]
     while not unpack.eof:
-        rest = unpack.unconsumed_tail
-        if not rest:
-            rest = file.read(64 << 10)
-            read += len(rest)
-            if not rest:
-                raise ValueError(f"the record at byte {at} ends too soon")
-        out = unpack.decompress(rest, 1 << 20)
+        out = more(1 << 20, f"the record at byte {at} ends too soon")
         if keep and payloads:
             parts.append(out)
-    after = at + read - len(unpack.unused_data)
+    after = read - len(unpack.unused_data)
     if not keep:
         return after, None
     if not payloads:

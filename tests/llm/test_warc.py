@@ -124,3 +124,22 @@ def test_base32(spark):
 
     rows = spark.createDataFrame([(bytes([k]) * k,) for k in range(60)], "b BINARY").select("b", warc.base32_sha1(F.col("b")).alias("d"))
     assert all(r.d == digest(bytes(r.b)) for r in rows.collect())
+
+
+class Requests(Counting):
+    asked = 0
+
+    def read(self, n=-1):
+        self.asked += 1
+        return super().read(n)
+
+
+def test_small_records_share_requests():
+    records = [warc.member(warc.record("response" if k % 3 else "revisit", f"urn:{k}", None, b"%d " % k * 200, None, "2024-01-01T00:00:00Z")) for k in range(3000)]
+    data = b"".join(records)
+    for payloads in (True, False):
+        file = Requests(data)
+        rows = list(warc.scan(file, len(data), lambda r: r["record_type"] == "response", payloads))
+        assert [r["record_id"] for r, _ in rows] == [f"urn:{k}" for k in range(3000) if k % 3]
+        assert file.asked <= 2 + len(data) // (warc.READ_BYTES - warc.PIECE) and file.taken <= len(data) * 1.4
+        assert not payloads or all(p == b"%d " % int(r["record_id"][4:]) * 200 for r, p in rows)
