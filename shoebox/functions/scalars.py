@@ -127,6 +127,25 @@ def count_note(photos: Column, videos: Column) -> Column:
     return F.when(videos == 0, F.format_string("%d장", photos)).when(photos == 0, F.format_string("영상 %d개", videos)).otherwise(F.format_string("사진 %d장 · 영상 %d개", photos, videos))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x at so many decimal places, by the number that the double really is; exact halves go to the even digit.
+
+    The product with a power of ten is split into its double and what that leaves out, which decides
+    where the double alone looks like a half.
+    """
+    ten, split = float(10**places), 134217729.0
+    x = x.cast("double")
+    whole = x * ten
+    high = x * split - (x * split - x)
+    ten_high = ten * split - (ten * split - ten)
+    low, ten_low = x - high, ten - ten_high
+    rest = ((high * ten_high - whole) + high * ten_low + low * ten_high) + low * ten_low
+    down = F.floor(whole).cast("double")
+    past = (whole - down) - 0.5
+    up = F.when(past != 0, past > 0).when(rest != 0, rest > 0).otherwise(F.pmod(down, F.lit(2.0)) == 1)
+    return F.when(F.abs(x) < 1e15 / ten, (down + F.when(up, 1.0).otherwise(0.0)) / ten).otherwise(x)
+
+
 # vectors
 
 

@@ -40,8 +40,8 @@ def decoded(texts: DataFrame, col: str = "json") -> DataFrame:
 
 
 def resolved(refs: DataFrame, media: DataFrame) -> DataFrame:
-    """(ref, media_id) by name, bytes and time; of several candidates only one with the same path will do. No name matches nothing; unknown times are equal."""
-    known = media.select("media_id", F.col("display_name").alias("m_name"), F.col("bytes").alias("m_bytes"), F.col("taken_at").alias("m_taken"), F.col("rel_path").alias("m_path"))
+    """(ref, media_id) of accessible media by name, bytes and time; of several candidates only one with the same path will do. No name matches nothing; unknown times are equal."""
+    known = media.where("is_accessible").select("media_id", F.col("display_name").alias("m_name"), F.col("bytes").alias("m_bytes"), F.col("taken_at").alias("m_taken"), F.col("rel_path").alias("m_path"))
     pairs = refs.select("ref", "name", "bytes", "taken", "path").join(known, (F.col("name") == F.col("m_name")) & F.col("bytes").eqNullSafe(F.col("m_bytes")) & F.col("taken").eqNullSafe(F.col("m_taken")))
     per = pairs.groupBy("ref").agg(F.count(F.lit(1)).alias("n"), F.min("media_id").alias("any"), F.count_if(F.col("path").eqNullSafe(F.col("m_path"))).alias("n_path"), F.min(F.when(F.col("path").eqNullSafe(F.col("m_path")), F.col("media_id"))).alias("same"))
     found = F.when(F.col("n") == 1, F.col("any")).when(F.col("n_path") == 1, F.col("same"))
@@ -58,6 +58,14 @@ def restored(doc: DataFrame, links: DataFrame, favorites: DataFrame, feedback: D
     return favorites, feedback, missing
 
 
+def restored_tags(doc: DataFrame, links: DataFrame, tags: DataFrame) -> DataFrame:
+    """tags after a document's verdicts: 1 makes the label the user's own, 0 takes it away."""
+    from .state import with_feedback
+
+    told = doc.select(F.explode("feedback").alias("f")).select("f.*").join(links, "ref")
+    return with_feedback(tags, told.select("media_id", "label", "verdict", "ts"))
+
+
 def restored_albums(doc: DataFrame, links: DataFrame, albums: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(albums, items): an album of the same name and time of creation is the same; a new one gets the next id."""
     read = doc.select(F.explode("albums").alias("a")).select("a.name", F.col("a.created").alias("created_at"), "a.items")

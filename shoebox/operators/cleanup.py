@@ -17,6 +17,13 @@ def report(media: DataFrame, groups: DataFrame, blur: float, dark: float, bright
     return blurry.unionByName(poor).unionByName(copies).unionByName(freed)
 
 
+def trashed(wanted: DataFrame, groups: DataFrame, failures: DataFrame) -> DataFrame:
+    """(media_id, result, error) for each wanted item: `kept` by the guard, `failed` where failures(media_id, error) has it, else `deleted`."""
+    told = grouping.keep_one(wanted, groups).join(failures.groupBy("media_id").agg(F.min("error").alias("why")), "media_id", "left")
+    result = F.when(F.col("action") == "keep", "kept").when(F.col("why").isNotNull(), "failed").otherwise("deleted")
+    return told.select("media_id", result.alias("result"), F.when(result == "failed", F.col("why")).alias("error"))
+
+
 def trash(wanted: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(to delete, kept) after the guard that leaves one of each group."""
     told = grouping.keep_one(wanted, groups)

@@ -33,17 +33,20 @@ def sessions(media: DataFrame, gap_hours: float, split_km: float = 0.0, by: tupl
 
 
 def rollup(items: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """One row per event of sessions(): times, mean place of the items that have one, count, ids in order."""
+    """One row per event of sessions(): times, mean place of the items that have one, count. Which items are in it is told by members()."""
     both = F.col("gps_lat").isNotNull() & F.col("gps_lon").isNotNull()
-    out = items.groupBy(*by, "event_no").agg(
+    return items.groupBy(*by, "event_no").agg(
         F.min("taken_at").alias("started_at"),
         F.max("taken_at").alias("ended_at"),
         F.avg(F.when(both, F.col("gps_lat"))).alias("lat"),
         F.avg(F.when(both, F.col("gps_lon"))).alias("lon"),
         F.count(F.lit(1)).alias("n"),
-        F.array_sort(F.collect_list(F.struct("taken_at", "media_id"))).alias("ids"),
     )
-    return out.withColumn("ids", F.col("ids.media_id"))
+
+
+def members(items: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, event_no, taken_at, media_id): the items of each event of sessions(), a row each, as an event can have any number."""
+    return items.select(*by, "event_no", "taken_at", "media_id")
 
 
 def sharpest_covers(items: DataFrame, key: tuple[str, ...], n: int = 3) -> DataFrame:
@@ -53,17 +56,24 @@ def sharpest_covers(items: DataFrame, key: tuple[str, ...], n: int = 3) -> DataF
 
 
 def diverse_covers(items: DataFrame, key: tuple[str, ...], n: int = 3, max_cosine: float = 0.9) -> DataFrame:
-    """(key, cover_ids): sharpest first, passing over what is too like a cover already; then filled up by sharpness."""
-    item = F.struct((-F.coalesce("blur_score", F.lit(0.0))).alias("order"), F.col("taken_at"), F.col("media_id"), F.col("embedding"))
-    lists = items.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-    def pick(acc: Column, x: Column) -> Column:
-        alike = F.exists(acc, lambda c: F.coalesce(S.dot(c["embedding"], x["embedding"]) >= max_cosine, F.lit(False)))
-        return F.when((F.size(acc) < n) & ~alike, F.concat(acc, F.array(x))).otherwise(acc)
+    """(key, cover_ids): sharpest first, passing over what is too like a cover already; then filled up by sharpness.
 
-    picked = lists.withColumn("picked", F.aggregate("items", F.slice("items", 1, 0), pick))
-    ids = F.col("picked.media_id")
-    return picked.select(*key, F.slice(F.concat(ids, F.array_except(F.col("items.media_id"), ids)), 1, n).alias("cover_ids"))
+    One aggregate for each of the n covers: the sharpest of what is left beside those chosen, so a
+    group's items are never gathered. Ties go to the earlier item, then the lower id.
+    """
+    rows = items.select(F.struct(*key).alias("_key"), F.struct((-F.coalesce("blur_score", F.lit(0.0))).alias("order"), "taken_at", "media_id").alias("place"), "embedding")
+    best = lambda df: df.groupBy("_key").agg(F.min_by(F.struct(F.col("place.media_id").alias("media_id"), "embedding"), "place").alias("found"))
+    chosen = best(rows).select("_key", F.array("found").alias("covers"))
+    for _ in range(n - 1):
+        left = rows.join(chosen, "_key")
+        alike = F.exists("covers", lambda c: (c["media_id"] == F.col("place.media_id")) | F.coalesce(S.dot(c["embedding"], F.col("embedding")) >= max_cosine, F.lit(False)))
+        more = best(left.where(~alike)).select("_key", "found")
+        chosen = chosen.join(more, "_key", "left").select("_key", F.when(F.col("found").isNull(), F.col("covers")).otherwise(F.concat("covers", F.array("found"))).alias("covers"))
+    sharpest = rows.withColumn("r", F.row_number().over(W.partitionBy("_key").orderBy("place"))).where(F.col("r") <= 2 * n)
+    sharpest = sharpest.groupBy("_key").agg(F.array_sort(F.collect_list("place")).alias("sharpest"))
+    ids = F.col("covers.media_id")
+    covers = F.slice(F.concat(ids, F.array_except(F.col("sharpest.media_id"), ids)), 1, n)
+    return chosen.join(sharpest, "_key").select("_key.*", covers.alias("cover_ids"))
 
 
 def top_labels(items: DataFrame, tags: DataFrame, key: tuple[str, ...], n: int = 2) -> DataFrame:
@@ -83,6 +93,13 @@ def titles(events: DataFrame, items: DataFrame, tags: DataFrame, key: tuple[str,
     return events.join(labels, list(key), "left").withColumn("title", F.concat_ws(" · ", day, place, what)).drop("l")
 
 
+def titles_in_two_phases(media: DataFrame, tags: DataFrame, gap_hours: float, split_km: float = 0.0, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(events by metadata alone, events with what analysis found): the first can be shown before any item has been analysed, and both have the same events."""
+    items, key = sessions(media, gap_hours, split_km, by), (*by, "event_no")
+    found = rollup(items, by)
+    return titles(found, items, tags.limit(0), key), titles(found, items, tags, key)
+
+
 def event_counts(event_items: DataFrame, media: DataFrame) -> DataFrame:
     """(event_id, n, videos) of events that still have accessible items."""
     return event_items.join(media.where("is_accessible").select("media_id", is_video().alias("video")), "media_id").groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("video").alias("videos"))
@@ -122,4 +139,4 @@ def memories(media: DataFrame, today: str, least: int = 3) -> DataFrame:
     return rows.join(enough, "memory", "left_semi")
 
 
-__all__ = ["days", "diverse_covers", "event_counts", "memories", "rollup", "sessions", "sharpest_covers", "taken_between", "timeline", "titles", "top_labels"]
+__all__ = ["days", "diverse_covers", "event_counts", "members", "memories", "rollup", "sessions", "sharpest_covers", "taken_between", "timeline", "titles", "top_labels"]

@@ -11,13 +11,18 @@ KM_PER_DEGREE = 111.19
 
 
 def clusters(points: DataFrame, world_px: float, cell_px: float) -> DataFrame:
-    """Per grid cell of the map: mean place, box, count, ids, and whether all are at one place. points(media_id, gps_lat, gps_lon)."""
-    cell = points.withColumn("cx", F.floor(S.mercator_x(F.col("gps_lon"), world_px) / cell_px)).withColumn("cy", F.floor(S.mercator_y(F.col("gps_lat"), world_px) / cell_px))
+    """Per grid cell of the map: mean place, box, count, and whether all are at one place. points(media_id, gps_lat, gps_lon). Which points are in it is told by with_cells()."""
+    cell = with_cells(points, world_px, cell_px)
     box = [f("gps_" + c).alias(f"{c}_{n}") for c in ("lat", "lon") for n, f in (("min", F.min), ("max", F.max))]
-    out = cell.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.avg("gps_lat").alias("lat"), F.avg("gps_lon").alias("lon"), *box, F.sort_array(F.collect_list("media_id")).alias("ids"))
+    out = cell.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.avg("gps_lat").alias("lat"), F.avg("gps_lon").alias("lon"), *box)
     return out.withColumn("at_one_place", (F.col("lat_max") - F.col("lat_min") < 1e-4) & (F.col("lon_max") - F.col("lon_min") < 1e-4))
 
 
+def with_cells(points: DataFrame, world_px: float, cell_px: float) -> DataFrame:
+    """points with the cell (cx, cy) of the map that each is in."""
+    return points.withColumn("cx", F.floor(S.mercator_x(F.col("gps_lon"), world_px) / cell_px)).withColumn("cy", F.floor(S.mercator_y(F.col("gps_lat"), world_px) / cell_px))
+
+
 def _cells(df: DataFrame, lat: str, lon: str, size: float) -> DataFrame:
     return df.withColumn("_cy", F.floor(F.col(lat) / size)).withColumn("_cx", F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / size))
 

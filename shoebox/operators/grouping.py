@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .filters import is_video
-from .runs import with_runs
+from .runs import joined_back, with_runs
 
 
 def hash_candidates(media: DataFrame) -> DataFrame:
@@ -22,12 +26,12 @@ def hash_candidates(media: DataFrame) -> DataFrame:
 def exact_groups(media: DataFrame, markers: tuple[str, ...] = S.COPY_MARKERS) -> DataFrame:
     """(kind, key, media_id, is_best) of items with one hash; the best has the least origin rank, then the least id.
 
-    The best of each hash is an aggregate that is joined back, so a hash of any number of items is
-    not gathered in one task.
+    The best of each hash is an aggregate that is joined back in parts, so a hash of any number of
+    items is not gathered in one task.
     """
     rows = media.where("sha256 IS NOT NULL").select("media_id", "sha256", S.origin_rank(F.col("display_name"), markers).alias("rank"))
     best = rows.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rank", "media_id")).alias("best"), F.min("media_id").alias("least")).where("n > 1")
-    out = rows.join(best, "sha256")
+    out = joined_back(rows, best, "sha256")
     return out.select(F.lit("EXACT").alias("kind"), F.concat(F.lit("EXACT:"), F.col("least").cast("string")).alias("key"), "media_id", (F.col("media_id") == F.col("best.media_id")).alias("is_best"))
 
 
@@ -35,24 +39,35 @@ def burst_groups(media: DataFrame, exact: DataFrame, similarity: float, gap_sec:
     """(kind, key, media_id, is_best) of photos in quick succession that look like the first of their run.
 
     Photos with a camera's time are cut where the gap to the one before exceeds gap_sec; each stretch
-    is folded in order: a photo joins the run while its cosine to the run's head is at least
+    is folded in order, one photo at a time: a photo joins the run while its cosine to the run's head is at least
     `similarity`, else it heads a new run. A run with a member in an exact group is dropped whole.
     The best is the sharpest, then the first. by: columns that keep libraries apart, e.g. the owner.
     """
     rows = media.where((F.col("taken_at_source") == "exif") & ~is_video() & F.col("taken_at").isNotNull() & F.col("embedding").isNotNull())
     rows = with_runs(rows, lambda prior: F.col("taken_at") - prior["taken_at"] > gap_sec, "stretch", by)
-    item = F.struct("taken_at", "media_id", F.coalesce("blur_score", F.lit(0.0)).alias("blur"), "embedding")
-    stretches = rows.groupBy(*by, "stretch").agg(F.array_sort(F.collect_list(item)).alias("items")).where(F.size("items") > 1)
-
-    def step(acc: Column, x: Column) -> Column:
-        """acc: the head's vector, the number of its run, and (run, item) so far."""
-        joins = S.dot(acc["head"], x["embedding"]) >= similarity
-        run = F.when(joins, acc["run"]).otherwise(acc["run"] + 1)
-        out = F.concat(acc["out"], F.array(F.struct(run.alias("run"), x["media_id"].alias("media_id"), x["blur"].alias("blur"))))
-        return F.struct(F.when(joins, acc["head"]).otherwise(x["embedding"]).alias("head"), run.alias("run"), out.alias("out"))
-
-    start = F.struct(F.array().cast("array<float>").alias("head"), F.lit(0).alias("run"), F.array().cast("array<struct<run:int,media_id:bigint,blur:double>>").alias("out"))
-    folded = stretches.select(*by, "stretch", F.posexplode(F.aggregate("items", start, step, lambda a: a["out"])).alias("pos", "x")).select(*by, "stretch", "pos", "x.*")
+    keys = [*by, "stretch"]
+    ordered = rows.select(*keys, "taken_at", "media_id", F.coalesce("blur_score", F.lit(0.0)).alias("blur"), "embedding").repartition(*keys).sortWithinPartitions(*keys, "taken_at", "media_id")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Row after row: all that is held of a stretch is the head of its run."""
+        now, head, run, pos = None, None, 0, 0
+        for batch in batches:
+            owner = list(zip(*(batch[k].to_pylist() for k in keys), strict=True))
+            runs, places = [], []
+            for key, vector in zip(owner, batch["embedding"].to_pylist(), strict=True):
+                v = np.asarray(vector, np.float64)
+                if key != now:
+                    now, head, run, pos = key, v, 0, 0
+                elif not (len(head) == len(v) and float(head @ v) >= similarity):
+                    head, run = v, run + 1
+                runs.append(run)
+                places.append(pos)
+                pos += 1
+            columns = [*(batch[k] for k in keys), batch["media_id"], batch["blur"], pa.array(runs, pa.int32()), pa.array(places, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "media_id", "blur", "run", "pos"])
+
+    kinds = ", ".join(f"`{k}` {ordered.schema[k].dataType.simpleString()}" for k in keys)
+    folded = ordered.mapInArrow(fold, f"{kinds}, media_id bigint, blur double, run int, pos bigint")
     folded = folded.join(exact.select("media_id", F.lit(True).alias("taken")), "media_id", "left")
     run = W.partitionBy(*by, "stretch", "run")
     kept = folded.withColumn("n", F.count(F.lit(1)).over(run)).withColumn("dropped", F.max(F.coalesce("taken", F.lit(False))).over(run)).withColumn("least", F.min("media_id").over(run))
@@ -106,7 +121,7 @@ def readable(groups: DataFrame, media: DataFrame) -> DataFrame:
     """Groups as shown: members that are still visible, at least two, and a best: the first of them if the marked one is gone."""
     seen = groups.join(media.select("media_id"), "media_id", "left_semi")
     per = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("is_best"), F.col("media_id"))).alias("best"), F.min("media_id").alias("least")).where("n > 1")
-    return seen.drop("is_best").join(per, "key").withColumn("is_best", F.col("media_id") == F.coalesce("best", "least")).drop("n", "best", "least")
+    return joined_back(seen.drop("is_best"), per, "key").withColumn("is_best", F.col("media_id") == F.coalesce("best", "least")).drop("n", "best", "least")
 
 
 def suggestions(groups: DataFrame, choices: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,15 +65,26 @@ def reclaimable(groups: DataFrame, media: DataFrame) -> DataFrame:
 PERCENTS = (1, 5, 10, 25, 50, 90)
 
 
-def percentiles(df: DataFrame, col: str, percents: tuple[int, ...] = PERCENTS) -> DataFrame:
+def percentiles(df: DataFrame, col: str, percents: tuple[int, ...] = PERCENTS, parts: int = 200) -> DataFrame:
     """One row per percentile, between neighbours in proportion; no row without values."""
-    shares = F.array(*(F.lit(p / 100) for p in percents))
-    one = df.agg(F.percentile(col, shares).alias("v")).where("v IS NOT NULL")
-    return one.select(F.explode(F.arrays_zip(F.array(*map(F.lit, percents)).alias("percent"), F.col("v").alias("value"))).alias("z")).select("z.percent", "z.value")
+    spans = lambda n: [((n - 1) * p // 100, -(-(n - 1) * p // 100)) for p in percents]
+    n, found = _values_at(df, col, lambda n: sorted({k for span in spans(n) for k in span}), parts)
+    if not n:
+        return found.select(F.lit(0).alias("percent"), "value")
+    asked = df.sparkSession.createDataFrame([(p, lo, hi, (n - 1) * p / 100 - lo) for p, (lo, hi) in zip(percents, spans(n), strict=True)], "percent INT, lo BIGINT, hi BIGINT, share DOUBLE")
+    low, high = (found.select(F.col("place").alias(k), F.col("value").cast("double").alias(f"v_{k}")) for k in ("lo", "hi"))
+    return asked.join(low, "lo").join(high, "hi").select("percent", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("share")).alias("value"))
 
 
 def percentiles_at(df: DataFrame, col: str, percents: tuple[int, ...] = PERCENTS, parts: int = 200) -> DataFrame:
-    """One row per percentile: the value at the place (n - 1) * p / 100, cut to a whole number; no row without values.
+    """One row per percentile: the value at the place (n - 1) * p / 100, cut to a whole number; no row without values."""
+    n, found = _values_at(df, col, lambda n: sorted({(n - 1) * p // 100 for p in percents}), parts)
+    asked = df.sparkSession.createDataFrame([(p, (n - 1) * p // 100) for p in percents], "percent INT, place BIGINT")
+    return asked.join(found, "place").select("percent", "value")
+
+
+def _values_at(df: DataFrame, col: str, places: Callable[[int], list[int]], parts: int) -> tuple[int, DataFrame]:
+    """(n, (place, value) of the n values in order at some places).
 
     Values fall into parts between approximate quantiles, which are constants once found; the parts'
     counts tell in which a place lies, and only the distinct values of those parts are ordered, each
@@ -80,22 +93,22 @@ def percentiles_at(df: DataFrame, col: str, percents: tuple[int, ...] = PERCENTS
     rows = df.where(F.col(col).isNotNull()).select(F.col(col).alias("value"))
     found = rows.agg(F.percentile_approx("value", [k / parts for k in range(1, parts)], 10_000).alias("b")).first().b
     if not found:
-        return rows.limit(0).select(F.lit(0).alias("percent"), "value")
+        return 0, rows.limit(0).select(F.lit(0).cast("bigint").alias("place"), "value")
     bounds = F.array(*map(F.lit, sorted(set(found))))
     dealt = rows.withColumn("part", F.size(F.filter(bounds, lambda b: b <= F.col("value"))))
     counts = sorted((r.part, r.n) for r in dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
     total, wanted = sum(n for _, n in counts), []
-    for percent in percents:
-        place = (total - 1) * percent // 100
+    for place in places(total):
+        inside = place
         for part, n in counts:
-            if place < n:
-                wanted.append((percent, part, place))
+            if inside < n:
+                wanted.append((place, part, inside))
                 break
-            place -= n
-    asked = df.sparkSession.createDataFrame(wanted, "percent INT, part INT, place BIGINT")
+            inside -= n
+    asked = df.sparkSession.createDataFrame(wanted, "place BIGINT, part INT, inside BIGINT")
     per = dealt.where(F.col("part").isin(sorted({p for _, p, _ in wanted}))).groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
     run = per.withColumn("last", F.sum("n").over(W.partitionBy("part").orderBy("value")))
-    return run.join(asked, "part").where((F.col("place") < F.col("last")) & (F.col("place") >= F.col("last") - F.col("n"))).select("percent", "value")
+    return total, run.join(asked, "part").where((F.col("inside") < F.col("last")) & (F.col("inside") >= F.col("last") - F.col("n"))).select("place", "value")
 
 
 def mean_vectors(df: DataFrame, key: str, col: str = "embedding") -> DataFrame:

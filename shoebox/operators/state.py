@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import DONE, FAILED, META, NEW
@@ -89,6 +90,16 @@ def after_failures(media: DataFrame, failures: DataFrame, most: int = 3) -> Data
     return rows.withColumn("state", F.when(failed, F.lit(FAILED)).otherwise(F.col("state")).cast("int")).withColumn("fail_count", count).select(*media.columns)
 
 
+def before_stop(results: DataFrame, most: int = 8, by: tuple[str, ...] = ("worker",)) -> DataFrame:
+    """results(by, seq, class) up to where a worker gives up: after `most` encoder failures in a row. class is null for a success; any other result ends a row of failures. by keeps workers apart, each of which orders its own results."""
+    order = W.partitionBy(*by).orderBy("seq")
+    failed = F.coalesce(F.col("class") == "encoder", F.lit(False))
+    runs = results.withColumn("_run", F.sum(F.when(failed, 0).otherwise(1)).over(order))
+    counted = runs.withColumn("_n", F.sum(F.when(failed, 1).otherwise(0)).over(W.partitionBy(*by, "_run").orderBy("seq")))
+    stopped = counted.withColumn("_over", F.max(F.col("_n") >= most).over(order.rowsBetween(W.unboundedPreceding, -1)))
+    return stopped.where(~F.coalesce("_over", F.lit(False))).drop("_run", "_n", "_over")
+
+
 def latest(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
     """The last row of each key: an upsert of everything at once."""
     others = [c for c in rows.columns if c not in keys]

@@ -36,7 +36,7 @@ def similar_to(vectors: DataFrame, item: int, k: int, min_score: float, id_col:
     row = vectors.where((F.col(id_col) == item) & F.col("embedding").isNotNull()).select("embedding").first()
     if row is None:
         return vectors.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    return top_k(vectors, list(row[0]), k + 1, id_col=id_col).where((F.col(id_col) != item) & (F.col("score") >= min_score))
+    return top_k(vectors.where(F.col(id_col) != item), list(row[0]), k, id_col=id_col).where(F.col("score") >= min_score)
 
 
 def upserted(index: DataFrame, changes: DataFrame, id_col: str = "media_id") -> DataFrame:
@@ -57,28 +57,36 @@ def classify(media: DataFrame, prompts: DataFrame, params: Params, primary_only:
     The likeliest category is always given, as unclassified if it is too unlikely; then further
     likely ones, then the likeliest kind of the first category, then all attributes over their
     thresholds. prompts(family, parent, label, vector): families category, sub, attribute. The table of
-    prompts is a configuration, so items meet it as one array.
+    prompts is a configuration: as one row with one array it is broadcast, and no item is shuffled.
     """
-    rows = media.where("embedding IS NOT NULL").select("media_id", "embedding")
-    sims = rows.join(prompts.select("family", "parent", "label", "vector")).select("media_id", "family", "parent", "label", S.dot(F.col("vector"), F.col("embedding")).alias("cosine"))
-    cat = sims.where(F.col("family") == "category")
-    per = W.partitionBy("media_id")
-    cat = cat.withColumn("p", S.softmax_over(F.col("cosine"), per, params.logit_scale)).withColumn("rank", F.row_number().over(per.orderBy(F.col("p").desc(), "label")))
-    sure = F.col("p") >= params.min_score
-    first = cat.where("rank = 1").select("media_id", F.lit(0).alias("pos"), F.when(sure, F.col("label")).otherwise(UNCLASSIFIED).alias("label"), F.col("p").alias("score"), F.lit("category").alias("kind"))
-    more = cat.where((F.col("rank") > 1) & (F.col("rank") <= params.max_categories) & (F.col("p") >= params.secondary_min_score))
-    if primary_only:
-        more = more.where(~F.col("label").isin(*primary_only))
-    more = more.select("media_id", (F.col("rank") - 1).alias("pos"), "label", F.col("p").alias("score"), F.lit("secondary").alias("kind"))
-    parents = first.where(F.col("label") != UNCLASSIFIED).select("media_id", F.col("label").alias("parent"))
-    sub = sims.where(F.col("family") == "sub").join(parents, ["media_id", "parent"])
-    sub = sub.withColumn("p", S.softmax_over(F.col("cosine"), per, params.logit_scale)).withColumn("rank", F.row_number().over(per.orderBy(F.col("p").desc(), "label")))
-    sub = sub.where((F.col("rank") == 1) & (F.col("p") >= params.sub_min_score)).select("media_id", F.lit(100).alias("pos"), "label", F.col("p").alias("score"), F.lit("sub").alias("kind"))
     least: Column = F.lit(params.attr_min_score)
     for label, value in (thresholds or {}).items():
         least = F.when(F.col("label") == label, F.lit(value)).otherwise(least)
-    attr = sims.where((F.col("family") == "attribute") & (F.col("cosine") >= least)).select("media_id", F.lit(200).alias("pos"), "label", F.col("cosine").alias("score"), F.lit("attribute").alias("kind"))
-    return first.unionByName(more).unionByName(sub).unionByName(attr)
+    table = prompts.agg(F.array_sort(F.collect_list(F.struct("family", F.coalesce("parent", F.lit("")).alias("parent"), "label", "vector", least.cast("double").alias("least")))).alias("prompts"))
+    rows = media.where("embedding IS NOT NULL").select("media_id", "embedding").crossJoin(F.broadcast(table))  # one row
+    scored = rows.select("media_id", F.transform("prompts", lambda p: F.struct(p["family"].alias("family"), p["parent"].alias("parent"), p["label"].alias("label"), S.dot(p["vector"], F.col("embedding")).alias("cosine"), p["least"].alias("least"))).alias("s"))
+    likely = scored.select("media_id", "s", _likeliest(F.filter("s", lambda p: p["family"] == "category"), params.logit_scale).alias("cat"))
+    first = F.get("cat", F.lit(0))
+    sub = likely.select("media_id", "s", "cat", F.when(first["p"] >= params.min_score, first["label"]).alias("sure"))
+    own = F.filter("s", lambda p: (p["family"] == "sub") & (p["parent"] == F.col("sure")))
+    sub = sub.withColumn("sub", F.get(_likeliest(own, params.logit_scale), F.lit(0)))
+    given = lambda pos, label, score, kind: F.struct(pos.cast("int").alias("pos"), label.alias("label"), score.alias("score"), F.lit(kind).alias("kind"))
+    head = F.when(F.size("cat") > 0, given(F.lit(0), F.coalesce("sure", F.lit(UNCLASSIFIED)), first["p"], "category"))
+    ranked = F.transform(F.slice("cat", 1, params.max_categories), lambda c, k: F.struct(k.alias("k"), c["label"].alias("label"), c["p"].alias("p")))
+    more = F.filter(ranked, lambda c: (c["k"] > 0) & (c["p"] >= params.secondary_min_score) & ~F.coalesce(c["label"].isin(*primary_only), F.lit(False)))
+    more = F.transform(more, lambda c: given(c["k"], c["label"], c["p"], "secondary"))
+    kind = F.when(F.col("sub")["p"] >= params.sub_min_score, given(F.lit(100), F.col("sub")["label"], F.col("sub")["p"], "sub"))
+    traits = F.transform(F.filter("s", lambda p: (p["family"] == "attribute") & (p["cosine"] >= p["least"])), lambda p: given(F.lit(200), p["label"], p["cosine"], "attribute"))
+    every = F.filter(F.concat(F.array(head), more, F.array(kind), traits), lambda x: x.isNotNull())
+    return sub.select("media_id", F.explode(every).alias("x")).select("media_id", "x.*")
+
+
+def _likeliest(prompts: Column, scale: float) -> Column:
+    """array<struct<order, label, p>> of prompts with a cosine, likeliest first: p is the share by the exponential of scale times cosine."""
+    top = F.array_max(F.transform(prompts, lambda p: p["cosine"])) * scale
+    weighed = F.transform(prompts, lambda p: F.struct(p["label"].alias("label"), F.exp(p["cosine"] * scale - top).alias("w")))
+    total = F.aggregate(weighed, F.lit(0.0), lambda t, p: t + p["w"])
+    return F.array_sort(F.transform(weighed, lambda p: F.struct((-p["w"] / total).alias("order"), p["label"].alias("label"), (p["w"] / total).alias("p"))))
 
 
 def vote(frame_tags: DataFrame, share: float = 0.4, most: int = 5, unclassified: str = UNCLASSIFIED) -> DataFrame:
@@ -121,7 +129,7 @@ def relevant(ranked: DataFrame, window: float = 0.05, most: int = 60, by: tuple[
 
 
 def spaced_scenes(hits: DataFrame, n: int = 3, gap_ms: int = 10000) -> DataFrame:
-    """(media_id, scenes): per video the best frames that are a gap apart, best first. hits(media_id, time_ms, score)."""
+    """(media_id, scenes): per video the best frames that are a gap apart, best first. hits(media_id, time_ms, score): a video's frames are at most Params.max_frames."""
     item = F.struct((-F.col("score")).alias("order"), F.col("time_ms"), F.col("score"))
     lists = hits.groupBy("media_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
