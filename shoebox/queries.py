@@ -30,7 +30,7 @@ COLUMNS = [
     "event_type AS bucket",
     "CASE WHEN event_id % 9 = 0 THEN 'Download/' WHEN event_id % 9 = 1 THEN 'Pictures/Screenshots/' ELSE 'DCIM/' END || event_type AS rel_path",
     "CASE WHEN event_id % 11 = 0 THEN 'com.example.chat.app' END AS owner_pkg",
-    "1000 + event_id * 37 % 5000 AS bytes",
+    "1000 + event_id % 100 * 50 AS bytes",
     "CASE WHEN event_id % 23 = 0 THEN NULL ELSE CAST(100 * (5 + event_id % 11) AS INT) END AS width",
     "CAST(100 * (5 + event_id % 7) AS INT) AS height",
     "event_id % 13 <> 0 AS is_accessible",
@@ -57,6 +57,10 @@ SESSIONS = f"""sess AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PAR
     FROM media WHERE taken_at IS NOT NULL AND taken_at_source = 'exif' WINDOW w AS (PARTITION BY owner ORDER BY taken_at, media_id)))"""
 
 
+VECTORS = 500
+VECTOR_SQL = f"vec AS (SELECT m.*, e.embedding FROM media m JOIN embeddings e ON m.media_id % {VECTORS} = e.vec_id)"
+
+
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     return ev.selectExpr(*COLUMNS, "CASE WHEN event_id % 29 = 0 THEN NULL ELSE unix_seconds(CAST(ts AS TIMESTAMP)) END AS taken_at")
@@ -73,7 +77,9 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media(spark, sf_dir).join(embeddings(spark, sf_dir).select(F.col("vec_id").alias("media_id"), "embedding"), "media_id")
+    """Every item, with one of 500 vectors."""
+    vectors_ = embeddings(spark, sf_dir).where(F.col("vec_id") < VECTORS).select(F.col("vec_id").alias("of"), "embedding")
+    return media(spark, sf_dir).withColumn("of", F.col("media_id") % VECTORS).join(vectors_, "of").drop("of")
 
 
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
@@ -299,9 +305,22 @@ def cleanup_suggestions(spark, d):
     return grouping.suggestions(groups, dismissed)
 
 
-@query()
+#: The fold of bursts as a recursion over the places of each stretch.
+BURSTS = """shots AS (SELECT *, sum(CASE WHEN taken_at - prev > 21600 THEN 1 ELSE 0 END) OVER (PARTITION BY owner ORDER BY taken_at, media_id) AS stretch FROM (
+        SELECT owner, media_id, taken_at, coalesce(blur_score, 0) AS blur, CAST(embedding AS DOUBLE[]) AS v, lag(taken_at) OVER (PARTITION BY owner ORDER BY taken_at, media_id) AS prev
+        FROM vec WHERE taken_at_source = 'exif' AND media_kind <> 'video' AND taken_at IS NOT NULL)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY owner, stretch ORDER BY taken_at, media_id) AS k FROM shots),
+    fold AS (SELECT owner, stretch, k, media_id, blur, v AS head, 0 AS run FROM placed WHERE k = 1
+        UNION ALL SELECT p.owner, p.stretch, p.k, p.media_id, p.blur, CASE WHEN list_dot_product(f.head, p.v) >= 0 THEN f.head ELSE p.v END, f.run + CASE WHEN list_dot_product(f.head, p.v) >= 0 THEN 0 ELSE 1 END
+        FROM fold f JOIN placed p ON p.owner = f.owner AND p.stretch = f.stretch AND p.k = f.k + 1),
+    bursts AS (SELECT media_id, count(*) OVER w AS n, bool_or(media_id IN (SELECT media_id FROM exact)) OVER w AS dropped, min(media_id) OVER w AS least,
+        row_number() OVER (PARTITION BY owner, stretch, run ORDER BY blur DESC, k) AS place FROM fold WINDOW w AS (PARTITION BY owner, stretch, run))"""
+
+
+@query("""SELECT 'EXACT' AS kind, key, media_id, is_best FROM exact
+    UNION ALL SELECT 'BURST', 'BURST:' || least, media_id, place = 1 FROM bursts WHERE n > 1 AND NOT dropped""", "RECURSIVE " + MEDIA, VECTOR_SQL, EXACT, BURSTS)
 def all_groups(spark, d):
-    """Exact and burst groups of each owner; a fold in order that SQL can't express plainly."""
+    """Exact and burst groups of each owner."""
     return grouping.all_groups(with_vectors(spark, d), 0.0, 6 * 3600, by=("owner",))
 
 
@@ -322,9 +341,21 @@ def event_covers(spark, d):
     return out.groupBy("owner", "event_no").agg(F.array_sort(F.collect_list(F.struct("place", "media_id"))).alias("c")).select("owner", "event_no", F.array_join("c.media_id", ",").alias("cover_ids"))
 
 
-@query()
+#: Covers one after another: r2 and r3 are the places of the second and third.
+COVERS = """shown AS (SELECT owner, event_no, media_id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY owner, event_no ORDER BY coalesce(blur_score, 0) DESC, taken_at, media_id) AS r FROM (
+        SELECT *, sum(CASE WHEN taken_at - prev > 259200 THEN 1 ELSE 0 END) OVER (PARTITION BY owner ORDER BY taken_at, media_id) AS event_no FROM (
+        SELECT *, lag(taken_at) OVER (PARTITION BY owner ORDER BY taken_at, media_id) AS prev FROM vec WHERE taken_at IS NOT NULL AND taken_at_source = 'exif'))),
+    c1 AS (SELECT owner, event_no, v AS v1 FROM shown WHERE r = 1),
+    c2 AS (SELECT owner, event_no, any_value(v1) AS v1, min(r) AS r2, arg_min(v, r) AS v2 FROM shown JOIN c1 USING (owner, event_no) WHERE r > 1 AND list_dot_product(v, v1) < 0.2 GROUP BY owner, event_no),
+    c3 AS (SELECT owner, event_no, min(r) AS r3 FROM shown JOIN c2 USING (owner, event_no) WHERE r > 1 AND r <> r2 AND list_dot_product(v, v1) < 0.2 AND list_dot_product(v, v2) < 0.2 GROUP BY owner, event_no)"""
+
+
+@query("""SELECT owner, event_no::BIGINT AS event_no, string_agg(CAST(media_id AS VARCHAR), ',' ORDER BY place) AS cover_ids FROM (
+    SELECT owner, event_no, media_id, row_number() OVER (PARTITION BY owner, event_no ORDER BY CASE WHEN r = 1 THEN 0 WHEN r = r2 THEN 1 WHEN r = r3 THEN 2 ELSE 3 END, r) AS place
+    FROM shown LEFT JOIN c2 USING (owner, event_no) LEFT JOIN c3 USING (owner, event_no)) WHERE place <= 3 GROUP BY owner, event_no""", MEDIA, VECTOR_SQL, COVERS)
 def event_diverse_covers(spark, d):
-    return events.diverse_covers(events.sessions(with_vectors(spark, d), 72.0, 0.0, by=("owner",)), ("owner", "event_no"), 3, 0.2)
+    out = events.diverse_covers(events.sessions(with_vectors(spark, d), 72.0, 0.0, by=("owner",)), ("owner", "event_no"), 3, 0.2)
+    return out.select("owner", "event_no", F.array_join("cover_ids", ",").alias("cover_ids"))
 
 
 TITLES = """ev AS (SELECT owner, event_no, min(taken_at) AS started_at, count(*) AS n FROM sess GROUP BY owner, event_no),
@@ -366,7 +397,7 @@ def vector_top_k(spark, d):
     return out.select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT vec_id, score FROM (SELECT vec_id, {COS.format(a='e.embedding', b='q.embedding')} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 11) q ORDER BY score DESC, vec_id LIMIT 21) WHERE vec_id <> 11 AND score >= 0.1")
+@query(f"SELECT vec_id, score FROM (SELECT vec_id, {COS.format(a='e.embedding', b='q.embedding')} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 11) q WHERE vec_id <> 11 ORDER BY score DESC, vec_id LIMIT 20) WHERE score >= 0.1")
 def similar_items(spark, d):
     return vectors.similar_to(embeddings(spark, d), 11, 20, 0.1, id_col="vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
@@ -387,16 +418,28 @@ def prompt_matrix(spark, d):
     return prompts(spark, d).select("label", F.posexplode("vector").alias("pos", "x")).select("label", F.col("pos").cast("bigint").alias("pos"), F.round("x", 6).alias("x"))
 
 
+#: Two kinds of each category, and five attributes: single vectors.
+UNIT = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))))"
+MORE_PROMPTS = f"""subs AS (SELECT 'c' || CAST(vec_id % 10 AS VARCHAR) AS parent, 's' || CAST(vec_id AS VARCHAR) AS label, {UNIT} AS vector FROM embeddings WHERE vec_id BETWEEN 20 AND 39),
+    traits AS (SELECT 'a' || CAST(vec_id AS VARCHAR) AS label, {UNIT} AS vector FROM embeddings WHERE vec_id BETWEEN 40 AND 44)"""
 CLASSES = """sims AS (SELECT e.vec_id AS media_id, 'c' || p.label AS label, list_dot_product(CAST(e.embedding AS DOUBLE[]), p.vector) AS c FROM embeddings e, prompts p),
     ps AS (SELECT *, exp(10 * c - max(10 * c) OVER (PARTITION BY media_id)) / sum(exp(10 * c)) OVER (PARTITION BY media_id) * exp(max(10 * c) OVER (PARTITION BY media_id)) AS p FROM sims),
     rk AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY p DESC, label) AS r FROM ps)"""
 
 
 @query("""SELECT media_id, (r - 1)::INT AS pos, CASE WHEN r > 1 OR p >= 0.16 THEN label ELSE '미분류' END AS label, round(p, 6) AS score, CASE r WHEN 1 THEN 'category' ELSE 'secondary' END AS kind
-    FROM rk WHERE r = 1 OR (r <= 3 AND p >= 0.16 AND label <> 'c3')""", PROMPTS, CLASSES)
+    FROM rk WHERE r = 1 OR (r <= 3 AND p >= 0.16 AND label <> 'c3')
+    UNION ALL SELECT media_id, 100, label, round(p, 6), 'sub' FROM (SELECT media_id, label, exp(10 * c) / sum(exp(10 * c)) OVER w AS p, row_number() OVER (w ORDER BY c DESC, label) AS r FROM (
+        SELECT rk.media_id, s.label, list_dot_product(CAST(e.embedding AS DOUBLE[]), s.vector) AS c FROM rk JOIN subs s ON rk.label = s.parent JOIN embeddings e ON e.vec_id = rk.media_id WHERE rk.r = 1 AND rk.p >= 0.16)
+        WINDOW w AS (PARTITION BY media_id)) WHERE r = 1 AND p >= 0.4
+    UNION ALL SELECT e.vec_id, 200, t.label, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), t.vector), 6), 'attribute' FROM embeddings e, traits t
+        WHERE list_dot_product(CAST(e.embedding AS DOUBLE[]), t.vector) >= CASE t.label WHEN 'a41' THEN 0.1 ELSE 0.24 END""", PROMPTS, MORE_PROMPTS, CLASSES)
 def classification(spark, d):
     e = embeddings(spark, d).select(F.col("vec_id").alias("media_id"), "embedding")
-    out = vectors.classify(e, prompts(spark, d), Params(logit_scale=10.0), primary_only=("c3",))
+    raw = embeddings(spark, d).where("vec_id BETWEEN 20 AND 44")
+    kinds = raw.selectExpr("CASE WHEN vec_id < 40 THEN 'sub' ELSE 'attribute' END AS family", "CASE WHEN vec_id < 40 THEN 'c' || CAST(vec_id % 10 AS STRING) END AS parent", "CASE WHEN vec_id < 40 THEN 's' ELSE 'a' END || CAST(vec_id AS STRING) AS label", "embedding")
+    every = prompts(spark, d).unionByName(vectors.prompt_matrix(kinds))
+    out = vectors.classify(e, every, Params(logit_scale=10.0), primary_only=("c3",), thresholds={"a41": 0.1})
     return out.select("media_id", "pos", "label", F.round("score", 6).alias("score"), "kind")
 
 
@@ -425,11 +468,20 @@ def relevance_cut(spark, d):
     return vectors.relevant(media(spark, d).where("blur_score IS NOT NULL").select("owner", F.col("blur_score").alias("score")), 5.0, 60, by=("owner",))
 
 
-@query()
+#: The best frame of each video, the best that is a gap away from it, and the best that is away from both.
+FIRST = "one AS (SELECT media_id, time_ms AS t1, raw FROM hits WHERE r = 1)"
+SECOND = "two AS (SELECT media_id, arg_min(time_ms, r) AS t2 FROM hits JOIN one USING (media_id) WHERE abs(time_ms - t1) >= 10000 GROUP BY media_id)"
+THIRD = "three AS (SELECT media_id, arg_min(time_ms, r) AS t3 FROM hits JOIN one USING (media_id) JOIN two USING (media_id) WHERE abs(time_ms - t1) >= 10000 AND abs(time_ms - t2) >= 10000 GROUP BY media_id)"
+LABEL_HITS = """hits AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY raw DESC, time_ms) AS r FROM (SELECT CAST(f.label AS BIGINT) AS media_id, 5000 * (row_number() OVER (PARTITION BY f.label ORDER BY f.vec_id) - 1) AS time_ms,
+    list_dot_product(CAST(f.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS raw FROM embeddings f, (SELECT embedding FROM embeddings WHERE vec_id = 3) q))"""
+
+
+@query("SELECT media_id, concat_ws(',', t1, t2, t3) AS scenes FROM one LEFT JOIN two USING (media_id) LEFT JOIN three USING (media_id)", LABEL_HITS, FIRST, SECOND, THIRD)
 def video_scenes(spark, d):
-    """Spaced scenes of each video: a greedy fold."""
+    """Spaced scenes of each video."""
     e = embeddings(spark, d).withColumn("time_ms", 5000 * (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1)).withColumn("media_id", F.col("label").cast("bigint"))
-    return vectors.spaced_scenes(vectors.scored(e, query_vector(spark, d, 3)).select("media_id", "time_ms", "score"))
+    out = vectors.spaced_scenes(vectors.scored(e, query_vector(spark, d, 3)).select("media_id", "time_ms", "score"))
+    return out.select("media_id", F.array_join(F.transform("scenes", lambda x: x["time_ms"].cast("string")), ",").alias("scenes"))
 
 
 @query("""SELECT media_id, pos::BIGINT AS pos, CASE WHEN n = 1 THEN dur // 2 ELSE (dur - 1) * pos // (n - 1) END AS at_ms FROM (
@@ -442,8 +494,8 @@ def frame_positions(spark, d):
 
 @query(f"""SELECT section, media_id, pos, score FROM (SELECT CASE WHEN best - raw <= 0.05 AND pos < 60 THEN 'close' ELSE 'other' END AS section, media_id, pos::INT AS pos, round(raw, 6) AS score FROM (
     SELECT *, max(raw) OVER () AS best, row_number() OVER (ORDER BY raw DESC, media_id) - 1 AS pos FROM (
-    SELECT m.media_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS raw FROM media m JOIN embeddings e ON m.media_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 5) q
-    WHERE is_accessible AND state >= 1 AND media_kind = 'photo' AND taken_at BETWEEN 1704067200 AND 1706745599 ORDER BY raw DESC, media_id LIMIT 120)))""", MEDIA)
+    SELECT m.media_id, list_dot_product(CAST(m.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS raw FROM vec m, (SELECT embedding FROM embeddings WHERE vec_id = 5) q
+    WHERE is_accessible AND state >= 1 AND media_kind = 'photo' AND taken_at BETWEEN 1704067200 AND 1706745599 ORDER BY raw DESC, media_id LIMIT 120)))""", MEDIA, VECTOR_SQL)
 def hybrid_search(spark, d):
     import datetime
 
@@ -505,13 +557,15 @@ def rule_tags(spark, d):
     UNION ALL SELECT 'tag', label, media_kind = 'video' FROM media JOIN (SELECT DISTINCT media_id, label FROM tags WHERE label <> 'k0') USING (media_id) WHERE is_accessible
     UNION ALL SELECT 'user', 'favorites', media_kind = 'video' FROM media WHERE is_accessible AND media_id % 31 = 0
     UNION ALL SELECT 'user', CAST(l_orderkey AS VARCHAR), media_kind = 'video' FROM media JOIN lineitem ON media_id = l_partkey WHERE is_accessible) GROUP BY kind, key
+    UNION ALL SELECT kind, key, n, videos FROM (SELECT 'event' AS kind, CAST(l_suppkey AS VARCHAR) AS key, count(*) AS n, count(*) FILTER (media_kind = 'video') AS videos
+        FROM media JOIN lineitem ON media_id = l_partkey WHERE is_accessible GROUP BY l_suppkey ORDER BY max(taken_at) DESC NULLS LAST, key LIMIT 60)
     UNION ALL SELECT 'user', CAST(o_orderkey AS VARCHAR), 0, 0 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem JOIN media ON media_id = l_partkey WHERE is_accessible)""", MEDIA, TAGS)
 def album_list(spark, d):
     m = media(spark, d)
     orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), F.lit(0).cast("bigint").alias("created_at"))
     items = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("album_id"), F.col("l_partkey").alias("media_id"))
-    none = m.limit(0).select(F.lit(0).cast("bigint").alias("event_id"), "media_id", F.lit("").alias("title"))
-    out = albums.albums(m, tags(spark, d), m.where("media_id % 31 = 0").select("media_id"), orders, items, none, hidden=("k0",))
+    shot = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("event_id"), F.col("l_partkey").alias("media_id"), F.lit("").alias("title"))
+    out = albums.albums(m, tags(spark, d), m.where("media_id % 31 = 0").select("media_id"), orders, items, shot, hidden=("k0",))
     return out.select("kind", "key", "n", "videos")
 
 
@@ -591,7 +645,7 @@ def user_feedback(spark, d):
 
 @query("""SELECT ref, CASE WHEN n = 1 THEN any_id WHEN np = 1 THEN same END AS media_id FROM (
     SELECT r.media_id AS ref, count(*) AS n, min(m.media_id) AS any_id, count(*) FILTER (r.rel_path = m.rel_path) AS np, min(m.media_id) FILTER (r.rel_path = m.rel_path) AS same
-    FROM (SELECT * FROM media WHERE media_id % 5 = 2) r JOIN media m ON r.display_name = m.display_name AND r.bucket = m.bucket GROUP BY r.media_id) WHERE n = 1 OR np = 1""",
+    FROM (SELECT * FROM media WHERE media_id % 5 = 2) r JOIN media m ON r.display_name = m.display_name AND r.bucket = m.bucket AND m.is_accessible GROUP BY r.media_id) WHERE n = 1 OR np = 1""",
     MEDIA)
 def backup_links(spark, d):
     m = media(spark, d).withColumn("bytes", F.crc32(F.col("bucket").cast("binary"))).withColumn("taken_at", F.lit(None).cast("bigint"))
@@ -601,10 +655,10 @@ def backup_links(spark, d):
 
 @query("""SELECT ref, CASE WHEN n = 1 THEN any_id WHEN np = 1 THEN same END AS media_id FROM (
     SELECT r.media_id AS ref, count(*) AS n, min(m.media_id) AS any_id, count(*) FILTER (r.rel_path = m.rel_path) AS np, min(m.media_id) FILTER (r.rel_path = m.rel_path) AS same
-    FROM media r JOIN media m ON r.display_name = m.display_name AND r.bytes = m.bytes AND r.taken_at IS NOT DISTINCT FROM m.taken_at GROUP BY r.media_id) WHERE n = 1 OR np = 1
+    FROM media r JOIN media m ON r.display_name = m.display_name AND r.bytes = m.bytes AND r.taken_at IS NOT DISTINCT FROM m.taken_at AND m.is_accessible GROUP BY r.media_id) WHERE n = 1 OR np = 1
     UNION ALL SELECT -1 - ref, CASE WHEN n = 1 THEN any_id WHEN np = 1 THEN same END FROM (
     SELECT r.media_id AS ref, count(*) AS n, min(m.media_id) AS any_id, count(*) FILTER (r.rel_path = m.rel_path) AS np, min(m.media_id) FILTER (r.rel_path = m.rel_path) AS same
-    FROM media r JOIN media m ON r.display_name = m.display_name AND r.bucket = m.bucket GROUP BY r.media_id) WHERE n = 1 OR np = 1""", MEDIA)
+    FROM media r JOIN media m ON r.display_name = m.display_name AND r.bucket = m.bucket AND m.is_accessible GROUP BY r.media_id) WHERE n = 1 OR np = 1""", MEDIA)
 def backup_links_of_all(spark, d):
     """References to every row of media: by name, bytes and time, and as -1 - ref by name and bucket, which several share."""
     m = media(spark, d)
@@ -751,7 +805,7 @@ def parsed_places(spark, d):
 
 
 @query("""SELECT section, count(*) AS n FROM (SELECT CASE WHEN m.media_id IN (SELECT media_id FROM tags WHERE label = 'view') THEN 'close' ELSE 'other' END AS section
-    FROM media m JOIN embeddings e ON m.media_id = e.vec_id WHERE is_accessible AND state >= 1 AND media_kind = 'photo') GROUP BY section""", MEDIA, TAGS)
+    FROM vec m WHERE is_accessible AND state >= 1 AND media_kind = 'photo') GROUP BY section""", MEDIA, VECTOR_SQL, TAGS)
 def tag_search(spark, d):
     q = parser.Query(text="바다", tags=["view"], media="image")
     p = Params(close_limit=1 << 30, other_limit=1 << 30)
@@ -761,8 +815,8 @@ def tag_search(spark, d):
 
 
 @query("""SELECT section, media_id, (row_number() OVER (PARTITION BY section ORDER BY raw DESC, media_id) - 1)::INT AS pos, round(raw, 6) AS score FROM (
-    SELECT CASE WHEN m.media_id IN (SELECT media_id FROM tags WHERE label = 'view') THEN 'close' ELSE 'other' END AS section, m.media_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS raw
-    FROM media m JOIN embeddings e ON m.media_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 5) q WHERE is_accessible AND state >= 1 AND media_kind = 'photo')""", MEDIA, TAGS)
+    SELECT CASE WHEN m.media_id IN (SELECT media_id FROM tags WHERE label = 'view') THEN 'close' ELSE 'other' END AS section, m.media_id, list_dot_product(CAST(m.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS raw
+    FROM vec m, (SELECT embedding FROM embeddings WHERE vec_id = 5) q WHERE is_accessible AND state >= 1 AND media_kind = 'photo')""", MEDIA, VECTOR_SQL, TAGS)
 def tag_ranking(spark, d):
     """What tag_search counts, row by row."""
     asked = parser.Query(text="바다", tags=["view"], media="image")
@@ -775,17 +829,14 @@ def tag_ranking(spark, d):
 #: Eight frames of each video, four seconds apart, and their scores; r is a frame's place in its video.
 HITS = """hits AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY raw DESC, time_ms) AS r FROM (
     SELECT f.vec_id // 8 * 5 AS media_id, f.vec_id % 8 * 4000 AS time_ms, list_dot_product(CAST(f.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS raw FROM embeddings f, (SELECT embedding FROM embeddings WHERE vec_id = 5) q))"""
-FIRST = "one AS (SELECT media_id, time_ms AS t1, raw FROM hits WHERE r = 1)"
-SECOND = "two AS (SELECT media_id, arg_min(time_ms, r) AS t2 FROM hits JOIN one USING (media_id) WHERE abs(time_ms - t1) >= 10000 GROUP BY media_id)"
-THIRD = "three AS (SELECT media_id, arg_min(time_ms, r) AS t3 FROM hits JOIN one USING (media_id) JOIN two USING (media_id) WHERE abs(time_ms - t1) >= 10000 AND abs(time_ms - t2) >= 10000 GROUP BY media_id)"
 
 
 @query("""SELECT CASE WHEN pos < least(greatest(near, 1), 60) THEN 'close' ELSE 'other' END AS section, media_id, pos::INT AS pos, round(raw, 6) AS score, scenes FROM (
     SELECT *, count(*) FILTER (best - raw <= 0.05) OVER () AS near FROM (SELECT *, max(raw) OVER () AS best, row_number() OVER (ORDER BY raw DESC, media_id) - 1 AS pos FROM (
-    SELECT m.media_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS raw, '' AS scenes
-    FROM media m JOIN embeddings e ON m.media_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 5) q WHERE is_accessible AND state >= 1 AND media_kind = 'photo'
+    SELECT m.media_id, list_dot_product(CAST(m.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS raw, '' AS scenes
+    FROM vec m, (SELECT embedding FROM embeddings WHERE vec_id = 5) q WHERE is_accessible AND state >= 1 AND media_kind = 'photo'
     UNION ALL SELECT media_id, raw, concat_ws(',', t1, t2, t3) FROM one LEFT JOIN two USING (media_id) LEFT JOIN three USING (media_id)
-    WHERE media_id IN (SELECT media_id FROM media JOIN embeddings ON media_id = vec_id WHERE is_accessible AND state >= 1 AND media_kind = 'video'))))""", MEDIA, HITS, FIRST, SECOND, THIRD)
+    WHERE media_id IN (SELECT media_id FROM vec WHERE is_accessible AND state >= 1 AND media_kind = 'video'))))""", MEDIA, VECTOR_SQL, HITS, FIRST, SECOND, THIRD)
 def video_search(spark, d):
     """Photos and videos in one ranking: a video by its best frame, with its scenes."""
     frames = embeddings(spark, d).selectExpr("vec_id DIV 8 * 5 AS media_id", "vec_id % 8 * 4000 AS time_ms", "embedding")
