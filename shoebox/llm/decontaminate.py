@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import bounded_batches, free_names, with_row_key, work_path, written
+from .session import bounded_batches, free_names, scratch, with_row_key, work_path, written
 
 WINDOW = 13
 #: Bits of the filter that is sent to the workers, 8 MB; 64 of them are a row on their way there.
@@ -225,10 +225,16 @@ def _spans(starts: str):
 def _found(spark, docs: DataFrame, benchmark: DataFrame, text_col: str, keep: list, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
     """(the columns `keep` and n_words, file, row for each row of docs; file, row, spans, items for those that have a window)."""
     bounded_batches(spark)
-    every = written(benchmark_windows(benchmark, item_col, item_text_col), work_path(spark, "windows"))
+    place, out = work_path(spark, "told"), work_path(spark, "found")
+    with scratch(spark):
+        return _joined(spark, docs, benchmark_windows(benchmark, item_col, item_text_col), text_col, keep, place, out)
+
+
+def _joined(spark, docs: DataFrame, items: DataFrame, text_col: str, keep: list, place: str, out: str) -> tuple[DataFrame, DataFrame]:
+    every = written(items, work_path(spark, "windows"))
     lengths = sorted(r.n for r in every.select("n").distinct().collect())  # at most WINDOW
     find = _finder(spark, lengths, bit_filter(every))
-    told = written(docs.select(*keep, find(F.col(text_col).cast("string")).alias("told")).select(*(c for c in docs.select(*keep).columns), "told.*"), work_path(spark, "told"))
+    told = written(docs.select(*keep, find(F.col(text_col).cast("string")).alias("told")).select(*(c for c in docs.select(*keep).columns), "told.*"), place)
     told = with_row_key(told, ("file", "row"))
     hits = told.where(F.size("hits") > 0).select("file", "row", F.explode("hits").alias("h")).select("file", "row", "h.*")
     # both sides of each join are scans, so a window that many documents or items have is split over tasks
@@ -239,7 +245,7 @@ def _found(spark, docs: DataFrame, benchmark: DataFrame, text_col: str, keep: li
     of = same.join(every.where("item IS NOT NULL"), ["n", "kept", "whole"]).select("file", "row", "item").distinct()
     items = of.groupBy("file", "row").agg(F.sort_array(F.collect_list("item")).alias("items"))
     found = spans.join(items, ["file", "row"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    return told.drop("hits"), written(found, work_path(spark, "found"))
+    return told.drop("hits"), written(found, out)
 
 
 def _hit(spans: str):
@@ -267,6 +273,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns."""
     spark, keys = docs.sparkSession, free_names(docs, "__row_file", "__row_index")
-    keyed = with_row_key(docs, keys)
-    bad = decontaminate(keyed, benchmark, carry=keys).where("contaminated")
-    return keyed.join(written(bad.select(*keys), work_path(spark, "bad")), list(keys), "left_anti").drop(*keys)
+    keyed, place = with_row_key(docs, keys), work_path(spark, "bad")
+    with scratch(spark):
+        bad = written(decontaminate(keyed, benchmark, carry=keys).where("contaminated").select(*keys), place)
+    return keyed.join(bad, list(keys), "left_anti").drop(*keys)

@@ -12,7 +12,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import free_names, remove, with_row_key, work_path, written
+from .session import free_names, remove, scratch, with_row_key, work_path, written
 
 #: Fixed value: the white space that doesn't tell texts apart.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -116,9 +116,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; those that go are found by their place, so ids may repeat or be null."""
     spark, keys = docs.sparkSession, free_names(docs, "__row_file", "__row_index")
-    keyed = with_row_key(docs, keys)
-    index = DigestIndex(spark, work_path(spark, "digest_index"))
-    told = index.add(keyed, "first", carry=keys)
-    index.remove()
-    gone = written(told.where(~F.col("kept")).select(*keys), work_path(spark, "gone"))
+    keyed, place = with_row_key(docs, keys), work_path(spark, "gone")
+    with scratch(spark):
+        index = DigestIndex(spark, work_path(spark, "digest_index"))
+        told = index.add(keyed, "first", carry=keys)
+        index.remove()
+        gone = written(told.where(~F.col("kept")).select(*keys), place)
     return keyed.join(gone, list(keys), "left_anti").drop(*keys)

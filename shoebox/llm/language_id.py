@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_pairs import slices
-from .session import bounded_batches, work_path, written
+from .session import bounded_batches, scratch, work_path, written
 
 #: Expected bytes of labelled text that are learned from, for each language.
 SAMPLE_BYTES = 4_000_000
@@ -216,6 +216,12 @@ def fit(labelled: DataFrame, vocabulary: str, lang_col: str = "lang", text_col:
     """
     spark = labelled.sparkSession
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
+    with scratch(spark):
+        return _fitted(rows, vocabulary, sample_bytes)
+
+
+def _fitted(rows: DataFrame, vocabulary: str, sample_bytes: int) -> Model:
+    spark = rows.sparkSession
     sizes = written(rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")), work_path(spark, "sizes"))
     shares = sizes.select("lang", F.least(F.lit(1.0), sample_bytes / F.greatest(F.lit(1), "n")).alias("share"))
     picked = rows.join(shares, "lang").where((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) < F.col("share"))

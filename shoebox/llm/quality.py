@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import bounded_batches, free_names, work_path, written
+from .session import bounded_batches, free_names, scratch, work_path, written
 
 WIDTH, FILTERS, HIDDEN, CHUNK = 6, 16, 16, 512
 #: Labelled rows that are learned from, for each label, and bytes of text of them all (expected numbers). A text of over a tenth of the bytes isn't learned from.
@@ -163,11 +163,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str
     part = {y: min(1.0, rows / sizes[y]) for y in (0, 1)}
     picked = given.where(_share("id", F.when(F.col("y") == 1, part[1]).otherwise(part[0])))
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL").where(F.octet_length("t") <= sample_bytes // 10).join(F.broadcast(picked), "id")
-    found = written(found, work_path(spark, "labelled"))
-    total_bytes = found.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    less = min(1.0, sample_bytes / max(1, total_bytes))
-    found = found.where(_share("id", F.when(F.col("y") == 1, part[1] * less).otherwise(part[0] * less)))
-    got = sorted((r.id, r.t.encode(), r.y) for r in found.collect())
+    with scratch(spark):
+        found = written(found, work_path(spark, "labelled"))
+        total_bytes = found.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+        less = min(1.0, sample_bytes / max(1, total_bytes))
+        found = found.where(_share("id", F.when(F.col("y") == 1, part[1] * less).otherwise(part[0] * less)))
+        got = sorted((r.id, r.t.encode(), r.y) for r in found.collect())
     seen = [sum(y == k for *_, y in got) for k in (0, 1)]
     if not all(seen):
         return None

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +40,24 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path for one run of an operator, inside the shared folder."""
-    return f"{shared_root(spark)}/shoebox/{name}-{uuid.uuid4().hex}"
+    """A new path for one run of an operator, inside the shared folder, or inside the innermost scratch folder."""
+    return f"{_SCRATCH.get() or shared_root(spark) + '/shoebox'}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end; what outlives them has its path from before."""
+    path = work_path(spark, "scratch")
+    token = _SCRATCH.set(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        remove(spark, path)
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

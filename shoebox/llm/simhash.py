@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .session import bounded_batches, free_names, with_row_key, work_path, written
+from .session import bounded_batches, free_names, scratch, with_row_key, work_path, written
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 #: References beyond those of one bit and none.
@@ -143,13 +143,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     bounded_batches(spark)
     seen = docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(text_col).alias("fp"), *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
-    seen = written(seen, work_path(spark, "prints"))
-    nodes = written(seen.groupBy("fp").agg(F.min("doc_id").alias("least_id")), work_path(spark, "nodes"))
-    roots = components(links(nodes.select("fp"), crowd))
-    labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    labelled = written(labelled, work_path(spark, "labelled"))
-    ids = written(labelled.groupBy("root").agg(F.min("least_id").alias("component_id")), work_path(spark, "ids"))
-    of = written(labelled.join(ids, "root").select("fp", "component_id", "root"), work_path(spark, "of"))
+    seen, place = written(seen, work_path(spark, "prints")), work_path(spark, "of")
+    with scratch(spark):
+        nodes = written(seen.groupBy("fp").agg(F.min("doc_id").alias("least_id")), work_path(spark, "nodes"))
+        roots = components(links(nodes.select("fp"), crowd))
+        labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        labelled = written(labelled, work_path(spark, "labelled"))
+        ids = written(labelled.groupBy("root").agg(F.min("least_id").alias("component_id")), work_path(spark, "ids"))
+        of = written(labelled.join(ids, "root").select("fp", "component_id", "root"), place)
     # both sides are scans, so a fingerprint that holds many of the rows is split over tasks
     return seen.join(of, "fp").select("doc_id", "fp", "component_id", "root", *(F.col(f"carried_{k}").alias(c) for k, c in enumerate(carry)))
 
@@ -157,11 +158,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest doc_id, the first of them where ids repeat (null is largest)."""
     spark, keys = docs.sparkSession, free_names(docs, "__row_file", "__row_index")
-    keyed = with_row_key(docs, keys)
-    told = written(near_duplicates(keyed, carry=keys), work_path(spark, "told"))
-    # of most components only the row with the component's own id can stay
-    able = told.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = able.groupBy("root").agg(F.min(F.struct(*keys)).alias("first"))
-    stay = first.select("first.*")
-    gone = written(told.select(*keys).join(written(stay, work_path(spark, "stay")), list(keys), "left_anti"), work_path(spark, "gone"))
+    keyed, place = with_row_key(docs, keys), work_path(spark, "gone")
+    with scratch(spark):
+        told = written(near_duplicates(keyed, carry=keys), work_path(spark, "told"))
+        # of most components only the row with the component's own id can stay
+        able = told.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        first = able.groupBy("root").agg(F.min(F.struct(*keys)).alias("first"))
+        stay = first.select("first.*")
+        gone = written(told.select(*keys).join(written(stay, work_path(spark, "stay")), list(keys), "left_anti"), place)
     return keyed.join(gone, list(keys), "left_anti").drop(*keys)

@@ -15,7 +15,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import work_path, written
+from .session import scratch, work_path, written
 
 SUPPORT, CONFIDENCE = 0.005, 0.8
 DEFAULT = "allow"
@@ -138,13 +138,22 @@ def judge(pages: DataFrame, rules: list[Rule], support: float = SUPPORT, confide
     host, path = F.col("host"), F.col("path")
     base = base.select("page_id", "host", "path", rule_of(host, path, rules, "name").alias("rule"), rule_of(host, path, rules, "verdict").alias("fixed"), tokens_of(F.col("url"), host, path).alias("tokens"))
     base = written(base, work_path(spark, "urls"))
+    place = work_path(spark, "told")
+    with scratch(spark):
+        told, used = _verdicts(base, support, confidence, place)
+    told_apart = F.array_intersect("tokens", F.array(*map(F.lit, used)).cast("array<string>"))
+    out = base.withColumn("key", F.concat_ws(_JOINT, told_apart)).join(told, "key", "left")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("fixed", "found", F.lit(DEFAULT)).alias("verdict"))
+
+
+def _verdicts(base: DataFrame, support: float, confidence: float, place: str) -> tuple[DataFrame, list[str]]:
+    """((key, found) written to place, tokens in order that tell keys apart) for the urls that no fixed rule fits."""
+    spark = base.sparkSession
     mined = mine(base.where("fixed IS NOT NULL").select("tokens", F.col("fixed").alias("label")), support, confidence)
     # a share of `support` of the urls has each of these tokens, so there are at most mean tokens / support of them
     used = sorted(r.token for r in mined.select(F.explode(F.flatten("ways")).alias("token")).distinct().collect())
     told_apart = F.array_intersect("tokens", F.array(*map(F.lit, used)).cast("array<string>"))
-    base = base.select("page_id", "host", "path", "rule", "fixed", told_apart.alias("tokens"), F.concat_ws(_JOINT, told_apart).alias("key"))
+    open_ = base.where("fixed IS NULL").select(told_apart.alias("tokens"), F.concat_ws(_JOINT, told_apart).alias("key"))
     # few distinct sets of such tokens are left of any number of urls
-    sets = base.where("fixed IS NULL").groupBy("key").agg(F.first("tokens").alias("tokens"))
-    told = written(match(written(sets, work_path(spark, "sets")), mined).withColumnRenamed("verdict", "found"), work_path(spark, "told"))
-    out = base.join(told, "key", "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("fixed", "found", F.lit(DEFAULT)).alias("verdict"))
+    sets = open_.groupBy("key").agg(F.first("tokens").alias("tokens"))
+    return written(match(written(sets, work_path(spark, "sets")), mined).withColumnRenamed("verdict", "found"), place), used

@@ -203,3 +203,12 @@ def test_dropping_near_copies(spark):
         groups[c if c is not None else f].append(i)
     assert len(out.collect()) == len(groups)
     assert simhash.drop_near_copies(empty(spark)).count() == 0
+
+
+def test_scratch_folders_are_removed(spark):
+    from shoebox.llm.session import filesystem, shared_root
+
+    simhash.drop_near_copies(edges(spark)).count()
+    exact_dedup.drop_exact_copies(edges(spark)).count()
+    fs, root = filesystem(spark, shared_root(spark) + "/shoebox")
+    assert not any("scratch" in s.getPath().getName() for s in fs.listStatus(root))

@@ -150,6 +150,31 @@ def test_the_maxima_are_those_of_a_plain_convolution():
         assert len(rows) == len(want)
 
 
+def test_scores_are_those_of_plain_arithmetic():
+    """The whole network, byte by byte."""
+    import math
+
+    net = quality.train([b"good words here, and more.", b"###|||###"], [1, 0])
+    for text in (b"", b"a", "good wörds ".encode() * 120, b"|#" * 700):
+        padded = [*text, *[quality.PAD] * quality.WIDTH]
+        values = [[sum(float(net.filters[j, padded[k + j], f]) for j in range(quality.WIDTH)) for f in range(quality.FILTERS)] for k in range(max(1, len(text)))]
+        rows = [[math.tanh(max(v[f] for v in values[c : c + quality.CHUNK]) + float(net.bias[f])) for f in range(quality.FILTERS)] for c in range(0, len(values), quality.CHUNK)]
+        pooled = [sum(r[f] for r in rows) / len(rows) for f in range(quality.FILTERS)] + [max(r[f] for r in rows) for f in range(quality.FILTERS)]
+        inner = [math.tanh(sum(p * net.hidden[k, h] for k, p in enumerate(pooled)) + net.hidden_bias[h]) for h in range(quality.HIDDEN)]
+        want = 1 / (1 + math.exp(-(sum(x * y for x, y in zip(inner, net.out, strict=True)) + net.out_bias[0])))
+        assert abs(net.score(text) - want) < 1e-4
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, ("good words " if k % 2 else "#|# ") * 20) for k in range(400)] + [(1000, "x" * 5000)], "doc_id BIGINT, text STRING")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)] + [(1000, 1)], "doc_id BIGINT, quality INT")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels, weights: seen.append(texts))
+    quality.fit(docs, labels, sample_bytes=20_000)
+    quality.fit(docs, labels)
+    assert 10_000 < sum(map(len, seen[0])) < 30_000 and len(seen[1]) == 401 and max(map(len, seen[0])) < 2000
+
+
 def test_gradients_are_those_of_differences():
     net = quality.train([b"good words here, and more.", b"###|||###"], [1, 0])
     texts, labels, weights = [b"some words. " * 60, b"|#|" * 20], np.array([1, 0]), (1.0, 2.0)
