@@ -95,7 +95,13 @@ class Chunks:
     def __init__(self, pattern: str = PATTERN):
         if pattern != PATTERN:
             raise ValueError("texts are cut by the rule of one pattern, which this isn't")
-        self.split = regex.compile(pattern).findall
+        self.find = regex.compile(pattern).findall
+
+    def split(self, chunk: str) -> list[str]:
+        """A chunk's pre-tokens; plain letters after a space or none are one."""
+        if chunk.isascii() and chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+            return [chunk]
+        return self.find(chunk)
 
     def of(self, text: str) -> list[str]:
         if _RUN.search(text):
