@@ -242,7 +242,7 @@ def _fitted(rows: DataFrame, vocabulary: str, sample_bytes: int) -> Model:
     counted = picked.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     # a language's words are those of sample_bytes of text, so one task can hold them
     learned = counted.groupBy("lang").applyInArrow(learn, "lang string, chances array<double>")
-    chances = {r.lang: np.array(r.chances) for r in learned.toLocalIterator()}
+    chances = {r.lang: np.array(r.chances) for r in learned.collect()}  # a row for each language, all learned at once
     known = pieces(vocabulary)
     table_size = len(known) + 1
     for r in sizes.select("lang").toLocalIterator():  # texts without a word teach nothing
