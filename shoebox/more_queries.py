@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from . import schema, work
 from .functions import scalars as S
-from .operators import albums, backup, cleanup, events, filters, grouping, rules, state, vectors
-from .plans import parser
+from .operators import albums, backup, cleanup, events, filters, grouping, lookups, rules, state, vectors
+from .params import Params
+from .plans import assembly, parser
 from .queries import EXACT, MEDIA, PROMPTS, SESSIONS, TAGS, TITLES, embeddings, media, prompts, query, query_vector, tags
 from .sources import encoders
 from .sources import media as sources
@@ -374,6 +375,87 @@ def restored_backup(spark, d):
     return out.unionByName(missing.select(F.lit("missing").alias("section"), none.cast("bigint").alias("media_id"), F.lit("").alias("label"), none.alias("verdict")))
 
 
+# lookups and writers
+
+
+@query("""SELECT 'generation' AS what, CAST(media_id AS VARCHAR) AS key, generation AS n FROM media UNION ALL SELECT 'accessible', CAST(media_id AS VARCHAR), 0 FROM media WHERE is_accessible
+    UNION ALL SELECT 'duration', '', 5 * 997 UNION ALL SELECT 'frame', CAST(time_ms AS VARCHAR), 0 FROM (SELECT event_id // 10 AS media_id, 5000 * (event_id % 10) AS time_ms FROM events) WHERE media_id = 7
+    UNION ALL SELECT 'framed', CAST(event_id // 10 AS VARCHAR), 0 FROM events GROUP BY 2 UNION ALL SELECT 'file time', CAST(media_id AS VARCHAR), 0 FROM media WHERE is_accessible AND taken_at_source = 'mtime'
+    UNION ALL SELECT DISTINCT 'label', label, 0 FROM tags WHERE source = 'rule' UNION ALL SELECT DISTINCT 'any label', label, 0 FROM tags UNION ALL SELECT 'favorite', CAST(media_id AS VARCHAR), 0 FROM media WHERE media_id % 31 = 0
+    UNION ALL SELECT 'scene', CAST(l_partkey AS VARCHAR), l_linenumber * 1000 FROM lineitem WHERE l_suppkey = 3 AND l_linenumber > 2
+    UNION ALL SELECT 'choice', key, least FROM (SELECT DISTINCT key, CAST(substr(key, 7) AS BIGINT) AS least FROM exact) WHERE least % 2 = 0
+    UNION ALL SELECT 'kind', CASE media_kind WHEN 'video' THEN 'video' ELSE 'image' END, count(*) FROM media WHERE is_accessible GROUP BY 2""", MEDIA, TAGS, EXACT)
+def looked_up(spark, d):
+    """All small projections, one under another."""
+    m = media(spark, d).withColumn("duration_ms", F.col("media_id") * 997)
+    frames = table(spark, d, "events").selectExpr("event_id div 10 AS media_id", "5000 * (event_id % 10) AS time_ms", "CAST(NULL AS ARRAY<FLOAT>) AS embedding")
+    scenes = table(spark, d, "lineitem").selectExpr("l_suppkey AS album_id", "l_partkey AS media_id", "CASE WHEN l_linenumber > 2 THEN CAST(l_linenumber * 1000 AS BIGINT) END AS scene_time_ms")
+    groups = grouping.exact_groups(m)
+    least = F.regexp_extract("key", r"\d+", 0).cast("bigint")
+    chosen = groups.select("key", least.alias("keep_id")).distinct().where("keep_id % 2 = 0").select(F.col("key").alias("group_key"), "keep_id").unionByName(spark.createDataFrame([("EXACT:-1", 1)], "group_key STRING, keep_id BIGINT"))
+    zero = F.lit(0)
+    parts = [
+        ("generation", lookups.generations(m), "media_id", F.col("generation")), ("accessible", lookups.accessible_ids(m), "media_id", zero), ("duration", lookups.duration(m, 5), None, F.col("duration_ms")),
+        ("frame", lookups.frames_of_item(frames, 7), "time_ms", zero), ("framed", lookups.with_frames(frames), "media_id", zero), ("file time", lookups.on_file_time(m), "media_id", zero),
+        ("label", lookups.labels(tags(spark, d), "rule"), "label", zero), ("any label", lookups.labels(tags(spark, d)), "label", zero), ("favorite", lookups.favorite_ids(m.where("media_id % 31 = 0")), "media_id", zero),
+        ("scene", lookups.scenes_of_album(scenes, 3), "media_id", F.col("scene_time_ms")), ("choice", lookups.choices_of(chosen, groups), "group_key", F.col("keep_id")), ("kind", lookups.kind_counts(m), "kind", F.col("n")),
+    ]
+    out = None
+    for what, rows, key, n in parts:
+        part = rows.select(F.lit(what).alias("what"), (F.col(key).cast("string") if key else F.lit("")).alias("key"), n.cast("bigint").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("""SELECT media_id, taken_at, string_agg(label, ',' ORDER BY label) AS labels, vector FROM (SELECT m.media_id, m.taken_at, t.label, m.state <> 3 AND e.vec_id IS NOT NULL AS vector
+    FROM media m LEFT JOIN tags t ON m.media_id = t.media_id AND t.source = 'clip' LEFT JOIN embeddings e ON e.vec_id = m.media_id WHERE is_accessible AND taken_at IS NOT NULL) GROUP BY ALL""", MEDIA, TAGS)
+def operator_inputs(spark, d):
+    """Items of events with their labels, and whether their vector can be searched; all of them are among those that grouping reads."""
+    m = media(spark, d).join(embeddings(spark, d).select(F.col("vec_id").alias("media_id"), "embedding"), "media_id", "left")
+    found = lookups.search_vectors(m).select("media_id", F.lit(True).alias("vector"))
+    rows = lookups.event_items(m, tags(spark, d)).join(lookups.grouping_items(m).select("media_id"), "media_id", "left_semi")
+    return rows.join(found, "media_id", "left").select("media_id", "taken_at", F.array_join("labels", ",").alias("labels"), F.coalesce("vector", F.lit(False)).alias("vector"))
+
+
+@query("""SELECT media_id, CASE WHEN media_id % 6 = 0 THEN -1 ELSE bytes END AS bytes, CASE WHEN media_id % 4 = 0 THEN 'new' || media_id ELSE coalesce(sha256, '-') END AS sha256,
+    coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM (SELECT t.media_id, label FROM tags t WHERE source <> 'rule' OR t.media_id % 6 <> 0 UNION ALL SELECT n.media_id, 'fresh' FROM media n WHERE n.media_id % 6 = 0) x WHERE x.media_id = media.media_id), '') AS labels
+    FROM media WHERE media_id % 9 <> 0""", MEDIA, TAGS)
+def written_rows(spark, d):
+    """Items and tags after analysis, hashes, and a deletion are written."""
+    m, t = media(spark, d), tags(spark, d).withColumn("score", F.lit(None).cast("float"))
+    items = m.where("media_id % 6 = 0").withColumn("bytes", F.lit(-1).cast("bigint"))
+    none = spark.createDataFrame([], schema.FEEDBACK)
+    after, labels = state.saved(m, t, items, items.select("media_id", F.lit("fresh").alias("label"), F.lit(None).cast("float").alias("score")), "rule", none)
+    hashed = state.with_hashes(after, m.where("media_id % 4 = 0").select("media_id", F.concat(F.lit("new"), F.col("media_id").cast("string")).alias("sha256")))
+    left, stamps = state.forgotten(hashed, spark.createDataFrame([("groups", "1"), ("model", "2")], "k STRING, v STRING"), m.where("media_id % 9 = 0"))
+    left = left.join(stamps.where("k = 'groups'").select(F.lit(-1).alias("media_id")), "media_id", "left_anti")  # the stamp is gone
+    own = labels.groupBy("media_id").agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("labels"))
+    return left.join(own, "media_id", "left").select("media_id", "bytes", F.coalesce("sha256", F.lit("-")).alias("sha256"), F.coalesce("labels", F.lit("")).alias("labels"))
+
+
+@query("SELECT * FROM (VALUES ('view', 'video', 'view', ''), ('2024년 nation_3근처 사진', 'image', '', 'nation_3'), ('NATION_7에서 click', '-', 'click', 'NATION_7')) AS t(asked, media, tags, places)")
+def assembled_parser(spark, d):
+    """Texts read with the labels and places of the tables."""
+    n = table(spark, d, "nation").selectExpr("n_name AS name", "array(lower(n_name)) AS aliases")
+    read = [(x, assembly.parsed(x, datetime.date(2026, 9, 28), tags(spark, d), n)) for x in ("view 영상", "2024년 nation_3근처 사진", "NATION_7에서 click")]
+    rows = [("view" if x == "view 영상" else x, q.media or "-", ",".join(q.tags), ",".join(q.places)) for x, q in read]
+    return spark.createDataFrame(rows, "asked string, media string, tags string, places string")
+
+
+@query("""SELECT media_id, label FROM (SELECT e.vec_id AS media_id, 'c' || p.label AS label, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_dot_product(CAST(e.embedding AS DOUBLE[]), p.vector) DESC, p.label) AS r FROM embeddings e, moved p) WHERE r = 1""", PROMPTS,
+    """liked AS (SELECT label, pos, avg(x) AS x FROM (SELECT 'c' || (vec_id % 10) AS label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(64)) AS pos FROM embeddings WHERE vec_id < 400 AND vec_id % 10 < 3) GROUP BY ALL),
+    sizes AS (SELECT label, sqrt(sum(x * x)) AS s FROM liked GROUP BY label),
+    shifted AS (SELECT p.label, k.pos, p.vector[k.pos + 1] + coalesce(0.5 * l.x / s.s, 0) AS x FROM prompts p, (SELECT unnest(range(64)) AS pos) k LEFT JOIN liked l ON l.label = 'c' || p.label AND l.pos = k.pos LEFT JOIN sizes s ON s.label = l.label),
+    lengths AS (SELECT label, sqrt(sum(x * x)) AS s FROM shifted GROUP BY label),
+    moved AS (SELECT label, list(x / s ORDER BY pos) AS vector FROM shifted JOIN lengths USING (label) GROUP BY label)""")
+def personal_classes(spark, d):
+    """First categories by prompts that confirmed items have moved."""
+    e = embeddings(spark, d).select(F.col("vec_id").alias("media_id"), "embedding")
+    told = e.where("media_id < 400").selectExpr("media_id", "'c' || CAST(media_id % 10 AS STRING) AS label", "CAST(CASE WHEN media_id % 10 < 3 THEN 1 ELSE 0 END AS INT) AS verdict")
+    out = assembly.classified(e, prompts(spark, d), told, Params(logit_scale=10.0, min_score=0.0))
+    return out.where("kind = 'category'").select("media_id", "label")
+
+
 # the options of a desktop library: no rules of folders, times of files too
 
 

@@ -100,6 +100,27 @@ def before_stop(results: DataFrame, most: int = 8, by: tuple[str, ...] = ("worke
     return stopped.where(~F.coalesce("_over", F.lit(False))).drop("_run", "_n", "_over")
 
 
+def upserted(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """table after rows of the same columns: those of a key that is there replace it, the last written of several is the caller's to choose (latest())."""
+    return table.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows.select(*table.columns))
+
+
+def with_hashes(media: DataFrame, hashes: DataFrame) -> DataFrame:
+    """media with the content hashes of hashes(media_id, sha256); others keep theirs."""
+    rows = media.join(hashes.select("media_id", F.col("sha256").alias("_h")), "media_id", "left")
+    return rows.withColumn("sha256", F.coalesce("_h", "sha256")).select(*media.columns)
+
+
+def saved(media: DataFrame, tags: DataFrame, items: DataFrame, new: DataFrame, source: str, feedback: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(media, tags) after analysed items and their tags are written: items replace rows of their id, tags those of the source."""
+    return upserted(media, items, ["media_id"]), with_tags(tags, new, source, feedback)
+
+
+def forgotten(media: DataFrame, stamps: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(media, stamps) without some items at once; the stamp of the groups goes, so that they are made again."""
+    return media.join(ids.select("media_id").distinct(), "media_id", "left_anti"), stamps.where("k <> 'groups'")
+
+
 def latest(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
     """The last row of each key: an upsert of everything at once."""
     others = [c for c in rows.columns if c not in keys]
