@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +15,7 @@ from ..params import Params
 from .rollups import mean_vectors
 
 UNCLASSIFIED = "미분류"
+MAX_PROMPTS = 10_000
 
 
 def scored(vectors: DataFrame, query: list[float], col: str = "embedding") -> DataFrame:
@@ -56,15 +61,19 @@ def classify(media: DataFrame, prompts: DataFrame, params: Params, primary_only:
 
     The likeliest category is always given, as unclassified if it is too unlikely; then further
     likely ones, then the likeliest kind of the first category, then all attributes over their
-    thresholds. prompts(family, parent, label, vector): families category, sub, attribute. The table of
-    prompts is a configuration: as one row with one array it is broadcast, and no item is shuffled.
+    thresholds. prompts(family, parent, label, vector): families category, sub, attribute; a
+    configuration of at most MAX_PROMPTS rows, sent to the workers as one matrix, so that an item meets
+    all prompts where it is and no item is shuffled.
     """
-    least: Column = F.lit(params.attr_min_score)
-    for label, value in (thresholds or {}).items():
-        least = F.when(F.col("label") == label, F.lit(value)).otherwise(least)
-    table = prompts.agg(F.array_sort(F.collect_list(F.struct("family", F.coalesce("parent", F.lit("")).alias("parent"), "label", "vector", least.cast("double").alias("least")))).alias("prompts"))
-    rows = media.where("embedding IS NOT NULL").select("media_id", "embedding").crossJoin(F.broadcast(table))  # one row
-    scored = rows.select("media_id", F.transform("prompts", lambda p: F.struct(p["family"].alias("family"), p["parent"].alias("parent"), p["label"].alias("label"), S.dot(p["vector"], F.col("embedding")).alias("cosine"), p["least"].alias("least"))).alias("s"))
+    some = prompts.select("family", F.coalesce("parent", F.lit("")).alias("parent"), "label", "vector").limit(MAX_PROMPTS + 1).collect()
+    if len(some) > MAX_PROMPTS:
+        raise ValueError(f"more than {MAX_PROMPTS} prompts")
+    some.sort(key=lambda r: (r.family, r.parent, r.label))
+    column = lambda values, kind: F.array(*map(F.lit, values)).cast(f"array<{kind}>")
+    family, parent, label = (column([r[k] for r in some], "string") for k in ("family", "parent", "label"))
+    least = column([(thresholds or {}).get(r.label, params.attr_min_score) for r in some], "double")
+    rows = media.where("embedding IS NOT NULL").select("media_id", _cosines(np.array([r.vector for r in some], np.float64))("embedding").alias("cosines"))
+    scored = rows.select("media_id", F.transform("cosines", lambda c, k: F.struct(F.get(family, k).alias("family"), F.get(parent, k).alias("parent"), F.get(label, k).alias("label"), c.alias("cosine"), F.get(least, k).alias("least"))).alias("s"))
     likely = scored.select("media_id", "s", _likeliest(F.filter("s", lambda p: p["family"] == "category"), params.logit_scale).alias("cat"))
     first = F.get("cat", F.lit(0))
     sub = likely.select("media_id", "s", "cat", F.when(first["p"] >= params.min_score, first["label"]).alias("sure"))
@@ -81,6 +90,22 @@ def classify(media: DataFrame, prompts: DataFrame, params: Params, primary_only:
     return sub.select("media_id", F.explode(every).alias("x")).select("media_id", "x.*")
 
 
+def _cosines(matrix: np.ndarray):
+    """Column function: a vector's products with the rows of a matrix, in order; a vector of another length has none."""
+
+    def products(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        wide = matrix.shape[1] if len(matrix) else -1
+        for batch in batches:
+            flat, offsets = batch.values.to_numpy(zero_copy_only=False).astype(np.float64), batch.offsets.to_numpy()
+            fits = np.diff(offsets) == wide
+            rows = flat[(offsets[:-1][fits, None] + np.arange(max(wide, 0))).ravel()].reshape(-1, max(wide, 0))
+            sizes = np.where(fits, len(matrix), 0)
+            found = (rows @ matrix.T).ravel() if len(rows) else np.empty(0)
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(found, pa.float64()))
+
+    return F.arrow_udf(products, "array<double>")
+
+
 def _likeliest(prompts: Column, scale: float) -> Column:
     """array<struct<order, label, p>> of prompts with a cosine, likeliest first: p is the share by the exponential of scale times cosine."""
     top = F.array_max(F.transform(prompts, lambda p: p["cosine"])) * scale

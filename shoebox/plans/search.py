@@ -55,8 +55,11 @@ def search(query: Query, media: DataFrame, tags: DataFrame, frames: DataFrame |
         rows = ranked(base, frames, vector if query.text else None, p.close_limit, p)
         if vector is None or not query.text:
             return rows.select(F.lit("close").alias("section"), "*")
-        cut = vectors.relevant(rows, p.relevance_window, p.relevance_max)
-        return rows.join(F.broadcast(cut)).select(F.when(F.col("pos") < F.col("close"), "close").otherwise("other").alias("section"), "media_id", "pos", "score", "scenes")
+        # the ranking, of at most close_limit rows, is in one task already
+        whole = W.partitionBy(F.lit(0))
+        near = rows.withColumn("best", F.max("score").over(whole)).withColumn("near", F.count_if(F.col("best") - F.col("score") <= p.relevance_window).over(whole))
+        close = F.least(F.greatest("near", F.lit(1)), F.lit(p.relevance_max))
+        return near.select(F.when(F.col("pos") < close, "close").otherwise("other").alias("section"), "media_id", "pos", "score", "scenes")
     own = filters.tagged_with_all(tags, query.tags)
     close = ranked(filters.with_ids(base, own), frames, vector if query.text else None, p.close_limit, p)
     out = close.select(F.lit("close").alias("section"), "*")
