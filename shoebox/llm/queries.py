@@ -170,6 +170,49 @@ ORACLE_SQL: dict[str, str] = {
         FROM split s LEFT JOIN hit ON s.id = hit.doc_id LEFT JOIN named ON s.id = named.doc_id
         WHERE s.side = 'd'
     """,
+    # every set of frequent tokens of every labelled url is counted: plain, and only for small tables
+    "op9_url_rules": r"""
+        WITH u AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        parts AS (
+            SELECT page_id, url, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+                   translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+            FROM u
+        ),
+        fixed AS (
+            SELECT *, CASE WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'
+                           WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/') THEN 'example.com/de/'
+                           WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
+                           WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule,
+                   list_sort(list_distinct(list_concat(
+                       list_transform(list_filter([regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)], lambda x: x <> ''), lambda x: 'scheme:' || x),
+                       list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'host:' || x),
+                       list_filter(list_transform(string_split(path, '/'), lambda x, k: CASE WHEN x = '' THEN '' ELSE 'path' || least(k - 1, 3) || ':' || x END), lambda x: x <> ''),
+                       list_transform(list_filter(list_transform(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: regexp_extract(x, '^[^=]*', 0)), lambda x: x <> ''), lambda x: 'query:' || x),
+                       CASE WHEN contains(url, '#') THEN ['fragment'] ELSE [] END))) AS tokens
+            FROM parts
+        ),
+        labelled AS (SELECT page_id, tokens, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS label FROM fixed WHERE rule IS NOT NULL),
+        total AS (SELECT count(*) AS n FROM labelled),
+        frequent AS (SELECT token FROM (SELECT unnest(tokens) AS token FROM labelled) GROUP BY token HAVING count(*) >= 0.005 * (SELECT n FROM total)),
+        kept AS (SELECT page_id, any_value(label) AS label, list(token ORDER BY token) AS t FROM (SELECT page_id, label, unnest(tokens) AS token FROM labelled) JOIN frequent USING (token) GROUP BY page_id),
+        alike AS (SELECT t, label, count(*) AS w FROM kept GROUP BY t, label),
+        sets AS (SELECT list_filter(t, lambda x, i: (m >> (i - 1)) & 1 = 1) AS s, label, w FROM (SELECT *, unnest(range(1, CAST(1 << len(t) AS BIGINT))) AS m FROM alike)),
+        counted AS (SELECT s, label, sum(w) AS c, sum(sum(w)) OVER (PARTITION BY s) AS of FROM sets GROUP BY s, label),
+        rules AS (SELECT s, label, c / of AS confidence, c / n AS support FROM counted, total WHERE c >= 0.005 * n AND c / of >= 0.8),
+        needless AS (
+            SELECT DISTINCT a.s, a.label FROM (SELECT *, list_filter(s, lambda y: y <> x) AS rest FROM (SELECT *, unnest(s) AS x FROM rules)) a
+            JOIN rules b ON b.s = a.rest AND b.label = a.label AND b.confidence >= a.confidence
+        ),
+        used AS (SELECT * FROM rules ANTI JOIN needless USING (s, label)),
+        open AS (SELECT DISTINCT tokens FROM fixed WHERE rule IS NULL),
+        told AS (
+            SELECT tokens, max_by(label, (confidence, support, len(s), label = 'allow', array_to_string(s, chr(1)))) AS verdict
+            FROM open, used WHERE list_has_all(tokens, s) GROUP BY tokens
+        )
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' ELSE coalesce(told.verdict, 'allow') END AS verdict
+        FROM fixed LEFT JOIN told ON fixed.rule IS NULL AND told.tokens = fixed.tokens
+    """,
     "op10_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_chars,
