@@ -63,7 +63,30 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(a hash of each word of all texts, number of words of each text). A word's hash is a polynomial in its letters, by differences of running sums."""
+    """(a hash of each word of all texts, number of words of each text). Long texts are taken piece by piece, so what is held beside the hashes is small."""
+    pieces = [list(_pieces(t)) for t in texts]
+    found = [_word_hashes(some) for some in _slices([p for own in pieces for p in own])]
+    counts = np.concatenate([n for _, n in found]) if found else np.empty(0, np.int64)
+    ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *map(len, pieces)])]
+    return np.concatenate([h for h, _ in found]) if found else np.empty(0, np.uint64), np.diff(ends)
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """The text cut between words into pieces of about SLICE_BYTES at most; a word of more is in one piece."""
+    start = 0
+    while len(text) - start > SLICE_BYTES:
+        size = SLICE_BYTES
+        while (cut := text[start : start + size].translate(_WORD_BYTES).rfind(b" ")) < 0 and start + size < len(text):
+            size *= 2
+        if cut < 0:
+            break
+        yield text[start : start + cut + 1]
+        start += cut + 1
+    yield text[start:]
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A word's hash is a polynomial in its letters, by differences of running sums."""
     data = np.frombuffer(b" ".join(texts).translate(_WORD_BYTES), np.uint8)
     inside = data != 32
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))

@@ -88,6 +88,19 @@ def test_the_benchmark_is_joined_not_sent(spark, monkeypatch):
     assert max(lengths) == decontaminate.WINDOW and size == decontaminate.FILTER_BITS // 8
 
 
+def test_long_texts_hash_alike_in_pieces(monkeypatch):
+    draw = random.Random(3)
+    texts = [" ".join("".join(draw.choice("abcé-") for _ in range(draw.choice((1, 3, 9, 300)))) for _ in range(n)) for n in (0, 1, 50, 400)] + ["", "x" * 5000, " " * 700]
+    raw = [t.encode() for t in texts]
+    hashes, sizes = decontaminate.word_hashes(raw)
+    assert sizes.tolist() == [len(words(t)) for t in texts]
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(decontaminate, "SLICE_BYTES", size)
+        got = decontaminate.word_hashes(raw)
+        assert got[0].tolist() == hashes.tolist() and got[1].tolist() == sizes.tolist()
+    assert decontaminate.word_hashes([])[1].tolist() == []
+
+
 def test_words_hash_alike_wherever_they_stand():
     texts = ["Ab c-ab  x", "", "...", "ab", "é1 É a\x00b " + "z" * 3000 + " ab"]
     hashes, sizes = decontaminate.word_hashes([t.encode() for t in texts])
