@@ -26,7 +26,7 @@ WINDOW = 13
 #: Bits of the filter that is sent to the workers, 8 MB; 64 of them are a row on their way there.
 FILTER_BITS = 1 << 26
 #: Bytes of texts taken at once; a longer text is taken by itself.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 256 << 10
 #: A document is contaminated if at least one word in so many is hit.
 ONE_IN = 20
 
