@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .session import bounded_batches, free_names, scratch, with_row_key, work_path, written
+from .similar_texts import SIMILARITY, WORDS, similar_texts
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 #: References beyond those of one bit and none.
@@ -155,12 +156,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return seen.join(of, "fp").select("doc_id", "fp", "component_id", "root", *(F.col(f"carried_{k}").alias(c) for k, c in enumerate(carry)))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest doc_id, the first of them where ids repeat (null is largest)."""
+def drop_near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each component of texts of at least the similarity of their sets of shingles, with all its columns: that of the smallest doc_id, the first of them where ids repeat (null is largest).
+
+    Near copies of similarity 0.8 differ in about ten bits of a fingerprint, at which keys of coordinates no longer
+    tell documents apart, so here the pivot table is that of the sets themselves (similar_texts).
+    """
     spark, keys = docs.sparkSession, free_names(docs, "__row_file", "__row_index")
     keyed, place = with_row_key(docs, keys), work_path(spark, "gone")
     with scratch(spark):
-        told = written(near_duplicates(keyed, carry=keys), work_path(spark, "told"))
+        told = written(similar_texts(keyed, words=words, similarity=similarity, carry=keys), work_path(spark, "told"))
         # of most components only the row with the component's own id can stay
         able = told.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         first = able.groupBy("root").agg(F.min(F.struct(*keys)).alias("first"))

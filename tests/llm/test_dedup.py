@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from shoebox.llm import exact_dedup, queries, session, simhash
+from shoebox.llm import exact_dedup, queries, session, similar_texts, simhash
 from shoebox.llm.components import components
 
 from .data import TEXTS, edges, empty
@@ -194,17 +194,92 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "u BIGINT, v BIGINT")).count() == 0
 
 
+def brute_similar(rows, words=5, similarity=0.8):
+    """The component of each row, as a position."""
+    sets = []
+    for _, text in rows:
+        found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append(frozenset(tuple(found[k : k + words]) for k in range(max(1, len(found) - words + 1))) if found else frozenset())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    meets, first = defaultdict(set), {}
+    for k, x in enumerate(sets):
+        if x in first:
+            root[k] = first[x]
+            continue
+        first[x] = k
+        for j in {j for g in x for j in meets[g]}:
+            if len(x & sets[j]) >= similarity * len(x | sets[j]):
+                a, b = sorted((find(j), find(k)))
+                root[b] = a
+        for g in x:
+            meets[g].add(k)
+    return [find(k) for k in range(len(rows))]
+
+
+def first_of_similar(rows, **how):
+    groups = defaultdict(list)
+    for (i, _), root in zip(rows, brute_similar(rows, **how), strict=True):
+        groups[root].append((i is None, i or 0, i))
+    return sorted(str(min(g)[2]) for g in groups.values())
+
+
+def made_texts(seed, n=60):
+    """Texts with near copies on both sides of the threshold, chains of them, and passages that most share."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(400)]
+    passages = [" ".join(rng.choices(words, k=60)) for _ in range(3)]
+    rows = []
+    for _ in range(n):
+        text = rng.choices(words, k=rng.choice([3, 6, 12, 30, 120]))
+        if rng.random() < 0.6:
+            text = text + rng.choice(passages).split()
+        for _ in range(rng.choice([1, 1, 3, 8])):
+            rows.append((len(rows), " ".join(text)))
+            text = list(text)
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                at = rng.randrange(len(text))
+                text[at : at + rng.choice([0, 1])] = [rng.choice(words).upper()]
+    rng.shuffle(rows)
+    return rows
+
+
 def test_dropping_near_copies(spark):
     docs = edges(spark)
     out = simhash.drop_near_copies(docs)
     assert out.columns == docs.columns
-    groups = defaultdict(list)
-    for i, f, c in brute_ids(TEXTS):
-        groups[c if c is not None else f].append(i)
-    assert len(out.collect()) == len(groups)
+    assert sorted(str(r.doc_id) for r in out.collect()) == first_of_similar(TEXTS)
     assert simhash.drop_near_copies(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.6])
+def test_similar_texts_against_brute_force(spark, similarity):
+    rows = made_texts(7)
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    got = {r.doc_id: r.component_id for r in similar_texts.similar_texts(df.repartition(3), similarity=similarity).collect()}
+    roots = brute_similar(rows, similarity=similarity)
+    least = {}
+    for (i, _), root in zip(rows, roots, strict=True):
+        least[root] = min(i, least.get(root, i))
+    assert got == {i: least[root] for (i, _), root in zip(rows, roots, strict=True)}
+    assert 1 < len(set(got.values())) < len(rows)
+    kept = simhash.drop_near_copies(df, similarity=similarity)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == first_of_similar(rows, similarity=similarity)
+
+
+def test_any_order_finds_the_same_links(spark, monkeypatch):
+    monkeypatch.setattr(similar_texts, "SLOTS", 64)
+    rows = made_texts(8, 30)
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    kept = simhash.drop_near_copies(df)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == first_of_similar(rows)
+
+
 def test_scratch_folders_are_removed(spark):
     from shoebox.llm.session import filesystem, shared_root
 

@@ -9,7 +9,7 @@ from shoebox.llm.session import table
 
 from .data import TEXTS, edges, empty
 from .test_decontaminate import brute
-from .test_dedup import brute_groups, brute_ids
+from .test_dedup import brute_groups, first_of_similar
 
 
 def test_stages_against_brute_force(spark, small, tmp_path):
@@ -19,8 +19,8 @@ def test_stages_against_brute_force(spark, small, tmp_path):
     rows = [x for x in rows if net.score((x[1] or "").encode()) >= 0.3]
     keep = {i for i, _ in brute_groups(rows).values()}
     rows = [x for x in rows if x[0] in keep]
-    keep = {c for _, _, c in brute_ids(rows)}
-    rows = [x for x in rows if x[0] in keep]
+    keep = set(first_of_similar(rows))
+    rows = [x for x in rows if str(x[0]) in keep]
     items = [(r.item_id, r.text) for r in table(spark, small, "benchmark").collect()]
     grams = {g for _, t in items for g in re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())}
     suspects = [x for x in rows if grams & set(x[1].lower().split())]  # the others share no word
