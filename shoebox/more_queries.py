@@ -57,7 +57,8 @@ def older_catalogue(spark, d):
     media(spark, d).select("media_id", "bytes", "camera_model").write.parquet(path)
     read = sources.catalogue(spark, path)
     same = schema.conform(spark.read.parquet(path), schema.MEDIA)
-    both = read.join(same.select("media_id", F.col("mime").alias("other")), "media_id")
+    # both sides are the whole library; files of few columns look small beside the rows they hold, so Spark would send one to the driver
+    both = read.join(same.select("media_id", F.col("mime").alias("other")).hint("merge"), "media_id")
     return both.select("media_id", "bytes", F.coalesce("camera_model", F.lit("-")).alias("camera_model"), (F.col("mime").isNull() & F.col("other").isNull() & F.col("embedding").isNull()).alias("unset"))
 
 

@@ -38,3 +38,8 @@ def test_entry(spark):
 def test_all_queries_give_rows(spark, small):
     for name in sorted(set(queries.QUERIES) - set(queries.ORACLE)):
         assert queries.QUERIES[name](spark, small).count() > 0
+
+
+def test_a_catalogue_is_never_sent_to_the_driver(spark, tiny):
+    plan = queries.QUERIES["older_catalogue"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
