@@ -30,12 +30,16 @@ from .session import bounded_batches, free_names, scratch, with_row_key, work_pa
 from .similar_texts import SIMILARITY, WORDS, similar_texts
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
+#: Of fingerprints that stand for a similarity: bits within which all share a key, and bits beyond which what shares one isn't compared.
+MET_BITS, MOST_BITS = 4, 16
 #: References beyond those of one bit and none.
 PIVOTS = 32
 #: Fingerprints of one key from which on it is split by further coordinates.
 CROWD = 64
-#: Keys of three families of five, and how often a key can be split.
-KEYS, STEPS = tuple(combinations(range(5), 3)), 3
+#: A key is of three families of coordinates, so with three more families than bits that differ one is shared whole.
+SHARED = 3
+#: How often a key can be split.
+STEPS = 3
 #: Coordinates that the last keys leave open.
 MAX_OPEN = 5
 
@@ -48,6 +52,15 @@ ONE_BIT = tuple(_signed(1 << k) for k in range(64))
 DRAWN = tuple(_signed(int.from_bytes(hashlib.sha256(b"pivot %d" % k).digest()[:8], "big")) for k in range(PIVOTS))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """64 bits as a signed number: a bit is set if it is set in over half the hashes."""
+    total = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), 1 << 14):
+        bits = np.unpackbits(hashes[start : start + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += bits.sum(0, dtype=np.uint32)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: bytes) -> int:
     """64 bits as a signed number: a bit is set if it is set in over half the hashes of the word shingles."""
     words = text.lower().split()
@@ -55,12 +68,7 @@ def fingerprint(text: bytes) -> int:
         return 0
     n = max(1, len(words) - SHINGLE + 1)
     shingles = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else iter([b" ".join(words)])
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
-    total = np.zeros(64, np.int64)
-    for start in range(0, n, 1 << 14):
-        bits = np.unpackbits(hashes[start : start + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(0, dtype=np.uint32)
-    return int(np.packbits(2 * total > n, bitorder="little").view(np.int64)[0])
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n))
 
 
 def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -76,17 +84,18 @@ def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def distance_table(prints: DataFrame) -> DataFrame:
-    """fp and `near`: its distances to the one-bit references, relative to that to none set."""
+def distance_table(prints: DataFrame, *carry: str) -> DataFrame:
+    """fp, the columns in `carry`, and `near`: its distances to the one-bit references, relative to that to none set."""
     fp, to = F.col("fp"), lambda r: _distance(F.col("fp"), F.lit(r)).cast("tinyint")
-    return prints.select(fp, F.transform(F.array(*map(to, ONE_BIT)), lambda d: (d - to(0)).cast("tinyint")).alias("near"))
+    return prints.select(fp, *carry, F.transform(F.array(*map(to, ONE_BIT)), lambda d: (d - to(0)).cast("tinyint")).alias("near"))
 
 
-def _keys(key: Column, coordinates: Column, most: int) -> list[tuple[Column, Column]]:
-    """(key, the coordinates that it leaves open) for each three of the five families of at most `most` coordinates; each extends `key`."""
-    cut = [round(most * k / 5) for k in range(6)]
+def _keys(key: Column, coordinates: Column, most: int, bits: int = MAX_BITS) -> list[tuple[Column, Column]]:
+    """(key, the coordinates that it leaves open) for each three of the families of at most `most` coordinates; each extends `key`."""
+    n = bits + SHARED
+    cut = [round(most * k / n) for k in range(n + 1)]
     family = [F.slice(coordinates, lo + 1, hi - lo) for lo, hi in pairwise(cut)]
-    return [(F.xxhash64(F.lit(no), key, *(family[k] for k in three)), F.concat(*(family[k] for k in range(5) if k not in three))) for no, three in enumerate(KEYS)]
+    return [(F.xxhash64(F.lit(no), key, *(family[k] for k in three)), F.concat(*(family[k] for k in range(n) if k not in three))) for no, three in enumerate(combinations(range(n), SHARED))]
 
 
 def _open_after(most: int) -> int:
@@ -123,6 +132,25 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return every.distinct()
 
 
+def met(prints: DataFrame, bits: int = MET_BITS, most: int = MOST_BITS) -> DataFrame:
+    """(u, v) of nodes whose fingerprints share a key of the distance table, each with one leader of that key, and differ in at most `most` bits; prints has node, fp and own.
+
+    Any two fingerprints within `bits` share a key, most of those a little further apart do too. Each row
+    is paired once per key, however many share it, so two that share a key are linked through its leader
+    or left to who asked. The leader is the row of the smallest `own`.
+    """
+    spark = prints.sparkSession
+    table = distance_table(prints, "node", "own")
+    each = [key for key, _ in _keys(F.lit(0).cast("long"), F.col("near"), 64, bits)]
+    rows = table.select("node", "fp", "own", F.explode(F.array(*each)).alias("key"))
+    lead = rows.groupBy("key").agg(F.min(F.struct("own", "node", "fp")).alias("x"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    lead = written(lead.select("key", F.col("x.node").alias("to"), F.col("x.fp").alias("to_fp")), work_path(spark, "leaders"))
+    pairs = rows.select("key", "node", "fp").join(lead, "key").where("node != to")
+    largest = F.greatest(*(F.abs(_distance(F.col("fp"), F.lit(r)) - _distance(F.col("to_fp"), F.lit(r))) for r in DRAWN))
+    near = pairs.where(largest <= most).where(_distance(F.col("fp"), F.col("to_fp")) <= most)
+    return near.select(F.least("node", "to").alias("u"), F.greatest("node", "to").alias("v")).distinct()
+
+
 def _close_pairs(met: DataFrame) -> DataFrame:
     """Pairs of one key within 2 bits; no key has more than CROWD fingerprints, or more than the last coordinates allow."""
     # the distances to the drawn references are wanted only for what meets another

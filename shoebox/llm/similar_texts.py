@@ -1,12 +1,15 @@
-"""Near-duplicates by the similarity of their sets of word shingles, with pairs discarded by pivot distance tables.
+"""Near-duplicates by SimHash and the similarity of their sets of word shingles, with links found by pivot distance tables.
 
-Two texts link if the Jaccard similarity of their sets of shingles is at least `similarity`. All links are
-found: shingles are put in one order for all texts, rare ones first, and two similar sets share a shingle
+Two texts link if the Jaccard similarity of their sets of shingles is at least `similarity`. The first
+candidates are texts whose fingerprints, the SimHash of their sets, share a key of the fingerprints'
+table of pivot distances (simhash.met); they are compared exactly. A similarity bounds no number of bits,
+so what the fingerprints leave in different components is looked for by the sets themselves, and no
+link between components is lost: shingles are put in one order for all texts, rare ones first, and two similar sets share a shingle
 among the first n - ceil(similarity * n) + 1 of each. Shingles that share a level of frequency are ordered by
 their hash, so the order needs no more than a table of levels, SLOTS of four bits whatever the input's
 size; where two shingles share a slot the order is another one, and still the same for all texts.
 
-The texts that share a shingle are not paired with each other but, in each class of lengths, with that of
+The texts that share a shingle and are still apart are not paired with each other but, in each class of lengths, with that of
 them that has the fewest shingles of its own; a pair is left out if the members from the shared one on are
 too few in either set. What that leaves apart is paired with texts of other components alone. The pivot table has the
 Hamming distances of each set to PIVOTS reference sets that share no member (all shingles whose hash has
@@ -33,6 +36,8 @@ WORDS, SIMILARITY = 5, 0.8
 PIVOTS = 64
 #: Slots of the table of levels; a level is the logarithm of how many texts have a shingle, 15 at most.
 SLOTS = 1 << 25
+#: Low bits of a hash by which texts are counted; a slot's are among them.
+COUNTED_BITS = 40
 #: Added to what rounding could make too small.
 SLACK = 1e-9
 
@@ -76,7 +81,8 @@ def hashes_column(col: Column, words: int) -> Column:
 
 def levels(hashes: DataFrame) -> np.ndarray:
     """SLOTS / 16 words of 16 levels each, of all rows of hashes (h). At most that many rows come to the driver."""
-    often = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # fewer bits move through the shuffle; shingles that share them count as one, which can only raise a level
+    often = hashes.groupBy(F.expr(f"h & {(1 << COUNTED_BITS) - 1}").alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     slots = often.selectExpr(f"shiftrightunsigned(h, 8) & {SLOTS - 1} AS slot", "CAST(least(15, floor(log2(n))) AS BIGINT) AS level")
     slots = slots.groupBy("slot").agg(F.max("level").alias("level"))
     words = slots.selectExpr("shiftrightunsigned(slot, 4) AS word", "shiftleft(level, CAST(4 * (slot & 15) AS INT)) AS part")
@@ -108,6 +114,8 @@ def distances(hashes: np.ndarray) -> np.ndarray:
 
 
 def _described(spark, text: Column, table: np.ndarray, words: int, similarity: float) -> Column:
+    from .simhash import majority
+
     sent = spark.sparkContext.broadcast(table)
 
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -118,12 +126,13 @@ def _described(spark, text: Column, table: np.ndarray, words: int, similarity: f
                 "digest": pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary()),
                 "n": pa.array([len(x) for x in sets], pa.int32()),
                 "own": pa.array([own for own, _ in firsts], pa.int32()),
+                "fp": pa.array([majority(x) for x in sets], pa.int64()),
                 "first": _lists([x for _, x in firsts], np.int64),
                 "near": _lists([distances(x) for x in sets], np.int32),
             }
             yield pa.StructArray.from_arrays(list(fields.values()), list(fields))
 
-    return F.arrow_udf(of, "struct<digest: binary, n: int, own: int, first: array<long>, near: array<int>>")(text.cast("string"))
+    return F.arrow_udf(of, "struct<digest: binary, n: int, own: int, fp: long, first: array<long>, near: array<int>>")(text.cast("string"))
 
 
 def _verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
@@ -143,8 +152,20 @@ def _verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, text_col: str
     return written(same.where(F.col("same") / (F.col("n_u") + F.col("n_v") - F.col("same")) >= similarity).select("u", "v"), work_path(spark, "similar"))
 
 
+def _split(keys: DataFrame, near: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """The rows of keys whose group `by` is of more than one component of the links, with their component as `root`."""
+    spark = keys.sparkSession
+    roots = written(components(near), work_path(spark, "roots"))
+    apart = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = written(apart, work_path(spark, "apart"))
+    split = apart.groupBy(*by).agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select(*by)
+    return written(apart.join(split, list(by)), work_path(spark, "split"))
+
+
 def links(table: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
     """(u, v) of nodes whose components are those of all similar pairs; docs has __file and __row."""
+    from . import simhash
+
     spark = table.sparkSession
     kind = F.floor(F.log(F.col("n")) / math.log(1 / similarity) if similarity < 1 else F.col("n")).cast("int")
     keys = table.select("node", "n", "own", kind.alias("kind"), F.posexplode("first").alias("at", "h"))
@@ -155,20 +176,19 @@ def links(table: DataFrame, docs: DataFrame, text_col: str, words: int, similari
         least = similarity / (1 + similarity) * (F.col(f"{a}.n") + F.col(f"{b}.n")) - SLACK
         return (F.col(f"{a}.left") >= least) & (F.col(f"{b}.left") >= least)
 
-    # of all texts, one with few shingles of its own is likely to be like most others
-    lead = keys.groupBy("h", "kind").agg(F.min(F.struct("own", "node", "n", "left")).alias("x"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    met = written(simhash.met(table), work_path(spark, "met"))
+    near = _verified(met, table, docs, text_col, words, similarity)
+    # what the fingerprints leave apart; of all texts, one with few shingles of its own is likely to be like most others
+    split = _split(keys, near, ("h", "kind"))
+    lead = split.groupBy("h", "kind").agg(F.min(F.struct("own", "node", "n", "left", "root")).alias("x"))
     lead = written(lead.select("h", "kind", "x.*"), work_path(spark, "lead"))
-    a, b = lead.alias("a"), keys.alias("b")
-    star = b.join(a, (F.col("a.h") == F.col("b.h")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.node") != F.col("b.node")) & may_link("a", "b"))
+    a, b = lead.alias("a"), split.alias("b")
+    star = b.join(a, (F.col("a.h") == F.col("b.h")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.root") != F.col("b.root")) & may_link("a", "b"))
     star = star.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-    near = _verified(written(star, work_path(spark, "star")), table, docs, text_col, words, similarity)
+    near = near.unionByName(_verified(written(star, work_path(spark, "star")), table, docs, text_col, words, similarity))
     # what is still apart: texts that share a shingle, in different components
-    roots = written(components(near), work_path(spark, "roots"))
-    apart = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("h", "node", "n", "left", "root")
-    apart = written(apart, work_path(spark, "apart"))
-    split = apart.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("h")
-    apart = written(apart.join(split, "h"), work_path(spark, "split"))
-    a, b = apart.alias("a"), apart.alias("b")
+    split = _split(keys, near, ("h",))
+    a, b = split.alias("a"), split.alias("b")
     rest = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.root") < F.col("b.root")) & may_link("a", "b"))
     rest = rest.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
     return near.unionByName(_verified(written(rest, work_path(spark, "rest")), table, docs, text_col, words, similarity))
@@ -193,7 +213,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     seen = written(rows, seen_path)
     with scratch(spark):
         same = written(seen.groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("least_id")), work_path(spark, "same"))
-        one = written(seen.select("node", "file", "row", "n", "own", "first", "near").join(same.select("node"), "node"), work_path(spark, "one"))
+        one = written(seen.select("node", "file", "row", "n", "own", "fp", "first", "near").join(same.select("node"), "node"), work_path(spark, "one"))
         roots = components(links(one, plain, "text", words, similarity))
         labelled = same.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         labelled = written(labelled, work_path(spark, "labelled"))

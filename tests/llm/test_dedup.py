@@ -287,3 +287,35 @@ def test_scratch_folders_are_removed(spark):
     exact_dedup.drop_exact_copies(edges(spark)).count()
     fs, root = filesystem(spark, shared_root(spark) + "/shoebox")
     assert not any("scratch" in s.getPath().getName() for s in fs.listStatus(root))
+
+
+def test_fingerprints_meet_their_leader(spark):
+    draw = random.Random(5)
+    centre = [draw.getrandbits(64) for _ in range(20)]
+    rows, want = [(k, simhash._signed(f), 0) for k, f in enumerate(centre)], set()
+    for k, f in enumerate(centre):
+        for bits in (0, 1, 2, 3, 4):
+            for bit in draw.sample(range(64), bits):
+                f ^= 1 << bit
+            want.add((k, len(rows)))
+            rows.append((len(rows), simhash._signed(f), 1))
+            f = centre[k]
+    out = {(r.u, r.v) for r in simhash.met(spark.createDataFrame(rows, "node BIGINT, fp BIGINT, own INT")).collect()}
+    assert want <= out and len(out) < 2 * len(want)
+    far = [(0, 0, 0), (1, simhash._signed(((1 << 20) - 1) << 44), 0)]
+    assert simhash.met(spark.createDataFrame(far, "node BIGINT, fp BIGINT, own INT")).count() == 0
+
+
+def test_near_copies_are_first_sought_by_fingerprints(spark, monkeypatch):
+    found, met = [], simhash.met
+
+    def told(table):
+        found.append((met(table).count(), table.selectExpr("count(DISTINCT fp)").first()[0]))
+        return met(table)
+
+    monkeypatch.setattr(simhash, "met", told)
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words[k : k + 150]) for k in range(0, 4)]  # each two share almost all shingles
+    df = spark.createDataFrame([*enumerate(texts), (9, "nothing like the others at all")], "doc_id BIGINT, text STRING")
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(df).collect()) == [0, 9]
+    assert len(found) == 1 and found[0][0] >= 1 and found[0][1] >= 2
